@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm.common import documents
+from quarry.llm.simhash import near_duplicates
 from quarry.llm.token_blocks import token_blocks
+from quarry.llm.token_counts import token_counts
 
 #: Where the vocabulary files are; a parameter of the operators.
 WORD_BPE = "word_bpe_49k.json"
@@ -19,8 +21,18 @@ def op1_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_blocks(documents(spark, sf_dir), public_tokenizers.path(WORD_BPE))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(documents(spark, sf_dir), public_tokenizers.path(BYTE_BPE))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_blocks": op1_token_blocks,
+    "op3_simhash": op3_simhash,
+    "op6_token_counts": op6_token_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {}
