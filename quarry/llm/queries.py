@@ -8,6 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm.common import documents
+from quarry.llm.exact_dedup import SQL as EXACT_DEDUP_SQL
+from quarry.llm.exact_dedup import exact_groups
 from quarry.llm.simhash import near_duplicates
 from quarry.llm.token_blocks import token_blocks
 from quarry.llm.token_counts import token_counts
@@ -29,10 +31,17 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), public_tokenizers.path(BYTE_BPE))
 
 
+def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_groups(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_blocks": op1_token_blocks,
     "op3_simhash": op3_simhash,
     "op6_token_counts": op6_token_counts,
+    "op9_exact_dedup": op9_exact_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_exact_dedup": EXACT_DEDUP_SQL,
+}
