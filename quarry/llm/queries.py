@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quarry.llm.common import documents
 from quarry.llm.exact_dedup import SQL as EXACT_DEDUP_SQL
 from quarry.llm.exact_dedup import exact_groups
+from quarry.llm.packing import pack
 from quarry.llm.simhash import near_duplicates
 from quarry.llm.token_blocks import token_blocks
 from quarry.llm.token_counts import token_counts
@@ -35,11 +36,16 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(documents(spark, sf_dir))
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(documents(spark, sf_dir), public_tokenizers.path(WORD_BPE))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_blocks": op1_token_blocks,
     "op3_simhash": op3_simhash,
     "op6_token_counts": op6_token_counts,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_packing": op10_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
