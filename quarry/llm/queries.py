@@ -14,6 +14,7 @@ from quarry.llm.packing import pack
 from quarry.llm.simhash import near_duplicates
 from quarry.llm.token_blocks import token_blocks
 from quarry.llm.token_counts import token_counts
+from quarry.llm.toxicity import toxicity
 
 #: Where the vocabulary files are; a parameter of the operators.
 WORD_BPE = "word_bpe_49k.json"
@@ -24,6 +25,10 @@ def op1_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_blocks(documents(spark, sf_dir), public_tokenizers.path(WORD_BPE))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
@@ -42,6 +47,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_blocks": op1_token_blocks,
+    "op2_toxicity": op2_toxicity,
     "op3_simhash": op3_simhash,
     "op6_token_counts": op6_token_counts,
     "op9_exact_dedup": op9_exact_dedup,
