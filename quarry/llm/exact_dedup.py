@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.llm.bytewise import chained, xxhash
 from quarry.llm.common import WORD_GAP, id_and_text, partitions, scratch, stored
 
 #: Keys a bucket holds before it is split, and the depth at which splitting ends: the
@@ -65,8 +66,7 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key_b
     """(doc_id, key, norm) of every row. Fewer key bits make keys collide, for tests."""
     rows = id_and_text(docs, id_col, text_col)
     norm = F.regexp_replace("text", WORD_GAP, " ")
-    key = F.xxhash64("norm") if key_bits == 64 else F.pmod(F.xxhash64("norm"), F.lit(1 << key_bits))
-    return rows.select("doc_id", norm.alias("norm")).select("doc_id", key.alias("key"), "norm")
+    return rows.select("doc_id", norm.alias("norm")).select("doc_id", xxhash(F.col("norm"), key_bits).alias("key"), "norm")
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key_bits: int = 64) -> DataFrame:
@@ -84,21 +84,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     index = read_index(spark, path).select("key", "first", "n")
     held = rows.select("doc_id", "key", F.sha2("norm", 256).alias("text_sha256"), "norm").join(index.hint("merge"), "key")
     held = stored(held.select("doc_id", "key", "first", "n", "text_sha256", F.when(F.col("n") > 1, F.col("norm")).alias("norm")), "dedup-rows")
-    fields = ["doc_id", F.col("first").alias("keep_id"), F.col("n").alias("group_size"), "text_sha256"]
-    done = held.where("n = 1").select(fields)
-    members = held.where("n > 1")
-    while True:
-        heads = members.where(F.col("doc_id").eqNullSafe(F.col("first"))).groupBy("key").agg(F.min("norm").alias("head"))
-        compared = members.join(heads.hint("merge"), "key").withColumn("same", F.col("norm") == F.col("head")).drop("head")
-        compared = stored(compared.withColumn("norm", F.when(~F.col("same"), F.col("norm"))), "dedup-compared")
-        rest = compared.where("not same")
-        if rest.isEmpty():
-            done = done.union(compared.select(fields))
-            break
-        chained = rest.groupBy("key").agg(F.min("doc_id").alias("next"), F.count("*").alias("m"))
-        same = compared.where("same").join(chained.hint("merge"), "key", "left")
-        done = done.union(same.withColumn("n", F.expr("n - coalesce(m, 0)")).select(fields))
-        members = rest.join(chained.hint("merge"), "key").select("doc_id", "key", F.col("next").alias("first"), F.col("m").alias("n"), "text_sha256", "norm")
+    alone = held.where("n = 1").select("doc_id", F.col("first").alias("keep_id"), F.col("n").alias("group_size"), "text_sha256")
+    members = held.where("n > 1").select("key", F.col("doc_id").alias("id"), "first", "n", F.col("norm").alias("body"), "text_sha256")
+    done = alone.union(chained(members, ["text_sha256"]).select("id", "keep", "n", "text_sha256"))
     return done.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
