@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import id_and_text, stored
+from quarry.llm.rolling import Rolling
 
 WINDOW, COVERAGE, CONSISTENT = 8, 0.5, 0.8
 #: Least share of a window's tokens that are no placeholders.
@@ -36,8 +36,6 @@ EDGE = re.compile(r"^[^\w$€£%+-]+|[^\w$€£%]+$")
 ENDS = re.compile(r"[.!?:][\"'”’)\]]*$")
 LITERAL_TOKEN, NUMBER_TOKEN, UNIT_WORD, NAME_WORD, END, EMPTY = 0, 1, 2, 4, 8, 16
 WORDS_KEPT = 500_000
-BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-MIX = np.uint64(0xD6E8FEB86659FD93)
 PLACEHOLDERS = {kind: np.uint64(xxhash.xxh64_intdigest(f"<{kind}>")) for kind in ("number", "unit", "name")}
 
 
@@ -82,25 +80,13 @@ def template(words: list[str], tokens: Tokens) -> tuple[np.ndarray, np.ndarray,
     return out, number | unit | name, place
 
 
-@lru_cache(maxsize=32)
-def power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of BASE, and of its inverse, modulo 2 ** 64."""
-    powers, inverse = np.full(n, BASE), np.full(n, np.uint64(pow(int(BASE), -1, 1 << 64)))
-    powers[0] = inverse[0] = 1
-    return np.multiply.accumulate(powers), np.multiply.accumulate(inverse)
-
-
 def windows(tokens: np.ndarray, slots: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each window of ``size`` tokens, whether it has enough literal tokens)."""
     n = len(tokens)
     if n < size:
         return np.zeros(0, np.uint64), np.zeros(0, bool)
-    powers, inverse = power_table(1 << (n - 1).bit_length())
-    mixed = (tokens ^ (tokens >> np.uint64(29))) * MIX
-    total = np.r_[np.uint64(0), np.cumsum(mixed * powers[:n], dtype=np.uint64)]
-    h = (total[size:] - total[:-size]) * inverse[: n - size + 1]
     taken = np.r_[0, np.cumsum(slots)]
-    return h ^ (h >> np.uint64(31)), (taken[size:] - taken[:-size]) <= (1 - LITERAL) * size
+    return Rolling(tokens).windows(size), (taken[size:] - taken[:-size]) <= (1 - LITERAL) * size
 
 
 FOUND = pa.schema([("id", pa.int64()), ("row", pa.int64()), ("size", pa.int32()), ("n", pa.int64()), ("at", pa.int64()), ("hash", pa.int64()), ("slots", pa.list_(pa.string()))])

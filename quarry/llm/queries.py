@@ -16,6 +16,7 @@ from quarry.llm.line_dedup import SQL as LINE_DEDUP_SQL
 from quarry.llm.line_dedup import line_dedup
 from quarry.llm.packing import pack
 from quarry.llm.simhash import near_duplicates
+from quarry.llm.substring_dedup import substring_dedup
 from quarry.llm.token_blocks import token_blocks
 from quarry.llm.token_counts import token_counts
 from quarry.llm.toxicity import toxicity
@@ -37,6 +38,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(documents(spark, sf_dir), digest=True).withColumnRenamed("text", "kept_sha256")
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_blocks": op1_token_blocks,
     "op2_toxicity": op2_toxicity,
     "op3_simhash": op3_simhash,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_decontamination": op5_decontamination,
     "op6_token_counts": op6_token_counts,
     "op7_line_dedup": op7_line_dedup,
