@@ -15,6 +15,8 @@ from quarry.llm.exact_dedup import exact_groups
 from quarry.llm.line_dedup import SQL as LINE_DEDUP_SQL
 from quarry.llm.line_dedup import line_dedup
 from quarry.llm.packing import pack
+from quarry.llm.quotes import SQL as QUOTES_SQL
+from quarry.llm.quotes import reply_ordered
 from quarry.llm.simhash import near_duplicates
 from quarry.llm.substring_dedup import substring_dedup
 from quarry.llm.token_blocks import token_blocks
@@ -54,6 +56,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(documents(spark, sf_dir)).withColumn("kept_sha256", F.sha2("text", 256)).drop("text")
 
 
+def op8_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reply_ordered(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(documents(spark, sf_dir))
 
@@ -70,11 +76,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontamination": op5_decontamination,
     "op6_token_counts": op6_token_counts,
     "op7_line_dedup": op7_line_dedup,
+    "op8_quotes": op8_quotes,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_packing": op10_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op7_line_dedup": LINE_DEDUP_SQL,
+    "op8_quotes": QUOTES_SQL,
     "op9_exact_dedup": EXACT_DEDUP_SQL,
 }
