@@ -15,7 +15,7 @@ Generate = Callable[[list[str]], list[str]]
 
 def generated(rows: DataFrame, generate: Generate, prompt: str = "prompt", out: str = "answer") -> DataFrame:
     """Adds a model's answer, trimmed, and ``error`` where it gave none. The model is called once a batch."""
-    schema = rows.withColumn(out, F.lit("")).withColumn("error", F.lit(None).cast("string")).schema
+    schema = rows.withColumn(out, F.lit(None).cast("string")).withColumn("error", F.lit(None).cast("string")).schema
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

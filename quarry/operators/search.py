@@ -53,7 +53,7 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int = TOP, query: str = "quer
 
 def block_search(base: DataFrame, part: pd.DataFrame, k: int, metric: str) -> DataFrame:
     names = part["q"].to_numpy()
-    matrix = np.array(part["v"].tolist(), np.float64).reshape(len(part), -1)
+    matrix = np.array(part["v"].tolist(), np.float64).reshape(len(part), -1 if len(part) else 0)
     length = np.sqrt((matrix * matrix).sum(axis=1))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -104,7 +104,7 @@ def ivf_cells(vectors: DataFrame, cells: int, sample: int = 20_000, column: str
     return KMeans(k=cells, seed=1, maxIter=10, initMode="random").fit(chosen)
 
 
-def knn_ivf(queries: DataFrame, vectors: DataFrame, k: int = TOP, cells: int = 16, probes: int = 6, query: str = "query_id", ident: str = "vec_id", column: str = "embedding") -> DataFrame:
+def knn_ivf(queries: DataFrame, vectors: DataFrame, k: int = TOP, cells: int = 16, probes: int = 12, query: str = "query_id", ident: str = "vec_id", column: str = "embedding") -> DataFrame:
     """Approximate search: every vector lies in the cell of its nearest centre, and each
     question looks into the ``probes`` cells whose centres are nearest."""
     model = ivf_cells(vectors, cells, column=column, ident=ident)

@@ -215,7 +215,8 @@ def page_sql() -> str:
         out = rf"regexp_replace({out}, '(?is)<{tag}\b.*?</{tag}\s*>', '', 'g')"
     out = rf"regexp_replace(regexp_replace({out}, '{analysis.LINE_ENDS}', chr(10), 'g'), '<[^>]*>', '', 'g')"
     for entity, character in analysis.ENTITIES:
-        out = f"replace({out}, '{entity}', '{character}')"
+        quoted = character.replace("'", "''")
+        out = f"replace({out}, '{entity}', '{quoted}')"
     return rf"trim(regexp_replace(regexp_replace({out}, '[ \t\r]+', ' ', 'g'), '\s*\n\s*', chr(10), 'g'))"
 
 

@@ -127,7 +127,7 @@ def unique_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "WITH RECURSIVE e AS (SELECT event_id, epoch_ms(ts) AS n, '' AS s FROM events UNION ALL SELECT event_id, n // 36, substr('0123456789abcdefghijklmnopqrstuvwxyz', (n % 36)::INT + 1, 1) || s FROM e WHERE n > 0) "
+    "WITH RECURSIVE e AS (SELECT event_id, epoch_us(ts) // 1000 AS n, '' AS s FROM events UNION ALL SELECT event_id, n // 36, substr('0123456789abcdefghijklmnopqrstuvwxyz', (n % 36)::INT + 1, 1) || s FROM e WHERE n > 0) "
     "SELECT event_id, 'bot_' || s || '_' || upper(substr(sha256(event_id::VARCHAR), 1, 6)) AS bot_key, trim(event_type) AS kind, coalesce(CASE WHEN event_type <> 'view' THEN value END, 0) AS value FROM e JOIN events USING (event_id) WHERE n = 0"
 )
 def normalize_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
