@@ -19,7 +19,8 @@ def chained(members: DataFrame, others: list[str]) -> DataFrame:
     """
     done = None
     while True:
-        heads = members.where(F.col("id").eqNullSafe(F.col("first"))).groupBy("key").agg(F.min("body").alias("head"))
+        # written, so that both sides of the join are dealt out for it and a key with very many rows can be split
+        heads = stored(members.where(F.col("id").eqNullSafe(F.col("first"))).groupBy("key").agg(F.min("body").alias("head")), "heads")
         compared = members.join(heads.hint("merge"), "key").withColumn("same", F.col("body") == F.col("head"))
         compared = stored(compared.select("key", "id", "first", "n", "same", F.when(~F.col("same"), F.col("body")).alias("body"), *others), "compared")
         rest = compared.where("not same")
