@@ -24,7 +24,8 @@ def star(edges: DataFrame, large: bool) -> DataFrame:
         pairs = flipped.union(edges.select(F.col("u").alias("n"), F.col("v").alias("m")))
     else:
         pairs = flipped
-    least = pairs.groupBy("n").agg(F.min("m").alias("least")).withColumn("least", F.least("least", "n"))
+    # written, so that both sides of the join are dealt out for it and a node with very many neighbours can be split
+    least = stored(pairs.groupBy("n").agg(F.min("m").alias("least")).withColumn("least", F.least("least", "n")), "least")
     joined = pairs.join(least.hint("merge"), "n")
     if large:
         out = joined.where(F.col("m") > F.col("n")).select(F.col("least").alias("u"), F.col("m").alias("v"))
