@@ -103,8 +103,8 @@ def decode_segment(data: bytes) -> np.ndarray:
     return (out + low[:, None]).ravel()[:n]
 
 
-WRITTEN = "part int, segment int, doc_ids array<bigint>, lengths array<bigint>, file binary"
-WRITTEN_ARROW = pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("file", pa.binary())])
+WRITTEN = "part int, segment int, start bigint, doc_ids array<bigint>, lengths array<bigint>, file binary"
+WRITTEN_ARROW = pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("start", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("file", pa.binary())])
 
 
 def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -112,8 +112,9 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, id_col: str =
 
     The text of a row is never split over segments: a segment ends after the document
     that fills it. A row of the written table is one segment file with its documents'
-    ids and numbers of tokens; ``part`` and ``segment`` give the order. Null texts are
-    empty (one end id), null ids come first, rows of equal ids follow each other.
+    ids and numbers of tokens; ``part`` and ``segment`` give the order, ``start`` the ids
+    of the part before the segment. Null texts are empty (one end id), null ids come
+    first, rows of equal ids follow each other.
     """
     spark = docs.sparkSession
 
@@ -121,12 +122,12 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, id_col: str =
         encoder, part, segment = word_encoder(tokenizer_path), TaskContext.get().partitionId(), 0
         ids: list[np.ndarray] = []
         names: list[int | None] = []
-        held = 0
+        held = start = 0
         end = np.array([END_ID], "<u2")
 
         def close() -> pa.RecordBatch:
             file = encode_segment(np.concatenate(ids))
-            return pa.RecordBatch.from_pylist([{"part": part, "segment": segment, "doc_ids": names, "lengths": [len(x) for x in ids], "file": file}], WRITTEN_ARROW)
+            return pa.RecordBatch.from_pylist([{"part": part, "segment": segment, "start": start, "doc_ids": names, "lengths": [len(x) for x in ids], "file": file}], WRITTEN_ARROW)
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -135,7 +136,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, id_col: str =
                 held += len(ids[-1])
                 if held >= SEGMENT_IDS:
                     yield close()
-                    ids, names, held, segment = [], [], 0, segment + 1
+                    ids, names, held, segment, start = [], [], 0, segment + 1, start + held
         if ids:
             yield close()
 
@@ -150,17 +151,14 @@ READ_ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_token
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """Reads segments back; one row per document with its place among all ids and a checksum.
 
-    Where a segment starts is a running sum over the segments of its part, and over the
-    parts, of which there are no more than shuffle partitions.
+    Where a part starts is a running sum over the parts, of which there are no more than
+    shuffle partitions; nothing else leaves the tasks that read the segments.
     """
     files = spark.read.parquet(path)
-    totals = files.select("part", "segment", F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
-    by_part = {r["part"]: r["n"] for r in totals.groupBy("part").agg(F.sum("n").alias("n")).collect()}
+    by_part = {r["part"]: r["n"] for r in files.groupBy("part").agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n")).collect()}
     before, total = {}, 0
     for part in sorted(by_part):
         before[part], total = total, total + by_part[part]
-    in_part = totals.select("part", F.struct("segment", "n").alias("s")).groupBy("part").agg(F.array_sort(F.collect_list("s")).alias("s"))
-    starts = in_part.select("part", F.transform("s", lambda x, i: F.struct(x["segment"].alias("segment"), F.aggregate(F.slice("s", 1, i), F.lit(0).cast("long"), lambda a, y: a + y["n"]).alias("start"))).alias("s")).select("part", F.inline("s"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,7 +169,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 sums = [zlib.crc32(ids[b:e]) for b, e in zip(begins.tolist(), ends.tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(begins + before[row["part"]] + row["start"]), pa.array(np.array(row["lengths"], np.int64)), pa.array(sums, pa.int64())], schema=READ_ARROW)
 
-    return files.join(starts.hint("shuffle_hash"), ["part", "segment"]).select("part", "start", "doc_ids", "lengths", "file").mapInArrow(check, READ)
+    return files.select("part", "start", "doc_ids", "lengths", "file").mapInArrow(check, READ)
 
 
 def token_blocks(docs: DataFrame, tokenizer_path: str) -> DataFrame:
