@@ -2,10 +2,12 @@
 
 Words become template tokens: numbers, units after a number, and names (capitalised words
 inside a sentence) become typed placeholders, anything else its bare lower-case form.
-Windows of template tokens of documents and benchmark items are joined by hash. A document
-leaks an item if windows at COVERAGE or more of the item's places are found, and if its
-slots are consistent: wherever the item repeats a value, the document has one value for
-it. Slots that are all equal make a verbatim leak, others a re-parameterised question.
+Windows of template tokens of documents and benchmark items are joined by hash. An item's
+window of mostly placeholders says too little as a template; it is joined by its values
+instead, so that such items are found verbatim only. A document leaks an item if windows
+at COVERAGE or more of the item's places are found, and if its slots are consistent:
+wherever the item repeats a value, the document has one value for it. Slots that are all equal make a verbatim leak, others a
+re-parameterised question.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ EDGE = re.compile(r"^[^\w$€£%+-]+|[^\w$€£%]+$")
 ENDS = re.compile(r"[.!?:][\"'”’)\]]*$")
 LITERAL_TOKEN, NUMBER_TOKEN, UNIT_WORD, NAME_WORD, END, EMPTY = 0, 1, 2, 4, 8, 16
 WORDS_KEPT = 500_000
+#: Tells hashes of values from hashes of templates.
+VALUES = np.uint64(xxhash.xxh64_intdigest("<values>"))
 PLACEHOLDERS = {kind: np.uint64(xxhash.xxh64_intdigest(f"<{kind}>")) for kind in ("number", "unit", "name")}
 
 
@@ -64,8 +68,8 @@ class Tokens(dict):
         return code
 
 
-def template(words: list[str], tokens: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, is a slot, place in ``words``) of the template tokens."""
+def template(words: list[str], tokens: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, hash of the value, is a slot, place in ``words``) of the template tokens."""
     code = np.fromiter(map(tokens.__getitem__, words), np.uint64, len(words))
     place = np.nonzero((code & np.uint64(EMPTY)) == 0)[0]
     code = code[place]
@@ -74,34 +78,59 @@ def template(words: list[str], tokens: Tokens) -> tuple[np.ndarray, np.ndarray,
     unit = (flag & UNIT_WORD > 0) & np.r_[False, number[:-1]][: len(flag)] & ~number
     inside = ~np.r_[True, (flag[:-1] & END) > 0][: len(flag)]
     name = (flag & NAME_WORD > 0) & inside & ~number & ~unit
-    out = code >> np.uint64(5)
+    plain = code >> np.uint64(5)
+    out = plain.copy()
     for kind, mask in (("number", number), ("unit", unit), ("name", name)):
         out[mask] = PLACEHOLDERS[kind]
-    return out, number | unit | name, place
+    return out, plain, number | unit | name, place
 
 
-def windows(tokens: np.ndarray, slots: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each window of ``size`` tokens, whether it has enough literal tokens)."""
-    n = len(tokens)
-    if n < size:
-        return np.zeros(0, np.uint64), np.zeros(0, bool)
+def literal(slots: np.ndarray, size: int) -> np.ndarray:
+    """Whether each window of ``size`` tokens has enough literal tokens."""
     taken = np.r_[0, np.cumsum(slots)]
-    return Rolling(tokens).windows(size), (taken[size:] - taken[:-size]) <= (1 - LITERAL) * size
+    return (taken[size:] - taken[:-size]) <= (1 - LITERAL) * size
 
 
-FOUND = pa.schema([("id", pa.int64()), ("row", pa.int64()), ("size", pa.int32()), ("n", pa.int64()), ("at", pa.int64()), ("hash", pa.int64()), ("slots", pa.list_(pa.string()))])
-FOUND_DDL = "id bigint, row bigint, size int, n bigint, at bigint, hash bigint, slots array<string>"
+def sizes_of(n: int) -> list[int]:
+    """Of the windows of an item of ``n`` tokens."""
+    return [min(WINDOW, n)]
 
 
-def found_windows(rows: DataFrame, sizes: list[int] | None, known: dict[int, np.ndarray] | None) -> DataFrame:
-    """Template windows of (doc_id, text) with the values of their slots, in order.
+class Sift:
+    """Which of many hashes are among the known; a table of their lowest bits turns most away."""
 
-    ``sizes``: of the windows; None gives each text its own, WINDOW or all it has.
-    ``known``: hashes by size; other windows are left out. ``n``: windows of the text.
+    def __init__(self, known: np.ndarray):
+        self.known = known
+        size = 1 << min(24, max(10, (16 * len(known)).bit_length()))
+        self.low = np.uint64(size - 1)
+        self.table = np.zeros(size, bool)
+        self.table[known & self.low] = True
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        at = np.nonzero(self.table[h & self.low])[0]
+        if not len(at):
+            return at
+        own = h[at]
+        return at[self.known[np.minimum(np.searchsorted(self.known, own), len(self.known) - 1)] == own]
+
+
+FOUND = pa.schema([("id", pa.int64()), ("row", pa.int64()), ("size", pa.int32()), ("n", pa.int64()), ("places", pa.int64()), ("at", pa.int64()), ("hash", pa.int64()), ("exact", pa.bool_()), ("slots", pa.list_(pa.string()))])
+FOUND_DDL = "id bigint, row bigint, size int, n bigint, places bigint, at bigint, hash bigint, exact boolean, slots array<string>"
+
+
+def found_windows(rows: DataFrame, sizes: dict[int, set[bool]] | None, known: dict[int, np.ndarray] | None) -> DataFrame:
+    """Windows of (doc_id, text) with the values of their slots, in order.
+
+    ``sizes``: of the windows, and whether they are joined by template, by values
+    (``exact``) or both; None gives each text those of an item, joined by values where
+    literal tokens are too few.
+    ``known``: hashes by size; other windows are left out. ``n``: tokens of the text;
+    ``places``: its windows of the size that are joined by template.
     """
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens()
+        sift = {size: Sift(own) for size, own in (known or {}).items()}
         for batch in batches:
             out: list[tuple] = []
 
@@ -111,21 +140,32 @@ def found_windows(rows: DataFrame, sizes: list[int] | None, known: dict[int, np.
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = text.as_py()
                 words = text.split()
-                value, slot, place = template(words, tokens)
-                for size in sizes or [min(WINDOW, len(value))]:
-                    if not size:
+                value, plain, slot, place = template(words, tokens)
+                rolling, exactly, row = Rolling(value), None, None
+                for size in sizes or sizes_of(len(value)):
+                    if not 0 < size <= len(value):
                         continue
-                    h, full = windows(value, slot, size)
-                    take = full.copy()
-                    if known is not None:
-                        own = known[size]
-                        at = np.minimum(np.searchsorted(own, h), len(own) - 1)
-                        take &= own[at] == h
-                    hits = np.nonzero(take)[0]
-                    row = xxhash.xxh64_intdigest(text) >> 1 if len(hits) else 0
-                    for k, x in zip(hits.tolist(), h[hits].view(np.int64).tolist()):
-                        values = [bare(words[place[j]]).lower() for j in range(k, k + size) if slot[j]]
-                        out.append((doc_id, row, size, int(full.sum()), k, x, values))
+                    full = literal(slot, size)
+                    for exact in sorted(sizes[size]) if sizes else (False, True):
+                        if exact:
+                            if not sizes and full.all():
+                                continue
+                            exactly = exactly or Rolling(plain)
+                            h, take = exactly.windows(size) ^ VALUES, np.ones(len(full), bool) if sizes else ~full
+                        else:
+                            h, take = rolling.windows(size), full
+                        if known is None:
+                            hits = np.nonzero(take)[0]
+                        else:
+                            hits = sift[size](h)
+                            hits = hits[take[hits]]
+                        if not len(hits):
+                            continue
+                        row = xxhash.xxh64_intdigest(text) >> 1 if row is None else row
+                        places = int(full.sum())
+                        for k, x in zip(hits.tolist(), h[hits].view(np.int64).tolist()):
+                            values = [bare(words[place[j]]).lower() for j in range(k, k + size) if slot[j]]
+                            out.append((doc_id, row, size, len(value), places, k, x, exact, values))
                 if len(out) >= 20_000:
                     yield made()
                     out = []
@@ -140,30 +180,39 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
     Null and empty texts and items hold no windows and never match. A row with a null id
     is reported with it. Rows or items that repeat an id are judged one by one and
-    reported once. An item shorter than a window is a window of its own length.
+    reported once. An item shorter than a window is a window of its own length. Every
+    item with a token has a window: where all are mostly slots, verbatim ones are found.
+    ``coverage`` is the share of the item's windows, or of its template windows if larger.
     """
     rows, items = id_and_text(docs, id_col, text_col), id_and_text(benchmark, item_col, text_col)
     asked = stored(found_windows(items, None, None), "item-windows")
-    sizes = sorted(r["size"] for r in asked.select("size").distinct().collect())  # at most WINDOW
+    sizes: dict[int, set[bool]] = {}  # of at most WINDOW
+    for r in asked.select("size", "exact").distinct().collect():
+        sizes.setdefault(r["size"], set()).add(r["exact"])
     known = None
     if asked.count() <= SIFTED:
         each = asked.select("size", "hash").distinct().toPandas()
         known = {s: np.sort(each["hash"].to_numpy(np.int64)[each["size"].to_numpy() == s].view(np.uint64)) for s in sizes}
-    asked = asked.select(F.col("id").alias("item_id"), F.col("row").alias("item_row"), "size", F.col("n").alias("places"), F.col("at").alias("place"), "hash", F.col("slots").alias("asked"))
+    asked = asked.select(F.col("id").alias("item_id"), F.col("row").alias("item_row"), "size", "n", F.when(F.col("size") == F.least("n", F.lit(WINDOW)), F.col("places")).alias("places"), F.col("at").alias("place"), "hash", "exact", F.col("slots").alias("asked"))
     if not sizes:
         return rows.limit(0).select("doc_id", F.lit(0).cast("long").alias("item_id"), F.lit(0.0).alias("coverage"), F.lit(True).alias("verbatim"))
-    hits = found_windows(rows, sizes, known).select("id", "row", "size", "at", "hash", "slots")
-    joined = hits.join(F.broadcast(asked) if known is not None else asked.hint("merge"), ["size", "hash"])
+    hits = found_windows(rows, sizes, known).select("id", "row", "size", "at", "hash", "exact", "slots")
+    joined = hits.join(F.broadcast(asked) if known is not None else asked.hint("merge"), ["size", "hash", "exact"])
     # an occurrence lies on one diagonal, or on some if words were put in or taken out
+    # windows of equal values have the item's slots; a text's first word is a name in others
+    joined = joined.withColumn("slots", F.expr("IF(exact, asked, slots)"))
     pairs = F.expr("transform(arrays_zip(asked, slots), x -> struct(x.asked AS a, x.slots AS b))")
-    key = ["id", "row", "item_id", "item_row", "places"]
-    runs = joined.groupBy(*key, (F.col("at") - F.col("place")).alias("diagonal")).agg(F.collect_set("place").alias("found"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))
+    key = ["id", "row", "item_id", "item_row", "n"]
+    window = F.struct("place", "size", (~F.col("exact") & F.col("places").isNotNull()).alias("counts"))
+    runs = joined.groupBy(*key, (F.col("at") - F.col("place")).alias("diagonal")).agg(F.collect_set(window).alias("found"), F.max("places").alias("places"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))
     # values less those with a second partner: how many have one value of the document
     runs = runs.withColumn("values", F.expr("size(array_distinct(pairs.a))")).where(2 * F.col("values") - F.size("pairs") >= CONSISTENT * F.col("values"))
-    whole = runs.groupBy(*key).agg(F.array_distinct(F.flatten(F.collect_set("found"))).alias("found"), F.min(F.expr("forall(pairs, x -> x.a = x.b)")).alias("same"))
-    judged = whole.withColumn("covered", F.size("found")).where(F.col("covered") >= COVERAGE * F.col("places"))
-    return judged.groupBy(F.col("id").alias("doc_id"), "item_id").agg(F.max(F.col("covered") / F.col("places")).alias("coverage"), F.max("same").alias("verbatim"))
-
+    whole = runs.groupBy(*key).agg(F.array_distinct(F.flatten(F.collect_set("found"))).alias("found"), F.max("places").alias("places"), F.min(F.expr("forall(pairs, x -> x.a = x.b)")).alias("same"))
+    of_all = F.expr(f"size(array_distinct(transform(found, x -> x.place))) / (n - least(n, {WINDOW}) + 1)")
+    of_windows = F.expr("coalesce(size(array_distinct(transform(filter(found, x -> x.counts), x -> x.place))) / nullif(places, 0), 0)")
+    whole = whole.withColumn("coverage", F.greatest(of_all, of_windows))
+    judged = whole.where(F.col("coverage") >= COVERAGE)
+    return judged.groupBy(F.col("id").alias("doc_id"), "item_id").agg(F.max("coverage").alias("coverage"), F.max("same").alias("verbatim"))
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:

@@ -36,3 +36,14 @@ def test_planted(spark, monkeypatch, sifted):
     assert kept.columns == docs.columns
     assert sorted(r["doc_id"] for r in kept.collect()) == [3, 5, 6, 7, 8, *range(100, 150)]
     assert d.leaks(docs.limit(0), items).count() == 0 == d.leaks(docs, items.limit(0)).count()
+
+
+@pytest.mark.parametrize("sifted", [d.SIFTED, 0])
+def test_items_of_slots_are_found_verbatim(spark, monkeypatch, sifted):
+    monkeypatch.setattr(d, "SIFTED", sifted)
+    rows = "Add 17, 23, 42, 65, 81, 90 and 104."
+    names = "Paris Rome Lima Oslo Bern Cairo Quito Delhi Tokyo"
+    items = spark.createDataFrame([(1, rows), (2, names), (3, "7 8")], "item_id long, text string")
+    texts = [f"First some words. {rows} And more.", rows.replace("42", "43").replace("81", "82"), f"towns like {names} lie far apart", "Lima Rome Oslo Paris Cairo Bern Delhi Quito Tokyo", "from 7 8 times", "from 7 9 times", "Add 1, 2, 3 and 4."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {(r["doc_id"], r["item_id"], r["coverage"], r["verbatim"]) for r in d.leaks(docs, items).collect()} == {(0, 1, 1.0, True), (2, 2, 1.0, True), (4, 3, 1.0, True)}
