@@ -4,9 +4,10 @@ Words become template tokens: numbers, units after a number, and names (capitali
 inside a sentence) become typed placeholders, anything else its bare lower-case form.
 Windows of template tokens of documents and benchmark items are joined by hash. An item's
 window of mostly placeholders says too little as a template; it is joined by its values
-instead, so that such items are found verbatim only. A document leaks an item if windows
-at COVERAGE or more of the item's places are found, and if its slots are consistent:
-wherever the item repeats a value, the document has one value for it. Slots that are all equal make a verbatim leak, others a
+instead, so that such items are found verbatim only. A document leaks an item if found
+windows hold COVERAGE or more of the item's tokens, WINDOW of them at least, or RUN tokens
+in a row, and if its slots are consistent: wherever the item repeats a value, the document
+has one value for it. Slots that are all equal make a verbatim leak, others a
 re-parameterised question.
 """
 
@@ -27,6 +28,8 @@ from quarry.llm.rolling import Rolling
 WINDOW, COVERAGE, CONSISTENT = 8, 0.5, 0.8
 #: Least share of a window's tokens that are no placeholders.
 LITERAL = 0.5
+#: Tokens in a row that are a leak by themselves, and the shortest windows of short items.
+RUN, SHORTEST = 13, 3
 #: Item windows that may be sent to every task to sift documents' windows before the join.
 #: With more, nothing is sifted and every window of the documents is joined.
 SIFTED = 1_000_000
@@ -92,8 +95,11 @@ def literal(slots: np.ndarray, size: int) -> np.ndarray:
 
 
 def sizes_of(n: int) -> list[int]:
-    """Of the windows of an item of ``n`` tokens."""
-    return [min(WINDOW, n)]
+    """Of the windows of an item of ``n`` tokens: a replaced word leaves WINDOW tokens in them.
+
+    Up to WINDOW tokens are one window. Up to twice as many have shorter ones besides.
+    """
+    return [n] if n <= WINDOW else sorted({max(SHORTEST, min(WINDOW, n - WINDOW)), WINDOW})
 
 
 class Sift:
@@ -182,7 +188,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     is reported with it. Rows or items that repeat an id are judged one by one and
     reported once. An item shorter than a window is a window of its own length. Every
     item with a token has a window: where all are mostly slots, verbatim ones are found.
-    ``coverage`` is the share of the item's windows, or of its template windows if larger.
+    Windows shorter than WINDOW count together only if they lie near each other.
+    ``coverage`` is the share of the item's tokens, or of its template windows if larger.
     """
     rows, items = id_and_text(docs, id_col, text_col), id_and_text(benchmark, item_col, text_col)
     asked = stored(found_windows(items, None, None), "item-windows")
@@ -207,11 +214,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     runs = joined.groupBy(*key, (F.col("at") - F.col("place")).alias("diagonal")).agg(F.collect_set(window).alias("found"), F.max("places").alias("places"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))
     # values less those with a second partner: how many have one value of the document
     runs = runs.withColumn("values", F.expr("size(array_distinct(pairs.a))")).where(2 * F.col("values") - F.size("pairs") >= CONSISTENT * F.col("values"))
-    whole = runs.groupBy(*key).agg(F.array_distinct(F.flatten(F.collect_set("found"))).alias("found"), F.max("places").alias("places"), F.min(F.expr("forall(pairs, x -> x.a = x.b)")).alias("same"))
-    of_all = F.expr(f"size(array_distinct(transform(found, x -> x.place))) / (n - least(n, {WINDOW}) + 1)")
+    step = "IF(x.place <= a.end, a.start, x.place)"
+    runs = runs.withColumn("longest", F.expr(f"aggregate(array_sort(found), struct(-1L AS start, -1L AS end, 0L AS best), (a, x) -> struct({step} AS start, greatest(a.end, x.place + x.size) AS end, greatest(a.best, x.place + x.size - {step}) AS best), a -> a.best)"))
+    # of two regions that overlap by half, one holds all diagonals of an occurrence
+    near = F.expr(f"IF(n >= {2 * WINDOW}, array(0L), array(2 * floor(diagonal / (2 * n)), 2 * floor((diagonal + n) / (2 * n)) + 1))")
+    whole = runs.withColumn("region", F.explode(near)).groupBy(*key, "region").agg(F.array_distinct(F.flatten(F.collect_set("found"))).alias("found"), F.max("places").alias("places"), F.max("longest").alias("longest"), F.min(F.expr("forall(pairs, x -> x.a = x.b)")).alias("same"))
+    whole = whole.withColumn("covered", F.expr("size(array_distinct(flatten(transform(found, x -> sequence(x.place, x.place + x.size - 1)))))"))
     of_windows = F.expr("coalesce(size(array_distinct(transform(filter(found, x -> x.counts), x -> x.place))) / nullif(places, 0), 0)")
-    whole = whole.withColumn("coverage", F.greatest(of_all, of_windows))
-    judged = whole.where(F.col("coverage") >= COVERAGE)
+    whole = whole.withColumn("coverage", F.greatest(F.col("covered") / F.col("n"), of_windows))
+    enough = (F.col("coverage") >= COVERAGE) & (F.col("covered") >= F.least("n", F.lit(WINDOW)))
+    judged = whole.where(enough | (F.col("longest") >= RUN))
     return judged.groupBy(F.col("id").alias("doc_id"), "item_id").agg(F.max("coverage").alias("coverage"), F.max("same").alias("verbatim"))
 
 

@@ -47,3 +47,28 @@ def test_items_of_slots_are_found_verbatim(spark, monkeypatch, sifted):
     texts = [f"First some words. {rows} And more.", rows.replace("42", "43").replace("81", "82"), f"towns like {names} lie far apart", "Lima Rome Oslo Paris Cairo Bern Delhi Quito Tokyo", "from 7 8 times", "from 7 9 times", "Add 1, 2, 3 and 4."]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {(r["doc_id"], r["item_id"], r["coverage"], r["verbatim"]) for r in d.leaks(docs, items).collect()} == {(0, 1, 1.0, True), (2, 2, 1.0, True), (4, 3, 1.0, True)}
+
+
+@pytest.mark.parametrize("sifted", [d.SIFTED, 0])
+def test_parts_and_edited_items_are_leaks(spark, monkeypatch, sifted):
+    monkeypatch.setattr(d, "SIFTED", sifted)
+    rng, words = random.Random(4), vocabulary()
+    items = {n: rng.sample(words, n) for n in (11, 13, 15, 16, 17, 18, 22, 40)}
+    docs, want = [], {}
+
+    def put(text, n, leaks):
+        docs.append((len(docs), f"{' '.join(rng.sample(words, 30))} zzz {' '.join(text)} zzz {' '.join(rng.sample(words, 30))}"))
+        want[len(docs) - 1] = {n} if leaks else set()
+
+    for n in (11, 13, 15, 16, 17, 18, 22):
+        for k in range(n):
+            put(items[n][:k] + ["other"] + items[n][k + 1 :], n, True)
+            put(items[n][:k] + ["other"] + items[n][k:], n, True)
+        put(items[n][: 7 if n < 16 else 6], n, False)
+    for n in (12, 13, 19):
+        put(items[40][11 : 11 + n], 40, n >= 13)
+    put([w for k in range(0, 9, 3) for w in [*items[11][k : k + 3], *rng.sample(words, 40)]], 11, False)
+    got = {i: set() for i in want}
+    for r in d.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")).collect():
+        got[r["doc_id"]].add(r["item_id"])
+    assert {i: (got[i], want[i], docs[i][1]) for i in want if got[i] != want[i]} == {}
