@@ -16,10 +16,13 @@ WORD_GAP = r"[\x20\x09-\x0D]+"
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder the cluster shares (spark.checkpoint.dir).
 
-    Where the session names none, as in tests, one is made and set.
+    Where a local session names none, as in tests, one is made and set. On a cluster a
+    folder of one machine would lose rows, so there it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
         base = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from quarry.llm.exact_dedup import directory, drop_copies, exact_groups
+from quarry.llm.exact_dedup import directory, drop_copies, exact_groups, owners
 
 
 def norm(text):
@@ -24,12 +24,18 @@ def test_directory(capacity):
     assert directory({}, capacity, 8) == (0, [0])
 
 
+def test_owners():
+    assert owners([5, 5, 5, 5], 2) == [0, 0, 1, 1] and owners([0], 3) == [0]
+    own = owners([1, 90, 1, 1, 1, 1, 1], 4)
+    assert own == sorted(own) and max(own) <= 3
+
+
 ROWS = [(9, "a b"), (3, "a  \n b"), (3, "a b"), (None, "a\tb"), (5, None), (4, ""), (None, "only"), (None, "only"), (7, " a b"), (8, "a b"), (1, "x " * 40_000), (2, "x\n" * 40_000), (2, "x\n" * 40_000)]
 
 
-@pytest.mark.parametrize("key_bits", [64, 2, 0])
-def test_groups(spark, key_bits):
-    rows = [(i, t, "clash") for i, t in ROWS] + [(100 + k, f"text {k % 30}", "clash") for k in range(90)]
+@pytest.mark.parametrize("key_bits, capacity", [(64, 4096), (64, 3), (5, 1), (2, 4096), (0, 4096)])
+def test_groups(spark, key_bits, capacity):
+    rows = [(i, t, "clash") for i, t in ROWS] + [(100 + k, f"text {k % 30}", "clash") for k in range(90)] + [(None if k % 2 else 500 + k, "hot  text", "clash") for k in range(120)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, key string").repartition(3)
     groups = {}
     for i, t, _ in rows:
@@ -39,7 +45,7 @@ def test_groups(spark, key_bits):
         ids = groups[norm(t)]
         keep = min((x for x in ids if x is not None), default=None)
         want.append((i, keep, len(ids), i == keep, hashlib.sha256(norm(t).encode()).hexdigest()))
-    assert sorted(map(tuple, exact_groups(docs, key_bits=key_bits).collect()), key=str) == sorted(want, key=str)
+    assert sorted(map(tuple, exact_groups(docs, key_bits=key_bits, capacity=capacity).collect()), key=str) == sorted(want, key=str)
 
 
 def test_drop_copies(spark):
@@ -48,3 +54,5 @@ def test_drop_copies(spark):
     assert got.columns == docs.columns
     assert sorted((r["doc_id"] for r in got.collect()), key=str) == sorted([3, 4, 7, 8, 1, None], key=str)
     assert exact_groups(docs.limit(0)).count() == 0 and drop_copies(docs.limit(0)).count() == 0
+    once = spark.createDataFrame([(i, t, 1) for i, t in enumerate(["a b", "a\tb", None, "", " ", "c"])], "doc_id long, text string, __sha int")
+    assert sorted((r["doc_id"] for r in drop_copies(once).collect())) == [0, 2, 4, 5] and drop_copies(once).columns == once.columns
