@@ -8,15 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import documents
+from quarry.llm.common import documents, stored
 from quarry.llm.decontamination import leaks
 from quarry.llm.exact_dedup import SQL as EXACT_DEDUP_SQL
 from quarry.llm.exact_dedup import exact_groups
 from quarry.llm.line_dedup import SQL as LINE_DEDUP_SQL
 from quarry.llm.line_dedup import line_dedup
 from quarry.llm.packing import pack
+from quarry.llm.quotes import CONVERSATIONS_SQL, conversations, reply_ordered, with_quotes
 from quarry.llm.quotes import SQL as QUOTES_SQL
-from quarry.llm.quotes import reply_ordered
 from quarry.llm.simhash import near_duplicates
 from quarry.llm.substring_dedup import substring_dedup
 from quarry.llm.token_blocks import token_blocks
@@ -60,6 +60,14 @@ def op8_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reply_ordered(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def quoted_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 8 over the conversations with quotes put in, built into whole threads."""
+    messages = stored(with_quotes(spark.read.parquet(f"{sf_dir}/conversations.parquet")), "quoted-messages")
+    built = conversations(reply_ordered(messages))
+    text = F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(": "), m["text"])), "\n")
+    return built.select("conv_id", "thread", "part", F.size("messages").cast("long").alias("n_messages"), "n_quotes", "n_linked", text.alias("conversation"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(documents(spark, sf_dir))
 
@@ -77,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_counts": op6_token_counts,
     "op7_line_dedup": op7_line_dedup,
     "op8_quotes": op8_quotes,
+    "quoted_conversations": quoted_conversations,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_packing": op10_packing,
 }
@@ -84,5 +93,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op7_line_dedup": LINE_DEDUP_SQL,
     "op8_quotes": QUOTES_SQL,
+    "quoted_conversations": CONVERSATIONS_SQL,
     "op9_exact_dedup": EXACT_DEDUP_SQL,
 }

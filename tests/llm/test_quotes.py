@@ -21,6 +21,11 @@ ROWS = [
     (None, 1, "user", "> same\nnull conversation"),
     (3, None, "user", "> same\nnull turn"),
     (4, 0, "user", "long " * 20_000),
+    (5, 0, "user", "first words"),
+    (5, 1, "user", "second words"),
+    (5, 2, "user", ">> first words\nonly a deeper quote"),
+    (5, 3, "user", ">>> first words\n>> second words\n> nobody said this\nmixed"),
+    (5, 4, "user", ">> first words\n> second words\n>> second words\nall levels"),
 ]
 
 
@@ -40,6 +45,7 @@ def test_against_sql(spark):
     assert by[1, 2]["text"] == "Good to know" and by[1, 3]["text"] == "Yes\nindeed"
     assert by[9, 39]["depth"] == 39 and by[9, 39]["thread"] == 0
     assert by[2, 0]["n_linked"] == 0 and by[3, 7]["reply_to"] == 5
+    assert [(by[5, k]["reply_to"], by[5, k]["n_quotes"], by[5, k]["n_linked"]) for k in (2, 3, 4)] == [(0, 1, 1), (1, 3, 2), (1, 3, 3)]
     whole = {(r["conv_id"], r["thread"]): [m["turn"] for m in r["messages"]] for r in conversations(got).collect()}
     assert whole[1, 0] == [0, 2, 3, 4, 5, 6] and whole[1, 1] == [1]
     assert reply_ordered(messages.limit(0)).count() == 0
