@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import id_and_text, partitions, stored
@@ -192,11 +192,8 @@ def learn_lexicons(labelled: DataFrame, sizes: dict[tuple[int, int], int]) -> li
         lower = odds - 1.645 * F.sqrt(1 / (t + 0.5) + 1 / (c + 0.5))
         each.append(F.struct(F.lit(f).alias("lexicon"), F.when(t >= 3, lower).alias("w")))
     weighed = counted.select("term", F.explode(F.array(*each)).alias("e")).select("term", "e.*").where(F.col("w") >= LEAST_WEIGHT)
-    best = weighed.withColumn("turn", F.row_number().over(Window.partitionBy("lexicon").orderBy(F.desc("w"), "term"))).where(F.col("turn") <= TERMS)
-    out: list[dict[str, float]] = [{} for _ in range(FOLDS + 1)]
-    for r in best.collect():
-        out[r["lexicon"]][r["term"]] = r["w"]
-    return out
+    weighed = stored(weighed, "term-weights")
+    return [{r["term"]: r["w"] for r in weighed.where(F.col("lexicon") == f).orderBy(F.desc("w"), "term").limit(TERMS).collect()} for f in range(FOLDS + 1)]
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
