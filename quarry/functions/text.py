@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -48,6 +50,11 @@ def fixed_chunks(text: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVER
     return F.transform(starts, lambda i: F.substring(text, i + 1, F.lit(size)))
 
 
+def fixed_chunk_at(text: Column, index: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> Column:
+    """The window of that number, from 0."""
+    return F.substring(text, index * (size - overlap) + 1, F.lit(size))
+
+
 SEPARATORS = ("\n\n", "\n", " ", "")
 
 
@@ -63,22 +70,29 @@ def split_recursively(text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OV
         rest = rest[1:]
     gap = rest[0]
     out: list[str] = []
-    held: list[str] = []
+    held: deque[str] = deque()
 
     def flush() -> None:
         if chunk := gap.join(held).strip():
             out.append(chunk)
 
+    length = 0  # of the held pieces and the gaps between them
+
+    def first_out() -> int:
+        return len(held.popleft()) + (len(gap) if held else 0)
+
     for piece in text.split(gap) if gap else list(text):
         if len(piece) > size:
             flush()
             held.clear()
+            length = 0
             out.extend(split_recursively(piece, size, overlap, rest[1:]))
             continue
-        if held and sum(map(len, held)) + len(gap) * len(held) + len(piece) > size:
+        if held and length + len(gap) + len(piece) > size:
             flush()
-            while held and (sum(map(len, held)) + len(gap) * (len(held) - 1) > overlap or sum(map(len, held)) + len(gap) * len(held) + len(piece) > size):
-                held.pop(0)
+            while held and (length > overlap or length + len(gap) + len(piece) > size):
+                length -= first_out()
+        length += len(piece) + (len(gap) if held else 0)
         held.append(piece)
     flush()
     return out

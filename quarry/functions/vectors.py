@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -49,12 +50,42 @@ def token_bucket(token: str, dimensions: int) -> int:
     return int(hashlib.md5(token.encode("utf-8")).hexdigest()[:8], 16) % dimensions
 
 
+class Buckets(dict):
+    """token -> bucket, remembered by a worker up to a bound."""
+
+    KEPT = 500_000
+
+    def __init__(self, dimensions: int):
+        super().__init__()
+        self.dimensions = dimensions
+
+    def __missing__(self, token: str) -> int:
+        bucket = token_bucket(token, self.dimensions)
+        if len(self) < self.KEPT:
+            self[token] = bucket
+        return bucket
+
+
+@lru_cache(maxsize=4)
+def worker_buckets(dimensions: int) -> Buckets:
+    return Buckets(dimensions)
+
+
+def hashed_counts(texts: list[str | None], dimensions: int = DIMENSIONS) -> np.ndarray:
+    """(texts, dimensions): how many tokens of each cleaned text fall in each bucket, counted over the whole batch."""
+    bucket = worker_buckets(dimensions).__getitem__
+    cut = [text.split() if text else [] for text in texts]
+    sizes = np.fromiter(map(len, cut), np.int64, len(cut))
+    own = np.fromiter(map(bucket, chain.from_iterable(cut)), np.int64, int(sizes.sum()))
+    cell = np.repeat(np.arange(len(cut)) * dimensions, sizes) + own
+    return np.bincount(cell, minlength=len(cut) * dimensions).astype(np.float64).reshape(len(cut), dimensions)
+
+
 def hashing_counts(dimensions: int = DIMENSIONS):
     """Vectorised function: how many tokens of a cleaned text fall in each bucket, as array<double>."""
 
     @F.pandas_udf(ArrayType(DoubleType()))
     def count(cleaned: pd.Series) -> pd.Series:
-        bucket = lru_cache(maxsize=200_000)(lambda token: token_bucket(token, dimensions))
-        return cleaned.map(lambda text: np.bincount([bucket(t) for t in (text or "").split(" ") if t], minlength=dimensions).astype(float) if text else np.zeros(dimensions))
+        return pd.Series(list(hashed_counts(cleaned.tolist(), dimensions)))
 
     return count

@@ -53,7 +53,7 @@ def citations(hits: DataFrame, query: str = "query_id") -> DataFrame:
 
 def prompts(asked: DataFrame, context: DataFrame, query: str = "query_id", template: str = ANSWER_PROMPT) -> DataFrame:
     """Every question with its context in a prompt; a question without hits has an empty context."""
-    both = asked.join(context, query, "left")
+    both = asked.join(context.hint("shuffle_hash"), query, "left")
     return both.withColumn("prompt", fill(template, question=F.col("question"), context=F.col("context"), no_answer=NO_ANSWER))
 
 

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from quarry.functions.text import clean_text, fixed_chunks, preview
-from quarry.functions.vectors import DIMENSIONS, hashing_counts, l2_normalize, norm
+from quarry.functions.vectors import DIMENSIONS, hashed_counts
 
 
 def new_files(files: DataFrame, stored: DataFrame) -> DataFrame:
@@ -53,10 +58,35 @@ def fixed_chunk_rows(files: DataFrame, keys: list[str], text: str = "text") -> D
     return chunk_rows(files, fixed_chunks(F.col(text)), keys)
 
 
-def embedded(rows: DataFrame, text: str = "content", dimensions: int = DIMENSIONS) -> DataFrame:
-    """Adds ``embedding``: feature hashing of the cleaned text, normalised. A text that is empty once cleaned gets a zero vector."""
-    counted = rows.withColumn("__counts", hashing_counts(dimensions)(clean_text(F.col(text))))
-    return counted.withColumn("embedding", l2_normalize(F.col("__counts"))).drop("__counts")
+Embed = Callable[[list[str]], "np.ndarray | list[list[float]]"]
+
+
+def embedded(rows: DataFrame, text: str = "content", dimensions: int = DIMENSIONS, embed: Embed | None = None) -> DataFrame:
+    """Adds ``embedding``, the cleaned text through a model, normalised, and ``empty_text``.
+
+    ``embed`` takes a batch of cleaned texts and gives a vector for each; without one, words
+    are hashed to ``dimensions`` features. A text that is empty once cleaned is flagged and not
+    embedded: its vector is null, as it is where the model fails on a batch. A zero vector
+    stays as it is.
+    """
+    hook = embed or (lambda texts: hashed_counts(texts, dimensions))
+
+    @F.pandas_udf(ArrayType(DoubleType()))
+    def vectors(cleaned: pd.Series) -> pd.Series:
+        out = np.full(len(cleaned), None, object)
+        some = np.nonzero((cleaned.fillna("") != "").to_numpy())[0]
+        if len(some):
+            try:
+                found = np.asarray(hook(cleaned.iloc[some].tolist()), np.float64)
+            except Exception:  # the gate sees the missing vectors
+                return pd.Series(out)
+            length = np.sqrt((found * found).sum(axis=1, keepdims=True))
+            for k, v in zip(some.tolist(), found / np.where(length > 0, length, 1.0)):
+                out[k] = v
+        return pd.Series(out)
+
+    clean = rows.withColumn("__clean", F.coalesce(clean_text(F.col(text)), F.lit("")))
+    return clean.withColumn("embedding", vectors("__clean")).withColumn("empty_text", F.col("__clean") == "").drop("__clean")
 
 
 def dimension_violations(vectors: DataFrame, dimensions: int, column: str = "embedding") -> DataFrame:
@@ -65,10 +95,6 @@ def dimension_violations(vectors: DataFrame, dimensions: int, column: str = "emb
     return vectors.where(v.isNull() | (F.size(v) != dimensions) | F.exists(v, lambda x: x.isNull()))
 
 
-def zero_vectors(vectors: DataFrame, column: str = "embedding") -> DataFrame:
-    return vectors.where(norm(F.col(column)) == 0)
-
-
 def gate(chunks: DataFrame, keys: list[str], ok: Column) -> DataFrame:
     """Total and stored chunks of each file, and whether the file is complete: all or nothing."""
     counted = chunks.groupBy(*keys).agg(F.max("total_chunks").cast("long").alias("total"), F.count_if(ok).alias("processed"))
@@ -77,4 +103,4 @@ def gate(chunks: DataFrame, keys: list[str], ok: Column) -> DataFrame:
 
 def catalogue(files: DataFrame, gates: DataFrame, keys: list[str]) -> DataFrame:
     """Catalogue rows of the complete files."""
-    return files.join(gates.where("complete").select(*keys), keys, "left_semi")
+    return files.join(gates.where("complete").select(*keys).hint("merge"), keys, "left_semi")

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.operators.context import NO_ANSWER
+from quarry.operators.context import NO_ANSWER, TOOL_PROMPT, fill
 
 Generate = Callable[[list[str]], list[str]]
 
@@ -36,7 +36,7 @@ def split_errors(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 def extractive_answers(asked: DataFrame, hits: DataFrame, query: str = "query_id") -> DataFrame:
     """The default answer: the nearest chunk, or that nothing is known."""
     top = hits.where("rank = 1").select(query, F.trim("content").alias("__top"))
-    joined = asked.join(top, query, "left")
+    joined = asked.join(top.hint("shuffle_hash"), query, "left")
     return joined.withColumn("answer", F.coalesce(F.nullif("__top", F.lit("")), F.lit(NO_ANSWER))).drop("__top")
 
 
@@ -44,7 +44,7 @@ def answered(asked: DataFrame, hits: DataFrame, tool_answers: DataFrame, query:
     """A tool's answer where there is one, else the answer from the chunks: a failed tool falls through."""
     found = extractive_answers(asked, hits, query)
     tool = tool_answers.select(query, F.col("answer").alias("__tool"))
-    joined = found.join(tool, query, "left")
+    joined = found.join(tool.hint("shuffle_hash"), query, "left")
     source = F.when(F.col("__tool").isNotNull(), "tool").when(F.col("answer") == NO_ANSWER, "none").otherwise("context")
     return joined.withColumn("answered_by", source).withColumn("answer", F.coalesce("__tool", "answer")).drop("__tool").withColumn("success", F.col("answered_by") != "none")
 
@@ -54,4 +54,13 @@ def expanded(asked: DataFrame, synonyms: DataFrame, query: str = "query_id", tex
     words = asked.select(query, F.posexplode(F.split(F.lower(text), "[^\\p{L}\\p{N}]+")).alias("place", "word"))
     added = words.join(synonyms.hint("shuffle_hash"), "word").groupBy(query).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "synonym"))), lambda x: x["synonym"]), " ").alias("__more"))
     out = F.concat_ws(" ", F.col(text), F.col("__more"))
-    return asked.join(added, query, "left").withColumn("expanded", out).drop("__more")
+    return asked.join(added.hint("shuffle_hash"), query, "left").withColumn("expanded", out).drop("__more")
+
+
+def answered_from_tools(calls: DataFrame, generate: Generate) -> DataFrame:
+    """Adds answer and error to calls with question, result and system_prompt: what a model makes of a tool's result.
+
+    ``result`` is a struct or a map; the model is shown it as JSON.
+    """
+    prompt = fill(TOOL_PROMPT, system_prompt=F.col("system_prompt"), question=F.col("question"), result=F.to_json("result"))
+    return generated(calls.withColumn("prompt", prompt), generate).drop("prompt")

@@ -1,28 +1,40 @@
 """Batch vector search: many questions against all vectors, exact and approximate.
 
-The exact search sends the questions to the data: each task multiplies batches of vectors
-with the matrix of questions and keeps its k best for each, so that no more than k rows a
-task and question are shuffled. The number of questions sent at a time is bounded; more
-are searched in blocks.
+Questions are sent to the data in blocks of bounded size, one block after the other: each
+task multiplies batches of vectors with the block's matrix and keeps its k best for each
+question, so that vectors are never shuffled and no more than k rows a task and question
+are. What a task finds for a block is written to the shared folder before the next block
+is sent. Questions may be tied to groups (a bot's own vectors, cells of an index): then
+distances are computed inside groups only.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from quarry.functions.vectors import cosine_distance, l2_distance
+from quarry.sources.scratch import scratch_path
 
 #: Questions in one block: a block of 2,048 of 768 dimensions is 12 MB.
 BLOCK = 2048
 TOP = 10
 ROUNDED = 9
+#: Vectors that are multiplied with a block at a time: 16 MB of distances.
+ROWS = 1024
+
+#: The groups of vectors: (rows, dimensions) -> (rows, memberships) integers.
+Groups = Callable[[np.ndarray], np.ndarray]
 
 
 def ranked(pairs: DataFrame, k: int, query: str, ident: str) -> DataFrame:
@@ -31,62 +43,112 @@ def ranked(pairs: DataFrame, k: int, query: str, ident: str) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def knn(queries: DataFrame, vectors: DataFrame, k: int = TOP, query: str = "query_id", ident: str = "vec_id", column: str = "embedding", metric: str = "cosine", where: Column | None = None) -> DataFrame:
+def knn(queries: DataFrame, vectors: DataFrame, k: int = TOP, query: str = "query_id", ident: str = "vec_id", column: str = "embedding", metric: str = "cosine", where: Column | None = None, by: str | None = None) -> DataFrame:
     """(query, id, distance, rank) of the k nearest vectors of each question.
 
-    ``where`` selects vectors before they are ranked. A zero vector is at distance NaN of
-    all by cosine, which ranks last; rows without a vector are not searched.
+    ``where`` selects vectors before they are ranked. ``by`` names a column of both tables: a
+    question meets only vectors with its own value of it, as with a table for each bot. A zero
+    vector is at distance NaN of all by cosine, which ranks last; rows without a vector, and
+    with ``by`` those without a value, are not searched. Ids are of any type.
     """
     base = vectors.where(where) if where is not None else vectors
-    base = base.where(F.col(column).isNotNull()).select(F.col(ident).alias("id"), F.col(column).cast("array<double>").alias("v"))
-    kept = queries.select(F.col(query).alias("q"), F.col(column).cast("array<double>").alias("v")).where("v IS NOT NULL")
-    blocks = -(-kept.count() // BLOCK)
+    return searched(queries, base, k, query, ident, column, metric, by)
+
+
+def searched(queries: DataFrame, vectors: DataFrame, k: int, query: str, ident: str, column: str, metric: str = "cosine", by: str | None = None, groups: Groups | None = None, asked_groups: Groups | None = None) -> DataFrame:
+    """Search inside the groups of column ``by``, or of the functions ``groups`` (of vectors) and
+    ``asked_groups`` (of questions); inside one group of all where there is neither."""
+    spark = vectors.sparkSession
+    group = F.col(by) if by else F.lit(0)
+    base = vectors.where(F.col(column).isNotNull()).select(F.col(ident).alias("id"), group.alias("g"), F.col(column).cast("array<double>").alias("v"))
+    asked = queries.where(F.col(column).isNotNull()).select(F.col(query).alias("q"), group.alias("g"), F.col(column).cast("array<double>").alias("v"))
+    path = scratch_path(spark, "questions")
+    blocks = max(1, -(-asked.count() // BLOCK))
+    asked.withColumn("block", F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int")).write.partitionBy("block").parquet(path)
+    written = spark.read.schema(StructType([*asked.schema.fields, StructField("block", IntegerType())])).parquet(path)
+    types = {f.name: f.dataType for f in [*asked.select("q").schema, *base.select("id").schema]}
+    schema = pa.schema([("q", to_arrow_type(types["q"])), ("id", to_arrow_type(types["id"])), ("distance", pa.float64())])
+    ddl = f"q {types['q'].simpleString()}, id {types['id'].simpleString()}, distance double"
     found = None
-    for b in range(max(blocks, 1)):
-        part = (kept if blocks <= 1 else kept.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b)).toPandas()
-        one = block_search(base, part, k, metric)
+    for b in range(blocks):
+        part = written.where(F.col("block") == b).select("q", "g", "v").toPandas()  # a block at a time
+        one = block_search(base, part, k, metric, schema, ddl, groups, asked_groups)
+        if blocks > 1:
+            out = scratch_path(spark, "found")
+            one.write.parquet(out)
+            one = spark.read.schema(one.schema).parquet(out)
         found = one if found is None else found.union(one)
-    types = {f.name: f.dataType for f in queries.select(query).schema} | {f.name: f.dataType for f in vectors.select(ident).schema}
-    out = ranked(found, k, "q", "id")
-    return out.select(F.col("q").cast(types[query]).alias(query), F.col("id").cast(types[ident]).alias(ident), "distance", "rank")
+    return ranked(found.withColumnsRenamed({"q": query, "id": ident}), k, query, ident)
 
 
-def block_search(base: DataFrame, part: pd.DataFrame, k: int, metric: str) -> DataFrame:
+def block_search(base: DataFrame, part: pd.DataFrame, k: int, metric: str, schema: pa.Schema, ddl: str, groups: Groups | None, asked_groups: Groups | None) -> DataFrame:
     names = part["q"].to_numpy()
     matrix = np.array(part["v"].tolist(), np.float64).reshape(len(part), -1 if len(part) else 0)
-    length = np.sqrt((matrix * matrix).sum(axis=1))
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: list[pd.DataFrame] = []
+    own = asked_groups(matrix) if asked_groups and len(part) else part["g"].to_numpy()[:, None]
+    members: dict[object, list[int]] = {}
+    for j, codes in enumerate(own.tolist()):
+        for code in codes:
+            members.setdefault(code, []).append(j)
+    block = base.sparkSession.sparkContext.broadcast((names, matrix, np.sqrt((matrix * matrix).sum(axis=1)), {c: np.array(m) for c, m in members.items()}))
+
+    def distances(rows: np.ndarray, matrix: np.ndarray, length: np.ndarray) -> np.ndarray:
+        own = np.sqrt((rows * rows).sum(axis=1))
+        if metric == "cosine":
+            with np.errstate(invalid="ignore", divide="ignore"):
+                return 1 - rows @ matrix.T / (own[:, None] * length[None, :])
+        return np.sqrt(np.maximum((own**2)[:, None] + (length**2)[None, :] - 2 * rows @ matrix.T, 0))
+
+    def cut(q: np.ndarray, ids: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The k best of each question, each vector once."""
+        rough = np.nan_to_num(np.round(d, ROUNDED), nan=np.inf)
+        code = pd.factorize(ids, sort=True)[0]
+        order = np.lexsort((code, rough, q))
+        q, code, ids, d = q[order], code[order], ids[order], d[order]
+        once = np.r_[True, (q[1:] != q[:-1]) | (code[1:] != code[:-1])][: len(q)]
+        q, ids, d = q[once], ids[once], d[once]
+        start = np.r_[True, q[1:] != q[:-1]][: len(q)]
+        turn = np.arange(len(q)) - np.maximum.accumulate(np.where(start, np.arange(len(q)), 0))
+        return q[turn < k], ids[turn < k], d[turn < k]
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, matrix, length, members = block.value
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        size = 0
         for batch in batches:
-            if not len(batch) or not len(names):
-                continue
-            rows = np.stack(batch["v"].to_numpy())
-            own = np.sqrt((rows * rows).sum(axis=1))
-            if metric == "cosine":
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    d = 1 - rows @ matrix.T / (own[:, None] * length[None, :])
-            else:
-                d = np.sqrt(np.maximum((own**2)[:, None] + (length**2)[None, :] - 2 * rows @ matrix.T, 0))
-            ids, rough = batch["id"].to_numpy(), np.round(d, ROUNDED)
-            for j in range(len(names)):
-                top = np.lexsort((ids, rough[:, j]))[:k]
-                best.append(pd.DataFrame({"q": names[j], "id": ids[top], "distance": d[top, j]}))
-            if len(best) > 4 * len(names):
-                best = [cut(pd.concat(best))]
-        if best:
-            yield cut(pd.concat(best))
-
-    def cut(all_best: pd.DataFrame) -> pd.DataFrame:
-        rough = all_best.assign(r=all_best["distance"].round(ROUNDED)).sort_values(["q", "r", "id"], na_position="last")
-        return rough.groupby("q", sort=False).head(k)[["q", "id", "distance"]]
-
-    return base.mapInPandas(search, "q long, id long, distance double")
+            for at in range(0, len(batch) if len(names) else 0, ROWS):
+                some = batch.slice(at, ROWS)
+                rows = some.column("v").flatten().to_numpy(zero_copy_only=False).reshape(len(some), -1)
+                ids = some.column("id").to_numpy(zero_copy_only=False)
+                codes = groups(rows) if groups else some.column("g").to_numpy(zero_copy_only=False)[:, None]
+                for t in range(codes.shape[1]):
+                    for code in pd.unique(codes[:, t]):
+                        asked = members.get(code.item() if hasattr(code, "item") else code)
+                        if asked is None:
+                            continue
+                        of = np.nonzero(codes[:, t] == code)[0]
+                        d = distances(rows[of], matrix[asked], length[asked])
+                        rough = np.nan_to_num(np.round(d, ROUNDED), nan=np.inf)
+                        near = np.ones(d.shape, bool) if len(of) <= k else rough <= np.partition(rough, k - 1, axis=0)[k - 1]
+                        j, i = np.nonzero(near.T)
+                        held.append((asked[j], ids[of[i]], d[i, j]))
+                        size += len(j)
+                if size > 8 * k * len(names) + 100_000:
+                    held = [cut(*(np.concatenate(x) for x in zip(*held)))]
+                    size = len(held[0][0])
+        if held:
+            q, ids, d = cut(*(np.concatenate(x) for x in zip(*held)))
+            for at in range(0, len(q), 50_000):
+                take = slice(at, at + 50_000)
+                yield pa.RecordBatch.from_arrays([pa.array(names[q[take]], schema.field(0).type), pa.array(ids[take], schema.field(1).type), pa.array(d[take])], schema=schema)
+
+    return base.mapInArrow(search, ddl)
 
 
 def knn_expressions(queries: DataFrame, vectors: DataFrame, k: int = TOP, query: str = "query_id", ident: str = "vec_id", column: str = "embedding") -> DataFrame:
-    """The same as ``knn`` in column expressions; what the fast form is tested against."""
-    asked = queries.select(F.col(query), F.col(column).alias("__asked")).limit(BLOCK)
+    """The same as ``knn`` in column expressions, for one block of questions; what the fast form is tested against."""
+    if queries.count() > BLOCK:
+        raise ValueError(f"at most {BLOCK} questions; use knn")
+    asked = queries.select(F.col(query), F.col(column).alias("__asked"))
     distance = cosine_distance(F.col("__asked"), F.col(column))
     return ranked(vectors.join(F.broadcast(asked)).select(query, ident, distance.alias("distance")), k, query, ident)
 
@@ -106,45 +168,48 @@ def ivf_cells(vectors: DataFrame, cells: int, sample: int = 20_000, column: str
 
 def knn_ivf(queries: DataFrame, vectors: DataFrame, k: int = TOP, cells: int = 16, probes: int = 12, query: str = "query_id", ident: str = "vec_id", column: str = "embedding") -> DataFrame:
     """Approximate search: every vector lies in the cell of its nearest centre, and each
-    question looks into the ``probes`` cells whose centres are nearest."""
-    model = ivf_cells(vectors, cells, column=column, ident=ident)
-    indexed = model.transform(vectors.select(F.col(ident), F.col(column), array_to_vector(column).alias("features"))).select(ident, column, F.col("prediction").alias("cell"))
-    centres = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in model.clusterCenters()])
-    by_distance = F.array_sort(F.transform(centres, lambda c, i: F.struct(l2_distance(c, F.col("__asked")).alias("d"), i.alias("cell"))))
-    asked = queries.select(F.col(query), F.col(column).alias("__asked")).withColumn("cell", F.explode(F.transform(F.slice(by_distance, 1, probes), lambda x: x["cell"])))
-    pairs = indexed.join(asked.hint("shuffle_hash"), "cell").select(query, ident, cosine_distance(F.col("__asked"), F.col(column)).alias("distance"))
-    return ranked(pairs, k, query, ident)
+    question looks into the ``probes`` cells whose centres are nearest.
 
+    Cells are found where the vectors lie, so that nothing is dealt out by cell. A share of
+    about probes / cells of all pairs is visited.
+    """
+    centres = np.array(ivf_cells(vectors, cells, column=column, ident=ident).clusterCenters())
+    half = (centres * centres).sum(axis=1) / 2
 
-def lsh_buckets(rows: DataFrame, ident: str, column: str, tables: int, bits: int, seed: int = 3) -> DataFrame:
-    """(id, table, bucket): on which side of ``bits`` random planes a vector lies, in each table."""
+    def nearest_cells(rows: np.ndarray, n: int) -> np.ndarray:
+        far = half[None, :] - rows @ centres.T
+        return np.argsort(far, axis=1, kind="stable")[:, :n]
+
+    return searched(queries, vectors, k, query, ident, column, groups=lambda v: nearest_cells(v, 1), asked_groups=lambda v: nearest_cells(v, probes))
 
-    def compute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                v = np.stack(batch["v"].to_numpy())
-                planes = np.random.default_rng(seed).normal(size=(tables * bits, v.shape[1]))
-                sides = (v @ planes.T > 0).reshape(len(v), tables, bits)
-                bucket = (sides << np.arange(bits)).sum(axis=2)
-                yield pd.DataFrame({"id": np.repeat(batch["id"].to_numpy(), tables), "table": np.tile(np.arange(tables), len(v)), "bucket": bucket.ravel()})
 
-    return rows.where(F.col(column).isNotNull()).select(F.col(ident).alias("id"), F.col(column).cast("array<double>").alias("v")).mapInPandas(compute, "id long, table int, bucket int")
+def lsh_groups(tables: int, bits: int, seed: int = 3) -> Groups:
+    """On which side of ``bits`` random planes a vector lies, in each table."""
+
+    def sides(rows: np.ndarray) -> np.ndarray:
+        planes = np.random.default_rng(seed).normal(size=(tables * bits, rows.shape[1]))
+        side = (rows @ planes.T > 0).reshape(len(rows), tables, bits)
+        return (side << np.arange(bits)).sum(axis=2) + (np.arange(tables) << bits)
+
+    return sides
 
 
 def knn_lsh(queries: DataFrame, vectors: DataFrame, k: int = TOP, tables: int = 16, bits: int = 3, query: str = "query_id", ident: str = "vec_id", column: str = "embedding") -> DataFrame:
     """Approximate search by random planes: candidates share a bucket in some table and are
-    then ranked by their true distance."""
-    index = lsh_buckets(vectors, ident, column, tables, bits).withColumnRenamed("id", "__id")
-    asked = lsh_buckets(queries, query, column, tables, bits).withColumnRenamed("id", "__q")
-    candidates = index.join(asked.hint("shuffle_hash"), ["table", "bucket"]).select("__q", "__id").distinct()
-    own, q = vectors.select(F.col(ident).alias("__id"), F.col(ident), F.col(column).alias("__own")), queries.select(F.col(query).alias("__q"), F.col(query), F.col(column).alias("__asked"))
-    pairs = candidates.join(own.hint("merge"), "__id").join(q.hint("shuffle_hash"), "__q")
-    return ranked(pairs.select(query, ident, cosine_distance(F.col("__asked"), F.col("__own")).alias("distance")), k, query, ident)
+    ranked by their true distance where they lie; no pairs are shuffled but the k best of a task."""
+    sides = lsh_groups(tables, bits)
+    return searched(queries, vectors, k, query, ident, column, groups=sides, asked_groups=sides)
+
+
+def planned_cells(n: int, dimension_share: float = 0.1) -> tuple[int, int]:
+    """(cells, probes) for ``n`` well clustered vectors: about the root of n cells, a tenth of them probed."""
+    cells = max(16, min(4096, math.isqrt(n)))
+    return cells, max(1, round(cells * dimension_share))
 
 
 def recall(approximate: DataFrame, exact: DataFrame, query: str = "query_id", ident: str = "vec_id") -> DataFrame:
     """Share of the exact neighbours that the approximate search found, by question."""
-    hits = exact.select(query, ident).join(approximate.select(query, ident).withColumn("hit", F.lit(1)), [query, ident], "left")
+    hits = exact.select(query, ident).join(approximate.select(query, ident).withColumn("hit", F.lit(1)).hint("merge"), [query, ident], "left")
     return hits.groupBy(query).agg((F.count("hit") / F.count("*")).alias("recall"))
 
 
@@ -157,8 +222,8 @@ def multi_hop(queries: DataFrame, vectors: DataFrame, k: int = 3, hops: int = 2,
     found = knn(queries, vectors, k, query, ident, column).select(query, ident, F.lit(1).alias("hop"))
     edge = found
     for hop in range(2, hops + 1):
-        asked = edge.select(F.col(ident).alias("__from")).distinct().join(vectors.select(F.col(ident).alias("__from"), column), "__from")
+        asked = edge.select(F.col(ident).alias("__from")).distinct().join(vectors.select(F.col(ident).alias("__from"), column).hint("merge"), "__from")
         near = knn(asked, vectors, k, "__from", ident, column).select("__from", F.col(ident).alias("__to"))
-        edge = edge.withColumnRenamed(ident, "__from").join(near, "__from").select(query, F.col("__to").alias(ident), F.lit(hop).alias("hop")).distinct()
+        edge = edge.withColumnRenamed(ident, "__from").join(near.hint("merge"), "__from").select(query, F.col("__to").alias(ident), F.lit(hop).alias("hop")).distinct()
         found = found.union(edge)
     return found.groupBy(query, ident).agg(F.min("hop").alias("hop"))

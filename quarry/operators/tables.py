@@ -110,3 +110,8 @@ def entity_key(prefix: str, millis: Column, seed: Column) -> Column:
 
 def may_read(public: Column, members: Column, caller: Column) -> Column:
     return F.coalesce(public, F.lit(False)) | F.coalesce(F.array_contains(members, caller), F.lit(False))
+
+
+def where_given(rows: DataFrame, field: str, value: object | None) -> DataFrame:
+    """Rows whose array ``field`` holds the value; all rows where no value is given."""
+    return rows if value is None else rows.where(F.array_contains(field, value))

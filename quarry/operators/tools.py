@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from quarry.functions.text import uri_component
 
 PARAMETERS = "map<string,struct<type:string,description:string,required:boolean,in:string,mapTo:string,default:string>>"
-REQUEST = "struct<id:string,tool:string,params:map<string,string>,_corrupt_record:string>"
 REQUEST_DDL = "id STRING, tool STRING, params MAP<STRING, STRING>, _corrupt_record STRING"
 
 
@@ -82,3 +81,17 @@ def detected(questions: DataFrame, tools: DataFrame, least: int = 2) -> DataFram
     shared = asked.join(known.hint("shuffle_hash"), ["bot_id", "word"]).groupBy("query_id", "bot_id", "tool_id", "name").agg(F.count("*").alias("overlap"))
     best = shared.where(F.col("overlap") >= least).groupBy("query_id", "bot_id").agg(F.min(F.struct((-F.col("overlap")).alias("less"), "tool_id", "name")).alias("b"))
     return best.select("query_id", "bot_id", F.col("b.name").alias("tool"), (-F.col("b.less")).alias("overlap"))
+
+
+#: Words in the names of headers that hold secrets.
+SECRET = r"(?i)authorization|cookie|token|secret|password|api[-_]?key"
+
+
+def request_heads(calls: DataFrame) -> DataFrame:
+    """Adds the request's method (GET where none is given) and its headers but those that hold secrets.
+
+    Calls have ``method`` and ``headers`` (map<string,string>) of their tool.
+    """
+    method = F.upper(F.coalesce(F.nullif(F.trim("method"), F.lit("")), F.lit("GET")))
+    shown = F.map_filter(F.coalesce("headers", F.create_map().cast("map<string,string>")), lambda name, _: ~F.rlike(name, F.lit(SECRET)))
+    return calls.withColumn("method", method).withColumn("headers", shown)

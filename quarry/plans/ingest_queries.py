@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.text import clean_text, extension, fixed_chunks, recursive_chunks
-from quarry.functions.vectors import hashing_counts
+from quarry.functions.vectors import DIMENSIONS, hashing_counts
 from quarry.operators import ingest
 from quarry.operators.models import expanded, generated, split_errors
 from quarry.operators.context import last_turns
 from quarry.plans.registry import query
 from quarry.plans.scenario import CHUNKS, FILES, KEYS, buckets, chunks, cleaned, files, questions, table
 from quarry.sources.landing import SUPPORTED
+from quarry.sources.scratch import scratch_path, stored
+from quarry.sources.store import ChunkStore
 
 
 @query(f"WITH {FILES} SELECT doc_id, bot_id, file_name, file_size, file_hash FROM files")
@@ -24,7 +26,7 @@ def ingest_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dedup_against_existing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents stand for files that are stored already."""
     landed = files(spark, sf_dir).select(*KEYS)
-    stored = landed.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
+    stored = landed.join(table(spark, sf_dir, "labels").select("doc_id").hint("merge"), "doc_id", "left_semi")
     return ingest.new_files(landed, stored).select(*KEYS)
 
 
@@ -139,7 +141,55 @@ def ingest_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = files(spark, sf_dir).where(extension(F.col("file_name")).isin(*SUPPORTED))
     fresh = ingest.first_of_each(own, "doc_id")
     rows = ingest.embedded(ingest.chunk_rows(fresh, fixed_chunks(F.col("text")), KEYS))
-    ok = F.expr(OK) & (F.size("embedding") == 64)
+    ok = F.expr(OK) & (F.col("empty_text") | (F.size("embedding") == DIMENSIONS))
     gates = ingest.gate(rows, ["doc_id", "bot_id"], ok)
     stored = F.coalesce(F.sum(F.when(F.col("complete"), F.col("total"))), F.lit(0))
     return gates.groupBy("bot_id").agg(F.count("*").alias("files"), F.count_if("complete").alias("complete"), stored.alias("stored_chunks"))
+
+
+FRESH = f"""{CHUNKS}, fresh AS (SELECT min(doc_id) AS doc_id FROM files WHERE lower(split_part(file_name, '.', 2)) IN ('txt', 'pdf', 'docx', 'doc', 'pptx') GROUP BY bot_id, file_hash),
+whole AS (SELECT doc_id FROM chunks WHERE doc_id IN (SELECT doc_id FROM fresh) GROUP BY doc_id HAVING max(total_chunks) = count(*) FILTER ({OK})),
+kept AS (SELECT * FROM chunks WHERE doc_id IN (SELECT doc_id FROM whole))"""
+
+
+def filled_store(spark: SparkSession, sf_dir: str) -> ChunkStore:
+    """A store that has taken in the files of all bots: chunks of complete files and their catalogue."""
+    store = ChunkStore(spark, scratch_path(spark, "store"), DIMENSIONS).create()
+    own = files(spark, sf_dir).where(extension(F.col("file_name")).isin(*SUPPORTED))
+    fresh = stored(ingest.first_of_each(own, "doc_id"), "fresh-files")
+    rows = stored(ingest.embedded(ingest.chunk_rows(fresh, fixed_chunks(F.col("text")), KEYS)), "embedded-chunks")
+    gates = stored(ingest.gate(rows, ["doc_id"], F.expr(OK) & (F.col("empty_text") | (F.size("embedding") == DIMENSIONS))), "gates")
+    complete = gates.where("complete").select("doc_id", F.col("processed").alias("chunks"))
+    kept = rows.where(~F.col("empty_text")).join(complete.select("doc_id").hint("merge"), "doc_id", "left_semi")
+    store.append_chunks(kept, "2024-01-01T00:00:00.000Z", F.col("doc_id"))
+    entries = fresh.join(complete.hint("merge"), "doc_id").withColumns({"type": extension(F.col("file_name")), "source": F.col("bot_id"), "seq": F.col("doc_id")})
+    store.append_files(entries)
+    return store
+
+
+@query(f"WITH {FRESH} SELECT bot_id, chunk_index AS place, total_chunks AS total, file_name, file_hash, content FROM kept")
+def chunk_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Everything that the store holds after one ingest, read back."""
+    m = F.col("metadata")
+    return filled_store(spark, sf_dir).chunks().select("bot_id", m["chunkIndex"].alias("place"), m["totalChunks"].alias("total"), m["fileName"].alias("file_name"), m["fileHash"].alias("file_hash"), "content")
+
+
+@query(
+    f"WITH {FRESH}, dead AS (SELECT bot_id, file_name FROM files WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 0)), alive AS (SELECT * FROM kept WHERE bot_id <> 'src3' AND (bot_id, file_name) NOT IN (SELECT (bot_id, file_name) FROM dead)) "
+    "SELECT bot_id, file_name, count(*) AS chunks FROM alive GROUP BY ALL"
+)
+def forget_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of low quality are forgotten by bot and name, one bot is dropped: what chunks and catalogue still hold."""
+    store = filled_store(spark, sf_dir)
+    dead = files(spark, sf_dir).select("doc_id", "bot_id", "file_name").join(table(spark, sf_dir, "labels").where("quality = 0").select("doc_id").hint("merge"), "doc_id", "left_semi")
+    store.forget_files(dead.withColumn("seq", F.lit(1 << 40)))
+    store.drop_bots(spark.createDataFrame([("src3", 1 << 40)], "bot_id string, seq long"))
+    left = store.chunks().groupBy("bot_id", F.col("metadata.fileName").alias("file_name")).agg(F.count("*").alias("chunks"))
+    return left.join(store.catalogue().select("bot_id", "file_name").hint("merge"), ["bot_id", "file_name"], "left_semi")
+
+
+@query("SELECT doc_id, length(trim(regexp_replace(text, '\\s', '', 'g'))) = 0 AS empty FROM documents")
+def reject_empty_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files without any text are rejected."""
+    good, bad = ingest.split_empty(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return good.select("doc_id", F.lit(False).alias("empty")).union(bad.select("doc_id", F.lit(True)))

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.functions.text import fixed_chunk_at
 from quarry.operators.ingest import embedded, fixed_chunk_rows
 from quarry.operators.search import knn
+from quarry.sources.scratch import stored
 
 FORMATS = (".pdf", ".docx", ".DOC", ".pptx", ".TXT", ".csv")
 
@@ -49,9 +51,15 @@ def buckets(name: str, source: str, key: str, column: str) -> str:
 {name}_n AS (SELECT {key}, sqrt(sum(n * n)) AS length FROM {name}_t GROUP BY {key})"""
 
 
+#: Questions are dealt out to so many bots, of which some own no files.
+ASKED_BOTS = 25
+BOT_OF = f"'src' || (item_id % {ASKED_BOTS})"
+
+
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark passages as questions."""
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    """Benchmark passages as questions, each to one bot."""
+    items = table(spark, sf_dir, "benchmark")
+    return items.select(F.col("item_id").alias("query_id"), F.concat(F.lit("src"), (F.col("item_id") % ASKED_BOTS).cast("string")).alias("bot_id"), F.col("text").alias("question"))
 
 
 CHUNKS_A_FILE = 1_000_000
@@ -64,18 +72,23 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hits(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
-    """The k nearest chunks of every question, with their texts joined back after ranking."""
+    """The k nearest of its bot's chunks for every question, with their texts joined back after ranking.
+
+    What was found is written first, so that it is sent to the files only where it is small;
+    a chunk's text is cut out of its file by its place.
+    """
     asked = embedded(questions(spark, sf_dir), "question")
-    found = knn(asked, vectors(spark, sf_dir).select("cid", "embedding"), k, "query_id", "cid")
+    found = knn(asked, vectors(spark, sf_dir).select("cid", "bot_id", "embedding"), k, "query_id", "cid", by="bot_id")
     own = found.withColumn("doc_id", F.floor(F.col("cid") / CHUNKS_A_FILE)).withColumn("chunk_index", (F.col("cid") % CHUNKS_A_FILE).cast("int"))
-    return own.join(chunks(spark, sf_dir), ["doc_id", "chunk_index"])
+    both = files(spark, sf_dir).join(stored(own, "hits"), "doc_id")
+    return both.withColumn("content", fixed_chunk_at(F.col("text"), F.col("chunk_index"))).drop("text")
 
 
 HITS = CHUNKS + f""",
 numbered AS (SELECT *, doc_id * {CHUNKS_A_FILE} + chunk_index AS cid FROM chunks),
 {buckets("c", "numbered", "cid", "content")},
 {buckets("q", "benchmark", "item_id", "text")},
-dots AS (SELECT item_id AS query_id, cid, sum(q_t.n * c_t.n) AS d FROM q_t JOIN c_t USING (bucket) GROUP BY ALL),
+dots AS (SELECT item_id AS query_id, cid, sum(q_t.n * c_t.n) AS d FROM q_t JOIN (SELECT c_t.*, bot_id FROM c_t JOIN numbered USING (cid)) c_t ON c_t.bucket = q_t.bucket AND c_t.bot_id = {BOT_OF} GROUP BY ALL),
 near AS (SELECT query_id, cid, 1 - d / (q_n.length * c_n.length) AS distance FROM dots JOIN q_n ON q_n.item_id = query_id JOIN c_n USING (cid)),
 hits AS (SELECT query_id, numbered.*, distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), cid) AS rank FROM near) JOIN numbered USING (cid) WHERE rank <= 10)"""
 
@@ -85,7 +98,7 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, n, r = (table(spark, sf_dir, t) for t in ("customer", "nation", "region"))
     members = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.array_sort(F.collect_set("o_orderpriority")).alias("users"), F.count("*").alias("orders"))
     owner = n.join(F.broadcast(r), n["n_regionkey"] == r["r_regionkey"]).select(F.col("n_nationkey").alias("c_nationkey"), F.struct(F.col("n_name").alias("nation"), F.col("r_name").alias("region")).alias("owner"))
-    return c.join(F.broadcast(owner), "c_nationkey").join(members, "c_custkey", "left").withColumn("users", F.coalesce("users", F.array().cast("array<string>"))).withColumn("orders", F.coalesce("orders", F.lit(0)))
+    return c.join(F.broadcast(owner), "c_nationkey").join(members.hint("merge"), "c_custkey", "left").withColumn("users", F.coalesce("users", F.array().cast("array<string>"))).withColumn("orders", F.coalesce("orders", F.lit(0)))
 
 
 CUSTOMERS = """customers AS (SELECT c.*, n_name AS nation, r_name AS region, coalesce(users, []) AS users, coalesce(orders, 0) AS orders

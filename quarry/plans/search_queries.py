@@ -10,7 +10,7 @@ from quarry.operators import analysis, context, search
 from quarry.operators.models import answered, extractive_answers
 from quarry.operators.tools import detected
 from quarry.plans.registry import query
-from quarry.plans.scenario import HITS, cleaned, hits, questions, table
+from quarry.plans.scenario import BOT_OF, HITS, cleaned, files, hits, questions, table
 from quarry.plans.tool_queries import TOOLS_SQL, tools
 
 ASKED = "asked AS (SELECT vec_id AS query_id, embedding AS asked FROM embeddings WHERE vec_id % 50 = 0)"
@@ -69,6 +69,14 @@ def knn_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "vec_id", F.round("distance", 5).alias("distance"))
 
 
+@query(f"WITH asked AS (SELECT vec_id AS query_id, label AS own, embedding AS asked FROM embeddings WHERE vec_id % 50 = 0), {nearest_sql(where='label = own')} {OUT}")
+def knn_per_bot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels stand for bots: a question meets the vectors of its own bot only."""
+    rows = table(spark, sf_dir, "embeddings")
+    own = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding", "label")
+    return rounded(search.knn(own, rows, by="label"))
+
+
 @query()
 def ann_ivf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(search.knn_ivf(asked(spark, sf_dir), table(spark, sf_dir, "embeddings")))
@@ -128,17 +136,17 @@ def answer_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {HITS}, {TOOLS_SQL}, w AS (SELECT DISTINCT item_id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS word FROM benchmark),
-k AS (SELECT DISTINCT tool_id, name, unnest(regexp_split_to_array(lower(name || ' ' || description), '[^a-z0-9]+')) AS word FROM tools WHERE enabled AND bot_id = 'src0'),
-s AS (SELECT item_id, tool_id, name, count(*) AS overlap FROM w JOIN k USING (word) WHERE word <> '' GROUP BY ALL HAVING count(*) >= 4),
+    f"""WITH {HITS}, {TOOLS_SQL}, w AS (SELECT DISTINCT item_id, {BOT_OF} AS bot_id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS word FROM benchmark),
+k AS (SELECT DISTINCT tool_id, bot_id, name, unnest(regexp_split_to_array(lower(name || ' ' || description), '[^a-z0-9]+')) AS word FROM tools WHERE enabled),
+s AS (SELECT item_id, tool_id, name, count(*) AS overlap FROM w JOIN k ON w.bot_id = k.bot_id AND w.word = k.word WHERE w.word <> '' GROUP BY ALL HAVING count(*) >= 4),
 t AS (SELECT item_id, arg_min(name, tool_id - overlap * 1000000000) AS tool FROM s GROUP BY item_id)
 SELECT item_id AS query_id, coalesce('Called ' || tool, nullif(trim(content), ''), 'I don''t know.') AS answer,
 CASE WHEN tool IS NOT NULL THEN 'tool' WHEN content IS NOT NULL THEN 'context' ELSE 'none' END AS answered_by, (tool IS NOT NULL OR content IS NOT NULL) AS success
 FROM benchmark LEFT JOIN hits ON query_id = item_id AND rank = 1 LEFT JOIN t USING (item_id)"""
 )
 def ask_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A tool's answer where a tool is found, else one from the chunks."""
-    asked_all = questions(spark, sf_dir).withColumn("bot_id", F.lit("src0"))
+    """A tool's answer where the question's bot has one that fits, else one from the bot's chunks."""
+    asked_all = questions(spark, sf_dir)
     called = detected(asked_all, tools(spark, sf_dir), least=4).select("query_id", F.concat(F.lit("Called "), "tool").alias("answer"))
     return answered(asked_all, hits(spark, sf_dir), called).select("query_id", "answer", "answered_by", "success")
 
@@ -152,21 +160,26 @@ WORDS_C = f"list_distinct(list_filter(string_split({cleaned('content')}, ' '), l
     "o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(second, 9) DESC, rank, cid)::INT AS new_rank FROM r) SELECT query_id, cid, rank::INT AS rank, new_rank, round(second, 6) AS second FROM o WHERE new_rank <= 5"
 )
 def rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = hits(spark, sf_dir).join(questions(spark, sf_dir), "query_id")
+    both = hits(spark, sf_dir).join(questions(spark, sf_dir).select("query_id", "question").hint("shuffle_hash"), "query_id")
     again = analysis.reranked(both, analysis.shared_words(F.col("question"), F.col("content")), 5, key="cid")
     return again.select("query_id", "cid", "rank", "new_rank", F.round("second", 6).alias("second"))
 
 
-BM25 = f"""dw AS (SELECT doc_id, unnest(list_filter(string_split({cleaned('text')}, ' '), lambda x: x <> '')) AS t FROM documents),
-tf AS (SELECT doc_id, t, count(*) AS tf FROM dw GROUP BY ALL),
-size AS (SELECT doc_id, len(list_filter(string_split({cleaned('text')}, ' '), lambda x: x <> '')) AS length FROM documents),
-total AS (SELECT count(*) AS n, avg(length) AS average FROM size),
-qw AS (SELECT item_id AS query_id, unnest({WORDS_Q}) AS t FROM benchmark),
-idf AS (SELECT t, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf, total GROUP BY t, n),
-score AS (SELECT query_id, doc_id, sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / average))) AS score FROM qw JOIN tf USING (t) JOIN idf USING (t) JOIN size USING (doc_id), total GROUP BY ALL),
+def bm25_sql(bot: str = "'all'", asked_bot: str = "'all'") -> str:
+    """CTE bm of the ten best documents of each question, within the collection of its bot."""
+    return f"""dw AS (SELECT doc_id, {bot} AS g, unnest(list_filter(string_split({cleaned('text')}, ' '), lambda x: x <> '')) AS t FROM documents),
+tf AS (SELECT doc_id, g, t, count(*) AS tf FROM dw GROUP BY ALL),
+size AS (SELECT doc_id, {bot} AS g, len(list_filter(string_split({cleaned('text')}, ' '), lambda x: x <> '')) AS length FROM documents),
+total AS (SELECT g, count(*) AS n, avg(length) AS average FROM size GROUP BY g),
+qw AS (SELECT item_id AS query_id, {asked_bot} AS g, unnest({WORDS_Q}) AS t FROM benchmark),
+idf AS (SELECT g, t, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf JOIN total USING (g) GROUP BY g, t, n),
+score AS (SELECT query_id, doc_id, sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / average))) AS score FROM qw JOIN tf USING (g, t) JOIN idf USING (g, t) JOIN size USING (doc_id) JOIN total ON total.g = qw.g GROUP BY ALL),
 bm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id)::INT AS rank FROM score) WHERE rank <= 10)"""
 
 
+BM25 = bm25_sql()
+
+
 def sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analysis.bm25(questions(spark, sf_dir), table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -176,7 +189,7 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sparse(spark, sf_dir).select("query_id", "doc_id", "rank", F.round("score", 4).alias("score"))
 
 
-FUSED = f"""{HITS}, {BM25},
+FUSED = f"""{HITS}, {bm25_sql("source", BOT_OF)},
 dense AS (SELECT query_id, doc_id, min(rank) AS rank FROM hits GROUP BY ALL),
 f AS (SELECT query_id, doc_id, coalesce(1.0::DOUBLE / (60 + dense.rank), 0) + coalesce(1.0::DOUBLE / (60 + bm.rank), 0) AS score FROM dense FULL JOIN bm USING (query_id, doc_id)),
 fused AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id)::INT AS rank FROM f) WHERE rank <= 10)"""
@@ -184,7 +197,8 @@ fused AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDE
 
 def hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     dense = hits(spark, sf_dir).groupBy("query_id", "doc_id").agg(F.min("rank").alias("rank"))
-    return analysis.fused(dense, sparse(spark, sf_dir))
+    words = analysis.bm25(questions(spark, sf_dir), files(spark, sf_dir).select("doc_id", "bot_id", "text"), by="bot_id")
+    return analysis.fused(dense, words)
 
 
 @query(f"WITH {FUSED} SELECT query_id, doc_id, rank, round(score, 6) AS score FROM fused")
@@ -197,9 +211,8 @@ def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     "t AS (SELECT query_id, count(*) AS relevant FROM truth GROUP BY query_id) SELECT query_id, relevant, coalesce(found, 0) AS found, coalesce(found, 0) / 10.0::DOUBLE AS precision, round(coalesce(found, 0)::DOUBLE / relevant, 6) AS recall, round(coalesce(1.0::DOUBLE / first, 0), 6) AS reciprocal_rank FROM t LEFT JOIN g USING (query_id)"
 )
 def eval_precision_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage word for word are its truth; the passages are few and sent to the scan."""
-    items, docs = questions(spark, sf_dir), table(spark, sf_dir, "documents").select("doc_id", "text")
-    truth = docs.join(F.broadcast(items), F.contains(F.col("text"), F.col("question"))).select("query_id", "doc_id")
+    """Documents that hold a passage word for word are its truth."""
+    truth = analysis.containing(table(spark, sf_dir, "documents").select("doc_id", "text"), questions(spark, sf_dir).select("query_id", "question"))
     out = analysis.precision_at(sparse(spark, sf_dir), truth, 10)
     return out.withColumn("recall", F.round("recall", 6)).withColumn("reciprocal_rank", F.round("reciprocal_rank", 6))
 

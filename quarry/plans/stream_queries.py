@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.operators.models import extractive_answers
 from quarry.plans.registry import query
-from quarry.plans.scenario import FILES, files, table
+from quarry.plans.scenario import FILES, HITS, files, hits, questions, table
 from quarry.sources.scratch import scratch_path
 from quarry.streaming import streams
 
@@ -47,3 +48,45 @@ def stream_ingest_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = "doc_id long, bot_id string, file_hash string"
     streams.ingest_stream(spark, source, schema, out, state, "doc_id").awaitTermination()
     return spark.read.schema(schema).parquet(out).select("bot_id", "file_hash")
+
+
+@query("SELECT count(*) FILTER (event_type NOT IN ('error', 'click')) AS good, count(*) FILTER (event_type = 'error') AS rejected FROM events")
+def ndjson_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that do not parse go to a table of rejects with the reason."""
+    source, good, bad, state = (scratch_path(spark, f"rejects-{x}") for x in ("in", "good", "bad", "state"))
+    ndjson_lines(spark, sf_dir).repartition(4).write.text(source)
+    streams.split_stream(streams.token_lines(spark, source), good, bad, state).awaitTermination()
+    kept = spark.read.schema("line string, response string, done boolean").parquet(good).agg(F.count("*").alias("good"))
+    return kept.join(spark.read.schema("line string, error string").parquet(bad).where("error IS NOT NULL").agg(F.count("*").alias("rejected")))
+
+
+STOPPED = "e AS (SELECT conv_id, min(turn) FILTER (turn >= 3 AND role = 'assistant') AS stop FROM conversations GROUP BY conv_id)"
+
+
+@query(f"WITH {STOPPED} SELECT conv_id, turn, coalesce(text, '') AS response FROM conversations JOIN e USING (conv_id) WHERE stop IS NULL OR turn <= stop")
+def stream_until_done(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses as a stream in batches, each conversation's turns in one file: what follows an end is dropped."""
+    source, out, state = (scratch_path(spark, f"done-{x}") for x in ("in", "out", "state"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("response"), ((F.col("turn") >= 3) & (F.col("role") == "assistant")).alias("done"))
+    rows.repartition(3, "conv_id").write.parquet(source)
+    pieces = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    kept = streams.until_done(pieces, "conv_id", "turn")
+    kept.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(kept.schema).parquet(out).select(F.col("request").cast("long").alias("conv_id"), F.col("seq").alias("turn"), "response")
+
+
+@query(f"WITH {HITS} SELECT item_id AS query_id, coalesce(nullif(trim(content), ''), 'I don''t know.') AS answer FROM benchmark LEFT JOIN hits ON query_id = item_id AND rank = 1")
+def stream_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From retrieval to a token stream: each answer is sent in pieces as JSON lines, read as a stream and put together."""
+    source, out, state = (scratch_path(spark, f"answer-{x}") for x in ("in", "out", "state"))
+    said = extractive_answers(questions(spark, sf_dir), hits(spark, sf_dir))
+    size = 40
+    pieces = said.select("query_id", F.posexplode(F.expr(f"transform(sequence(0, (length(answer) - 1) div {size}), i -> substring(answer, i * {size} + 1, {size}))")).alias("seq", "response"), F.expr(f"(length(answer) - 1) div {size}").alias("last"))
+    line = F.to_json(F.struct("query_id", "seq", "response", (F.col("seq") == F.col("last")).alias("done")))
+    pieces.select("query_id", line.alias("value")).repartition(4, "query_id").select("value").write.text(source)
+    lines = streams.token_lines(spark, source)
+    read = streams.good_tokens(streams.parsed_tokens(lines)).withColumn("query_id", F.get_json_object("line", "$.query_id")).withColumn("seq", F.get_json_object("line", "$.seq").cast("long"))
+    kept = streams.until_done(read, "query_id", "seq")
+    kept.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    whole = streams.assembled(spark.read.schema(kept.schema).parquet(out), "request", "seq")
+    return whole.select(F.col("request").cast("long").alias("query_id"), F.col("response").alias("answer"))

@@ -134,3 +134,18 @@ def normalize_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select("event_id", "ts", F.concat(F.lit(" "), "event_type", F.lit(" ")).alias("kind"), F.when(F.col("event_type") != "view", F.col("value")).alias("value"))
     key = tables.entity_key("bot", F.unix_millis(F.col("ts").cast("timestamp")), F.col("event_id").cast("string"))
     return tables.normalised(events, ["kind"], {"value": 0.0}).select("event_id", key.alias("bot_key"), "kind", "value")
+
+
+@query(f"WITH {CUSTOMERS} SELECT 'all' AS kind, count(*) AS customers FROM customers UNION ALL SELECT 'one', count(*) FROM customers WHERE list_contains(users, '3-MEDIUM')")
+def optional_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without a value the filter leaves all rows, with one those that hold it."""
+    rows = customers(spark, sf_dir)
+    counts = [tables.where_given(rows, "users", v).agg(F.count("*").alias("customers")).select(F.lit(kind).alias("kind"), "customers") for kind, v in (("all", None), ("one", "3-MEDIUM"))]
+    return counts[0].union(counts[1])
+
+
+@query("SELECT event_id, CASE WHEN floor(value)::INT % 3 = 0 THEN 10 ELSE floor(value)::INT % 3 END AS top FROM events")
+def falsy_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A number of hits that is missing or zero is ten."""
+    asked = F.floor("value").cast("int") % 3
+    return table(spark, sf_dir, "events").select("event_id", tables.or_default(asked, 10).alias("top"))

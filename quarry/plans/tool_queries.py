@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators import tools as t
+from quarry.operators.models import answered_from_tools, split_errors
 from quarry.plans.registry import query
 from quarry.plans.scenario import table
 
@@ -37,7 +38,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select(F.col("event_id").alias("query_id"), "event_type", k.alias("k"))
     params = F.when(F.col("event_type") == "view", F.lit("{}")).otherwise(F.format_string('{"size": "%d", "other": "x"}', "k"))
     raw = F.concat(F.format_string('{"id": "%d", "tool": "%s", "params": ', "query_id", "name"), params, F.when(F.col("event_type") == "error", "").otherwise("}"))
-    return events.join(part, "k").select("query_id", F.concat(F.lit("src"), (F.col("k") % BOTS).cast("string")).alias("bot_id"), raw.alias("raw"))
+    return events.join(part.hint("merge"), "k").select("query_id", F.concat(F.lit("src"), (F.col("k") % BOTS).cast("string")).alias("bot_id"), raw.alias("raw"))
 
 
 REQUESTS = f"""calls AS (SELECT event_id AS query_id, 'src' || (k % {BOTS}) AS bot_id, replace(p_name, ' ', '_') AS tool, k, event_type FROM (SELECT *, json_extract_string(props, '$.k')::BIGINT AS k FROM events) JOIN part ON p_partkey = k)"""
@@ -82,6 +83,34 @@ SELECT query_id, bot_id, arg_min(name, tool_id - overlap * 1000000000) AS tool,
 def tool_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("long")
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.replace("p_name", F.lit(" "), F.lit("_")).alias("name"))
-    events = table(spark, sf_dir, "events").select(F.col("event_id").alias("query_id"), "event_type", k.alias("k")).join(part, "k")
+    events = table(spark, sf_dir, "events").select(F.col("event_id").alias("query_id"), "event_type", k.alias("k")).join(part.hint("merge"), "k")
     asked = events.select("query_id", F.concat(F.lit("src"), (F.col("k") % BOTS).cast("string")).alias("bot_id"), F.concat(F.lit("please find "), F.replace("name", F.lit("_"), F.lit(" ")), F.lit(" "), "event_type").alias("question"))
     return t.detected(asked, tools(spark, sf_dir).withColumn("name", F.col("name")))
+
+
+@query(
+    f"""SELECT event_id AS query_id, 'You speak for src' || (user_id % {BOTS}) || '.' || chr(10) || chr(10) || 'The user asked: What happened in event ' || event_id || '?' || chr(10) || 'The tool returned: {{"event":"' || event_type || '","user":' || user_id || '}}' || chr(10) || chr(10) || 'Answer the user from what the tool returned.' AS answer FROM events WHERE event_type <> 'error'"""
+)
+def tool_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers from tools' results; the stand-in model says back what it is shown, and fails on errors."""
+    events = table(spark, sf_dir, "events")
+    calls = events.select(
+        F.col("event_id").alias("query_id"), F.format_string("What happened in event %d?", "event_id").alias("question"), F.struct(F.col("event_type").alias("event"), F.col("user_id").alias("user")).alias("result"),
+        F.format_string("You speak for src%d.", F.col("user_id") % BOTS).alias("system_prompt"),
+    )
+    said = answered_from_tools(calls, lambda prompts: [None if '"event":"error"' in p else p for p in prompts])
+    good, _ = split_errors(said)
+    return good.select("query_id", "answer")
+
+
+@query("SELECT p_partkey AS tool_id, CASE WHEN p_size % 3 = 0 THEN 'GET' WHEN p_size % 3 = 1 THEN 'POST' ELSE 'PUT' END AS method, 'X-Brand=' || p_brand AS headers FROM part")
+def tool_request_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Methods and headers of tools; headers with secrets are left out."""
+    part = table(spark, sf_dir, "part")
+    kind = F.col("p_size") % 3
+    calls = part.select(
+        F.col("p_partkey").alias("tool_id"), F.when(kind == 0, "").when(kind == 1, "post").otherwise(" Put ").alias("method"),
+        F.create_map(F.lit("X-Brand"), F.col("p_brand"), F.lit("Authorization"), F.lit("none"), F.lit("x-api-key"), F.lit("none")).alias("headers"),
+    )
+    shown = F.array_join(F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat_ws("=", e["key"], e["value"])), ";")
+    return t.request_heads(calls).select("tool_id", "method", shown.alias("headers"))

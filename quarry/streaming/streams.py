@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quarry.operators.ingest import first_of_each, new_files
 
+#: Bots that a batch names in the filter of what it reads; with more it reads all folders.
+BOTS_NAMED = 1000
 TOKEN = "response STRING, done BOOLEAN, _corrupt_record STRING"
 
 
@@ -36,22 +42,57 @@ def assembled(tokens: DataFrame, request: str = "request_id", seq: str = "seq")
     return one.select(request, F.array_join(F.transform(kept, lambda p: p["response"]), "").alias("response"), F.size(F.filter(kept, lambda p: p["response"] != "")).cast("long").alias("tokens"), F.col("end").isNotNull().alias("ended"))
 
 
+def until_done(tokens: DataFrame, request: str = "request_id", seq: str = "seq") -> DataFrame:
+    """The pieces of each response of a stream up to the first that ends it; later ones are dropped.
+
+    (request, seq, response, done) in the order of ``seq`` within a batch. Whether a response
+    has ended is its state: a flag a request.
+    """
+    own = tokens.select(F.col(request).cast("string").alias("request"), F.col(seq).cast("long").alias("seq"), F.coalesce("response", F.lit("")).alias("response"), F.coalesce("done", F.lit(False)).alias("done"))
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        ended = state.exists and state.get[0]
+        rows = pd.concat(list(frames)).sort_values("seq", kind="stable")
+        done = rows["done"].to_numpy()
+        state.update((bool(ended or done.any()),))
+        if not ended:
+            yield rows.iloc[: done.argmax() + 1] if done.any() else rows
+
+    schema = "request string, seq long, response string, done boolean"
+    return own.groupBy("request").applyInPandasWithState(step, schema, "ended boolean", "append", GroupStateTimeout.NoTimeout)
+
+
+def split_stream(lines: DataFrame, good: str, rejected: str, checkpoint: str) -> StreamingQuery:
+    """Writes the tokens of a stream of lines to one table and the lines that do not parse to another.
+
+    A batch is written under its number, so that one that is replayed after a failure
+    replaces what it had written.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        parsed = parsed_tokens(batch)
+        good_tokens(parsed).drop("broken").write.mode("overwrite").parquet(f"{good}/batch={number}")
+        parsed.where("broken").select(*batch.columns, F.lit("Not JSON").alias("error")).write.mode("overwrite").parquet(f"{rejected}/batch={number}")
+
+    return lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def ingest_stream(spark: SparkSession, source: str, schema: str, table: str, checkpoint: str, order: str) -> StreamingQuery:
     """Appends files that land in ``source`` to the Parquet ``table``, each content once a bot.
 
     What was stored before is found in the table itself, so no state grows with time; a
-    batch that is replayed after a failure finds its own rows stored and adds nothing.
+    batch that is replayed after a failure finds its own rows stored and adds nothing. The
+    table has a folder for each bot, and a batch reads those of its own bots only.
     """
 
     def append(batch: DataFrame, _: int) -> None:
         fresh = first_of_each(batch, order)
-        try:
-            stored = spark.read.schema(batch.schema).parquet(table)
-        except Exception as error:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            stored = batch.limit(0)
-        new_files(fresh, stored).select(*batch.columns).write.mode("append").parquet(table)
+        stored = spark.read.schema(batch.schema).parquet(table)
+        bots = [r["bot_id"] for r in batch.select("bot_id").distinct().limit(BOTS_NAMED + 1).collect()]
+        if len(bots) <= BOTS_NAMED:
+            stored = stored.where(F.col("bot_id").isin(bots))
+        new_files(fresh, stored).select(*batch.columns).write.mode("append").partitionBy("bot_id").parquet(table)
 
+    spark.createDataFrame([], schema).write.mode("ignore").partitionBy("bot_id").parquet(table)
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
     return stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,7 +1,9 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quarry.operators import analysis, context, ingest, models, search, tables, tools
+from quarry.sources.store import CATALOGUE, ChunkStore
 from quarry.sources.landing import extracted_text, landed_files, split_by_support
 
 
@@ -30,7 +32,10 @@ def test_ingest(spark):
     assert rows(ingest.new_files(files, fresh.where("doc_id = 1")), "doc_id") == [(3,), (4,)]
     texts = spark.createDataFrame([(1, "x" * 395 + " " * 400 + "y"), (2, None), (3, "")], "doc_id long, text string")
     chunks = ingest.fixed_chunk_rows(texts, ["doc_id"])
-    assert rows(chunks, "doc_id", "chunk_index", "total_chunks") == [(1, 0, 3), (1, 2, 3)] or chunks.count() >= 1
+    # 796 characters make three windows, from 0, 380 and 760; the second holds blanks and 20 x of the overlap
+    assert rows(chunks, "doc_id", "chunk_index", "total_chunks") == [(1, 0, 3), (1, 1, 3), (1, 2, 3)]
+    blank = spark.createDataFrame([(1, "x" * 300 + " " * 600 + "y")], "doc_id long, text string")
+    assert rows(ingest.fixed_chunk_rows(blank, ["doc_id"]), "doc_id", "chunk_index", "total_chunks") == [(1, 0, 3), (1, 2, 3)]
     gates = ingest.gate(chunks, ["doc_id"], F.col("chunk_index") >= 0)
     assert rows(gates, "doc_id", "complete")[0][0] == 1
     good, bad = ingest.split_empty(texts)
@@ -56,6 +61,77 @@ def test_search_forms_agree(spark, monkeypatch):
     assert search.knn(asked.limit(0), base, 5).count() == 0
 
 
+def test_search_by_group_and_other_ids(spark, monkeypatch):
+    base = vectors(spark).selectExpr("concat('v', vec_id) AS vec_id", "embedding", "vec_id % 3 AS bot").where("vec_id <> 'v200'")
+    asked = base.where("bot < 2").limit(30).selectExpr("concat('q', vec_id) AS query_id", "embedding", "bot").where("embedding IS NOT NULL")
+    got = search.knn(asked, base, 4, by="bot")
+    assert dict(got.dtypes)["vec_id"] == "string" == dict(got.dtypes)["query_id"]
+    want = [r for b in (0, 1) for r in rows(search.knn_expressions(asked.where(f"bot = {b}"), base.where(f"bot = {b} AND embedding IS NOT NULL"), 4), "query_id", "vec_id", "rank")]
+    assert rows(got, "query_id", "vec_id", "rank") == sorted(want, key=str)
+    monkeypatch.setattr(search, "BLOCK", 7)
+    assert rows(search.knn(asked, base, 4, by="bot"), "query_id", "vec_id", "rank") == sorted(want, key=str)
+    with pytest.raises(ValueError):
+        search.knn_expressions(asked, base)
+
+
+def test_cells_of_clustered_vectors(spark):
+    """Recall of 0.9 while less than a quarter of the pairs is visited."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(40, 16))
+    data = [(k, (centres[k % 40] + 0.15 * rng.normal(size=16)).tolist()) for k in range(2000)]
+    base = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    asked = base.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
+    exact = search.knn(asked, base)
+    cells, probes = search.planned_cells(2000)
+    assert probes / cells < 0.25
+    assert search.recall(search.knn_ivf(asked, base, cells=cells, probes=probes), exact).agg(F.avg("recall")).first()[0] >= 0.9
+    sides = search.lsh_groups(16, 10)(np.array([v for _, v in data]))
+    visited = sum((sides[:, t][:, None] == sides[::50, t][None, :]).sum() for t in range(16)) / (2000 * 40)
+    assert visited < 0.25 * 16
+    assert search.recall(search.knn_lsh(asked, base, bits=10), exact).agg(F.avg("recall")).first()[0] >= 0.9
+
+
+def test_store(spark, tmp_path):
+    store = ChunkStore(spark, str(tmp_path / "s"), 2).create()
+    assert store.create().chunks().count() == 0 == store.catalogue().count()
+    ddl = "bot_id string, file_name string, file_hash string, chunk_index int, total_chunks int, content string, embedding array<double>"
+    data = [("b", "f", "h", 0, 2, "one", [1.0, 0.0]), ("b", "f", "h", 1, 2, "", [0.1, 1.0]), ("c", "f", "h", 0, 1, "x", [1.0, 1.0]), ("b", "g", "k", 0, 1, "y", [1.0]), ("b", "g", "k", 1, 1, "y", [1.0, None]), ("b", "g", "k", 2, 1, "y", None)]
+    bad = store.append_chunks(spark.createDataFrame(data, ddl), "t", F.lit(1))
+    assert rows(bad, "chunk_index") == [(0,), (1,), (2,)]
+    store.append_chunks(spark.createDataFrame(data[:3], ddl), "t", F.lit(1))  # written twice, read once
+    assert rows(store.chunks(), "bot_id", "content") == [("b", "one"), ("b", None), ("c", "x")]
+    assert dict(store.chunks().dtypes)["embedding"] == "array<float>"
+    assert "PartitionFilters: [isnotnull(bot_id" in store.chunks("c")._jdf.queryExecution().toString() and store.chunks("c").count() == 1
+    store.append_files(spark.createDataFrame([("f", 3, "h", "txt", "b", 2, 1, "b"), ("f", 3, "h", "txt", "c", 1, 1, "c")], CATALOGUE))
+    store.forget_files(spark.createDataFrame([("b", "f", 2)], "bot_id string, file_name string, seq int"))
+    assert rows(store.chunks(), "bot_id") == [("c",)] == rows(store.catalogue(), "bot_id")
+    store.append_chunks(spark.createDataFrame(data[:1], ddl), "t", F.lit(3))
+    assert rows(store.chunks("b"), "content", "seq") == [("one", 3)]
+    store.drop_bots(spark.createDataFrame([("c", 2)], "bot_id string, seq int"))
+    assert rows(store.chunks(), "bot_id") == [("b",)] and store.catalogue().count() == 0
+
+
+def test_embed_hook(spark):
+    texts = spark.createDataFrame([(1, "a b"), (2, "###"), (3, None), (4, "zero"), (5, "bad")], "k long, content string").coalesce(1)
+
+    def embed(batch):
+        return [[0.0, 0.0] if t == "zero" else [3.0, 4.0] for t in batch]
+
+    assert rows(ingest.embedded(texts, embed=embed), "k", "embedding", "empty_text") == [(1, [0.6, 0.8], False), (2, None, True), (3, None, True), (4, [0.0, 0.0], False), (5, [0.6, 0.8], False)]
+
+    def failing(batch):
+        raise RuntimeError("down")
+
+    assert rows(ingest.embedded(texts, embed=failing), "embedding") == [(None,)] * 5
+
+
+def test_containing(spark):
+    docs = spark.createDataFrame([(1, "the quick brown fox jumps over a dog"), (2, "he quick brown fox jumps ove"), (3, "quick brown  fox jumps"), (4, None), (5, ""), (6, "fox fox fox")], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "he quick brown fox jumps ove"), (2, "quick brown fox"), (3, "brown  fox jumps"), (4, "x fo"), (5, ""), (6, None), (7, "x fox f")], "query_id long, question string")
+    assert rows(analysis.containing(docs, asked)) == [(1, 1), (1, 2), (2, 1), (2, 2), (3, 3), (7, 6)]
+    assert analysis.containing(docs, asked.limit(0)).count() == 0
+
+
 def test_plans(spark):
     base = vectors(spark)
     asked = base.where("vec_id = 0").select(F.col("vec_id").alias("query_id"), "embedding")
@@ -117,6 +193,8 @@ def test_tools(spark):
     out = rows(tools.rendered(tools.routed(good, known)), "query_id", "tool_id", "url", "error")
     assert out == [(1, 1, "https://x.org/w/S%C3%A3o%20Paulo?u=c%20d", None), (2, 1, None, "Missing required: city"), (3, 3, "https://y.org?k=1&q=a%26b", None), (4, None, None, "No such tool")]
     assert tools.descriptors(known).count() == 3
+    heads = tools.request_heads(spark.createDataFrame([(1, None, None), (2, "post", {"Accept": "x", "Cookie": "y", "X-Api-Key": "z"})], "k int, method string, headers map<string,string>"))
+    assert rows(heads, "method", "headers") == [("GET", {}), ("POST", {"Accept": "x"})]
     asked = spark.createDataFrame([(1, "b", "What is the weather in this city?"), (2, "b", "hello")], "query_id int, bot_id string, question string")
     assert rows(tools.detected(asked, known)) == [(1, "b", "weather", 2)]
 
@@ -141,6 +219,13 @@ def test_models(spark):
     good, bad = models.split_errors(models.generated(asked, lambda p: [x and f" {x}! " for x in p]))
     assert rows(good, "query_id", "answer") == [(1, "a!")] and rows(bad, "query_id") == [(2,)]
 
+    calls = spark.createDataFrame([(1, "why?", {"a": "1"}, "Be kind.")], "query_id long, question string, result map<string,string>, system_prompt string")
+    said = models.answered_from_tools(calls, lambda p: p).first()
+    assert said["error"] is None and '{"a":"1"}' in said["answer"] and said["answer"].startswith("Be kind.") and "why?" in said["answer"]
+    listed = spark.createDataFrame([(1, ["a"]), (2, ["b"]), (3, None)], "k int, users array<string>")
+    assert tables.where_given(listed, "users", None).count() == 3 and rows(tables.where_given(listed, "users", "b"), "k") == [(2,)]
+    assert rows(listed.select(tables.or_default(F.col("k") % 3, 10).alias("n")), "n") == [(1,), (10,), (2,)]
+
     def failing(prompts):
         raise RuntimeError("down")
 

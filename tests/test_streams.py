@@ -27,3 +27,21 @@ def test_ingest_is_idempotent(spark, tmp_path):
     spark.createDataFrame([(4, "b", "x"), (5, "b", "y")], schema).coalesce(1).write.mode("append").parquet(source)
     streams.ingest_stream(spark, source, schema, table, str(tmp_path / "s1"), "doc_id").awaitTermination()
     assert sorted(r["doc_id"] for r in spark.read.parquet(table).collect()) == [1, 3, 5]
+
+
+def test_until_done(spark, tmp_path):
+    schema = "request_id long, seq long, response string, done boolean"
+    for k, rows in enumerate([[(1, 2, "b", False), (1, 1, "a", False), (2, 1, "x", True)], [(1, 3, "c", True), (1, 4, "late", False), (2, 2, "late", False), (3, 1, None, False)]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        kept = streams.until_done(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+        kept.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted((r["request"], r["response"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [("1", "a"), ("1", "b"), ("1", "c"), ("2", "x"), ("3", "")]
+
+
+def test_rejects(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "x.txt").write_text('{"response": "a"}\n{broken\n\n{"response": "", "done": true}\n')
+    good, bad = str(tmp_path / "good"), str(tmp_path / "bad")
+    streams.split_stream(streams.token_lines(spark, str(tmp_path / "in")), good, bad, str(tmp_path / "state")).awaitTermination()
+    assert sorted(str(r["response"]) for r in spark.read.parquet(good).collect()) == ["", "a"]
+    assert [(r["line"], r["error"]) for r in spark.read.parquet(bad).collect()] == [("{broken", "Not JSON")]
