@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The words of every word-based operator: runs of anything but ASCII white space.
@@ -47,3 +48,21 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def row_hash(text: Column) -> Column:
+    """Tells rows of one id apart by their texts; tasks compute the same with ``text_hash``."""
+    return F.xxhash64(text)
+
+
+def text_hash(text: str) -> int:
+    h = xxhash.xxh64_intdigest(text.encode("utf-8"), 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def rows_of(docs: DataFrame, chosen: DataFrame, how: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of ``docs`` whose id and text hash are (``left_semi``) or are not (``left_anti``) in ``chosen`` (doc_id, row)."""
+    own = docs.select(F.struct(*docs.columns).alias("__row"), F.col(id_col).cast("long").alias("__id"), row_hash(F.coalesce(F.col(text_col), F.lit(""))).alias("__hash"))
+    other = chosen.select(F.col("doc_id").alias("__chosen"), F.col("row").alias("__text")).distinct()
+    joined = own.join(other.hint("merge"), own["__id"].eqNullSafe(other["__chosen"]) & (own["__hash"] == other["__text"]), how)
+    return joined.select("__row.*")

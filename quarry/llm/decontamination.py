@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import id_and_text, stored
+from quarry.llm.common import id_and_text, rows_of, stored, text_hash
 from quarry.llm.rolling import Rolling
 
 WINDOW, COVERAGE, CONSISTENT = 8, 0.5, 0.8
@@ -167,7 +167,7 @@ def found_windows(rows: DataFrame, sizes: dict[int, set[bool]] | None, known: di
                             hits = hits[take[hits]]
                         if not len(hits):
                             continue
-                        row = xxhash.xxh64_intdigest(text) >> 1 if row is None else row
+                        row = text_hash(text) if row is None else row
                         places = int(full.sum())
                         for k, x in zip(hits.tolist(), h[hits].view(np.int64).tolist()):
                             values = [bare(words[place[j]]).lower() for j in range(k, k + size) if slot[j]]
@@ -182,15 +182,23 @@ def found_windows(rows: DataFrame, sizes: dict[int, set[bool]] | None, known: di
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
-    """(doc_id, item_id, coverage, verbatim) of every document that holds a benchmark item.
+    """(doc_id, item_id, coverage, verbatim, short) of every document that holds a benchmark item.
 
     Null and empty texts and items hold no windows and never match. A row with a null id
     is reported with it. Rows or items that repeat an id are judged one by one and
     reported once. An item shorter than a window is a window of its own length. Every
     item with a token has a window: where all are mostly slots, verbatim ones are found.
-    Windows shorter than WINDOW count together only if they lie near each other.
-    ``coverage`` is the share of the item's tokens, or of its template windows if larger.
+    Items of fewer than SHORTEST tokens are found wherever their words stand, so they are
+    marked ``short`` and nothing is removed for them. Windows shorter than WINDOW count
+    together only if they lie near each other. ``coverage`` is the share of the item's
+    tokens, or of its template windows if larger. An empty table gives an empty result.
     """
+    judged = judged_rows(docs, benchmark, id_col, text_col, item_col)
+    return judged.groupBy(F.col("id").alias("doc_id"), "item_id").agg(F.max("coverage").alias("coverage"), F.max("same").alias("verbatim"), (F.max("n") < SHORTEST).alias("short"))
+
+
+def judged_rows(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str) -> DataFrame:
+    """(id, row, item_id, n, coverage, same) of each text that leaks an item of ``n`` tokens; ``row`` is the text's hash."""
     rows, items = id_and_text(docs, id_col, text_col), id_and_text(benchmark, item_col, text_col)
     asked = stored(found_windows(items, None, None), "item-windows")
     sizes: dict[int, set[bool]] = {}  # of at most WINDOW
@@ -202,7 +210,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         known = {s: np.sort(each["hash"].to_numpy(np.int64)[each["size"].to_numpy() == s].view(np.uint64)) for s in sizes}
     asked = asked.select(F.col("id").alias("item_id"), F.col("row").alias("item_row"), "size", "n", F.when(F.col("size") == F.least("n", F.lit(WINDOW)), F.col("places")).alias("places"), F.col("at").alias("place"), "hash", "exact", F.col("slots").alias("asked"))
     if not sizes:
-        return rows.limit(0).select("doc_id", F.lit(0).cast("long").alias("item_id"), F.lit(0.0).alias("coverage"), F.lit(True).alias("verbatim"))
+        return rows.limit(0).select(F.col("doc_id").alias("id"), F.lit(0).cast("long").alias("row"), F.lit(0).cast("long").alias("item_id"), F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("coverage"), F.lit(True).alias("same"))
     hits = found_windows(rows, sizes, known).select("id", "row", "size", "at", "hash", "exact", "slots")
     joined = hits.join(F.broadcast(asked) if known is not None else asked.hint("merge"), ["size", "hash", "exact"])
     # an occurrence lies on one diagonal, or on some if words were put in or taken out
@@ -223,11 +231,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     of_windows = F.expr("coalesce(size(array_distinct(transform(filter(found, x -> x.counts), x -> x.place))) / nullif(places, 0), 0)")
     whole = whole.withColumn("coverage", F.greatest(F.col("covered") / F.col("n"), of_windows))
     enough = (F.col("coverage") >= COVERAGE) & (F.col("covered") >= F.least("n", F.lit(WINDOW)))
-    judged = whole.where(enough | (F.col("longest") >= RUN))
-    return judged.groupBy(F.col("id").alias("doc_id"), "item_id").agg(F.max("coverage").alias("coverage"), F.max("same").alias("verbatim"))
+    return whole.where(enough | (F.col("longest") >= RUN)).select("id", "row", "item_id", "n", "coverage", "same")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item; a leak takes all rows of its id."""
-    found = leaks(docs, benchmark, id_col, text_col, item_col).select(F.col("doc_id").alias("__leak")).distinct()
-    return docs.join(found.hint("merge"), docs[id_col].cast("long").eqNullSafe(found["__leak"]), "left_anti")
+    """The rows of ``docs`` whose own text holds no benchmark item of SHORTEST tokens or more."""
+    found = stored(judged_rows(docs, benchmark, id_col, text_col, item_col).where(F.col("n") >= SHORTEST).select(F.col("id").alias("doc_id"), "row").distinct(), "leaking-rows")
+    return rows_of(docs, found, "left_anti", id_col, text_col)
