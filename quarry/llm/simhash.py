@@ -45,19 +45,35 @@ def simhash(words: list[bytes], size: int) -> int:
     counts, left = np.zeros(BITS, np.int64), n
     while left:
         now = min(left, PIECE)
-        h = np.fromiter(hashes, "<u8", now)
-        bits = np.unpackbits(h.view(np.uint8).reshape(now, 8), axis=1, bitorder="little")
-        # rows are added in lanes of bytes, at most 255 at a time
-        for k in range(0, now, 255 * 64):
-            part = bits[k : k + 255 * 64]
-            full = len(part) // 255 * 255
-            if full:
-                counts += part[:full].reshape(-1, 255, 8, 8).view(np.uint64).sum(axis=1).view(np.uint8).reshape(-1, BITS).sum(axis=0, dtype=np.int64)
-            counts += part[full:].sum(axis=0, dtype=np.int64)
+        add_bits(counts, np.fromiter(hashes, "<u8", now))
         left -= now
+    return majority(counts, n)
+
+
+def add_bits(counts: np.ndarray, h: np.ndarray) -> None:
+    """Adds to ``counts`` how many of the hashes have each bit."""
+    bits = np.unpackbits(h.view(np.uint8).reshape(len(h), 8), axis=1, bitorder="little")
+    # rows are added in lanes of bytes, at most 255 at a time
+    for k in range(0, len(h), 255 * 64):
+        part = bits[k : k + 255 * 64]
+        full = len(part) // 255 * 255
+        if full:
+            counts += part[:full].reshape(-1, 255, 8, 8).view(np.uint64).sum(axis=1).view(np.uint8).reshape(-1, BITS).sum(axis=0, dtype=np.int64)
+        counts += part[full:].sum(axis=0, dtype=np.int64)
+
+
+def majority(counts: np.ndarray, n: int) -> int:
     return int.from_bytes(np.packbits(2 * counts > n, bitorder="little").tobytes(), "little")
 
 
+def bits_of(hashes: np.ndarray) -> int:
+    """The fingerprint of hashes that are at hand."""
+    counts = np.zeros(BITS, np.int64)
+    for k in range(0, len(hashes), PIECE):
+        add_bits(counts, np.ascontiguousarray(hashes[k : k + PIECE], "<u8"))
+    return majority(counts, len(hashes))
+
+
 FINGERPRINTS = "doc_id bigint, fingerprint bigint"
 FINGERPRINTS_ARROW = pa.schema([("doc_id", pa.int64()), ("fingerprint", pa.int64())])
 
@@ -77,11 +93,11 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def masks(radius: int = RADIUS) -> list[int]:
+def masks(radius: int = RADIUS, bits: int = BITS) -> list[int]:
     """The mask of each table: bits whose code is not orthogonal to the table's vector."""
     codes = (1 << (radius + 1)) - 1
-    code = [bit * codes // BITS + 1 for bit in range(BITS)]
-    return [sum(1 << bit for bit in range(BITS) if (code[bit] & v).bit_count() % 2) for v in range(1, codes + 1)]
+    code = [bit * codes // bits + 1 for bit in range(bits)]
+    return [sum(1 << bit for bit in range(bits) if (code[bit] & v).bit_count() % 2) for v in range(1, codes + 1)]
 
 
 def links(prints: DataFrame, fp: str = "fingerprint") -> DataFrame:

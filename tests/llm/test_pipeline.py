@@ -4,7 +4,9 @@ from collections import defaultdict
 
 import corpus_pipeline
 from quarry.llm.toxicity import toxicity
-from tests.llm.test_simhash import brute_components, brute_simhash
+from tests.llm.test_near_copies import brute_sets, similar
+from tests.llm.test_simhash import brute_components
+from tests.llm.test_toxicity import corpus
 
 
 def test_stages_against_brute_force(spark, tmp_path):
@@ -44,10 +46,11 @@ def test_stages_against_brute_force(spark, tmp_path):
         first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", kept[i]), i)
     kept = {i: kept[i] for i in first.values()}
     wanted.append(set(kept))
-    prints = {i: brute_simhash(t) for i, t in kept.items()}
-    group, least = brute_components(set(prints.values()), lambda a, b: (a ^ b).bit_count() <= 2), {}
+    # five words and a similarity of 0.8, the general rule for near-copies
+    own = {i: brute_sets(t) for i, t in kept.items()}
+    group, least = brute_components(kept, lambda a, b: similar(own[a], own[b])), {}
     for i in sorted(kept):
-        least.setdefault(group[prints[i]], i)
+        least.setdefault(group[i], i)
     kept = {i: kept[i] for i in least.values()}
     wanted.append(set(kept))
     kept.pop(501)
@@ -64,3 +67,22 @@ def test_stages_against_brute_force(spark, tmp_path):
     for r in packed:
         held[r["sequence_id"]] += r["length"]
     assert max(held.values()) <= 2048
+
+
+def test_odd_rows(spark, tmp_path):
+    """Null and repeated ids, null and empty texts, clashing columns and an empty table, in every stage."""
+    rows, labels = corpus(120, 3)
+    item = "which of these seven rivers flows from the high lakes to the northern sea"
+    odd = [(None, None), (None, ""), (7001, ""), (None, "You idiot moron idiot!"), (None, f"so {item} then"), (None, "plain words of a clean row here"), (7002, "same id first text of two"), (7002, "and quite another one for the same id"), (7002, "same id first text of two")]
+    docs = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in [*(r[:2] for r in rows), *odd]], "doc_id long, text string, __row int, score int, node int")
+    where = str(tmp_path)
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{where}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{where}/benchmark.parquet")
+    now = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, where)
+        assert now.columns == docs.columns
+        assert stage(spark, docs.limit(0), where).count() == 0
+    left = [(r["doc_id"], r["text"]) for r in now.where("doc_id IS NULL OR doc_id > 7000").collect()]
+    assert sorted(left, key=str) == sorted([(7001, ""), (None, "plain words of a clean row here"), (7002, "same id first text of two"), (7002, "and quite another one for the same id")], key=str)
+    assert corpus_pipeline.pack_sequences(spark, docs.limit(0), where).count() == 0
