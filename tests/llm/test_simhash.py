@@ -44,7 +44,8 @@ def test_every_pair_of_bits_is_hidden_by_some_table():
         assert any(not m >> a & 1 and not m >> b & 1 for m in masks())
 
 
-def test_links_against_brute_force(spark):
+@pytest.mark.parametrize("small", [16, 0, 3])
+def test_links_against_brute_force(spark, small):
     rng = random.Random(3)
     prints = set()
     for _ in range(40):
@@ -54,7 +55,7 @@ def test_links_against_brute_force(spark):
             for b in rng.sample(range(64), rng.randrange(1, 4)):
                 x ^= 1 << b
     rows = spark.createDataFrame([(x,) for x in prints], "fingerprint long")
-    got = {r["node"]: r["component"] for r in components(links(rows)).collect()}
+    got = {r["node"]: r["component"] for r in components(links(rows, small=small)).collect()}
     want = brute_components(prints, lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count() <= 2)
     assert {x: got.get(x, x) for x in prints} == want
 

@@ -1,3 +1,4 @@
+import json
 import zlib
 
 import numpy as np
@@ -25,6 +26,19 @@ def test_word_encoder_equals_library():
         assert own.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids, text
 
 
+def test_another_file_goes_through_the_library(tmp_path):
+    spec = json.load(open(PATH, encoding="utf-8"))
+    spec["normalizer"]["normalizers"].pop()  # upper case stays
+    spec["truncation"] = {"direction": "Right", "max_length": 3, "strategy": "LongestFirst", "stride": 0}
+    path = str(tmp_path / "other.json")
+    json.dump(spec, open(path, "w", encoding="utf-8"))
+    library, own = Tokenizer.from_file(path), WordEncoder(path)
+    library.no_truncation()
+    for text in [*ODD, "Upper CASE words Stay as They are"]:
+        assert own.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids, text
+    assert not own.by_words and WordEncoder(PATH).by_words
+
+
 def test_against_library(spark):
     texts = [*ODD, None, "word " * 30_000, "same", "same"]
     rows = [(None if i == 3 else i * 7 % 11, t, "x") for i, t in enumerate(texts)]

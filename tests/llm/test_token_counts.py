@@ -1,4 +1,5 @@
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 from quarry.llm.token_counts import PieceCounter, token_counts
@@ -22,3 +23,8 @@ def test_documents(spark):
     count = [len(library.encode(t or "", add_special_tokens=False).ids) for t in texts]
     assert got == sorted(((i, len((t or "").encode()), n, n > 1024) for (i, t, _), n in zip(rows, count)), key=str)
     assert token_counts(docs.limit(0), PATH).count() == 0
+
+
+def test_another_file_is_refused():
+    with pytest.raises(ValueError):
+        PieceCounter(public_tokenizers.path("word_bpe_49k.json"))
