@@ -6,9 +6,9 @@ bits; its mask keeps the bits whose code has an odd inner product with v. Two fi
 that differ in r bits at most have r differing codes, which some v <> 0 is orthogonal to:
 in that table the mask hides every differing bit, so the pair is certain to collide.
 
-Inside a bucket no pairs are formed. Two fingerprints differ in two bits at most if, and
-only if, some value lies within one bit of both, so each member of a bucket that has
-others names the values within one bit of it (its hidden bits only), and those that name
+Members of a small bucket, as chance makes them, are compared with each other. Inside a
+large one no pairs are formed. Two fingerprints differ in two bits at most if, and
+only if, some value lies within one bit of both, so each member of the bucket names the values within one bit of it (its hidden bits only), and those that name
 the same value are linked in a star. Such a group holds at most one more than there are
 hidden bits, however large the bucket is.
 """
@@ -100,25 +100,33 @@ def masks(radius: int = RADIUS, bits: int = BITS) -> list[int]:
     return [sum(1 << bit for bit in range(bits) if (code[bit] & v).bit_count() % 2) for v in range(1, codes + 1)]
 
 
-def links(prints: DataFrame, fp: str = "fingerprint") -> DataFrame:
+#: Members of a bucket that are compared with each other directly; larger buckets use centres.
+SMALL = 16
+
+
+def links(prints: DataFrame, fp: str = "fingerprint", small: int = SMALL) -> DataFrame:
     """Edges (u, v) whose components are those of "differs in two bits at most".
 
-    ``prints`` holds each fingerprint once.
+    ``prints`` holds each fingerprint once. Buckets of up to ``small`` members, as chance
+    makes them, are compared inside; the links are the same either way.
     """
     tables = masks()
     keyed = prints.select(F.col(fp).alias("fp"), F.explode(F.array(*[F.struct(F.lit(k).alias("t"), F.col(fp).bitwiseAND(F.lit(signed(m))).alias("key")) for k, m in enumerate(tables)])).alias("b")).select("fp", "b.t", "b.key")
-    shared = keyed.groupBy("t", "key").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a <> z").select("t", "key")
-    members = keyed.join(shared.hint("merge"), ["t", "key"]).select("t", "fp")
+    shared = stored(keyed.groupBy("t", "key").agg(F.count("*").alias("c")).where("c > 1"), "shared-buckets")
+    members = stored(keyed.join(shared.hint("merge"), ["t", "key"]).select("t", "key", "c", "fp"), "bucket-members")
+    few = members.where(F.col("c") <= small).groupBy("t", "key").agg(F.collect_list("fp").alias("fps"))
+    pairs = f"flatten(transform(fps, a -> transform(filter(fps, b -> b > a AND bit_count(a ^ b) <= {RADIUS}), b -> struct(a AS u, b AS v))))"
+    direct = few.select(F.explode(F.expr(pairs)).alias("p")).select("p.u", "p.v")
     hidden = [[1 << b for b in range(BITS) if not m >> b & 1] for m in tables]
 
     def near(flips: list[int]) -> Column:
         return F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(signed(x))) for x in flips])
 
     centre = reduce(lambda out, k: out.when(F.col("t") == k, near(hidden[k])), range(1, len(tables)), F.when(F.col("t") == 0, near(hidden[0])))
-    named = members.select("t", "fp", F.explode(centre).alias("centre"))
+    named = members.where(F.col("c") > small).select("t", "fp", F.explode(centre).alias("centre"))
     # at most 1 + len(hidden[t]) fingerprints name one centre in a table
     stars = named.groupBy("t", "centre").agg(F.min("fp").alias("u"), F.collect_set("fp").alias("vs")).where(F.size("vs") > 1)
-    return stars.select("u", F.explode("vs").alias("v")).where("u <> v").distinct()
+    return stars.select("u", F.explode("vs").alias("v")).where("u <> v").union(direct).distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -133,6 +141,8 @@ def near_duplicates(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text
     distinct = stored(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
     found = stored(components(links(distinct)), "fingerprint-components")
     named = distinct.join(found.hint("merge"), distinct["fingerprint"] == found["node"], "left").select("fingerprint", "first", F.coalesce("component", "fingerprint").alias("c"))
-    named = named.join(named.groupBy("c").agg(F.min("first").alias("component_id")).hint("merge"), "c").select("fingerprint", "component_id")
-    out = prints.join(named.hint("merge"), "fingerprint")
+    named = stored(named, "named-fingerprints")
+    least = stored(named.groupBy("c").agg(F.min("first").alias("component_id")), "component-ids")
+    named = named.join(least.hint("merge"), "c").select("fingerprint", "component_id")
+    out = prints.join(stored(named, "fingerprint-ids").hint("merge"), "fingerprint")
     return out.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
