@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
 import xxhash
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,3 +68,14 @@ def rows_of(docs: DataFrame, chosen: DataFrame, how: str, id_col: str = "doc_id"
     other = chosen.select(F.col("doc_id").alias("__chosen"), F.col("row").alias("__text")).distinct()
     joined = own.join(other.hint("merge"), own["__id"].eqNullSafe(other["__chosen"]) & (own["__hash"] == other["__text"]), how)
     return joined.select("__row.*")
+
+
+def ship_file(spark: SparkSession, path: str) -> None:
+    """Sends a vocabulary file to the executors, which may not have it under its path."""
+    if os.path.basename(path) not in {os.path.basename(f) for f in spark.sparkContext.listFiles}:
+        spark.sparkContext.addFile(path)
+
+
+def local_file(path: str) -> str:
+    """Where a shipped file is on this machine."""
+    return path if os.path.exists(path) else SparkFiles.get(os.path.basename(path))

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import id_and_text, partitions, scratch
+from quarry.llm.common import id_and_text, partitions, scratch, ship_file
 from quarry.llm.word_tokens import word_encoder
 
 MAGIC, BLOCK, PERCENTILE = b"QPF1", 128, 90
@@ -117,6 +117,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, id_col: str =
     first, rows of equal ids follow each other.
     """
     spark = docs.sparkSession
+    ship_file(spark, tokenizer_path)
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, segment = word_encoder(tokenizer_path), TaskContext.get().partitionId(), 0

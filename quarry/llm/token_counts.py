@@ -18,13 +18,15 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from quarry.llm.common import id_and_text
+from quarry.llm.common import id_and_text, local_file, ship_file
 from quarry.llm.word_tokens import byte_symbols
 
 NO_RANK = np.int64(1 << 40)
 #: Pre-tokens that a worker keeps, and characters of text whose new pre-tokens are merged together.
 PIECES_KEPT, CHUNK_CHARS = 500_000, 4_000_000
 
+#: The part of a file that says it is byte-level.
+PRE_TOKENIZER = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
 #: The byte-level pre-token pattern, for any text and for Latin-1 alone.
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 ANY_TEXT = regex.compile(rf"{CONTRACTIONS}| ?\p{{L}}+| ?\p{{N}}+| ?[^\p{{White_Space}}\p{{L}}\p{{N}}]+|\p{{White_Space}}+(?!\P{{White_Space}})|\p{{White_Space}}+")
@@ -37,8 +39,10 @@ class PieceCounter:
     """Number of symbols of each pre-token under one byte-level vocabulary."""
 
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
+        with open(local_file(path), encoding="utf-8") as f:
             spec = json.load(f)
+        if spec["normalizer"] or spec["pre_tokenizer"] != PRE_TOKENIZER or any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"]):
+            raise ValueError("the vocabulary is not a plain byte-level one")
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
         pairs = [m if isinstance(m, list) else m.split(" ") for m in merges]
         left = np.array([vocab[a] for a, _ in pairs], np.int64)
@@ -119,6 +123,8 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 1024, id_col
     A null text is empty: no bytes, no tokens. Null ids and repeated rows pass through.
     """
 
+    ship_file(docs.sparkSession, tokenizer_path)
+
     def chunks(batch: pa.RecordBatch) -> Iterator[tuple[list, list[str]]]:
         ids, texts, size = [], [], 0
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):

@@ -2,17 +2,30 @@
 
 The vocabulary drops white space, so the ids of a text are the ids of its words one
 after the other. Words repeat, so each Python worker remembers the ids of words it has
-met; every other word goes through the library.
+met; every other word goes through the library. That rests on how the file cuts words: with
+a file of another normaliser or pattern every whole text goes through the library.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 from functools import lru_cache
 
 import numpy as np
 
+from quarry.llm.common import local_file
+
+#: The parts of a file under which words can be encoded one by one.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 #: How the vocabulary's own pattern reads on words of printable Latin-1
 #: characters, which Unicode's NFC form leaves as they are.
 LETTERS, NUMBERS = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾"
@@ -40,9 +53,14 @@ class WordEncoder(dict):
         super().__init__()
         from tokenizers import Tokenizer
 
+        path = local_file(path)
         self.tokenizer = Tokenizer.from_file(path)
-        if self.tokenizer.get_vocab_size() > 1 << 16:
-            raise ValueError("ids do not fit 16 bits")
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        special = all(t["content"].startswith("<|") and not t["lstrip"] and not t["rstrip"] and not t["single_word"] for t in spec["added_tokens"])
+        self.by_words = special and spec["normalizer"] == NORMALIZER and spec["pre_tokenizer"] == PRE_TOKENIZER and spec["post_processor"] is None and self.tokenizer.get_vocab_size() <= 1 << 16
         self.model = self.tokenizer.model
         self.words: dict[bytes, bytes] = {}
 
@@ -70,6 +88,8 @@ class WordEncoder(dict):
 
     def encode(self, text: str | None) -> np.ndarray:
         text = text or ""
+        if not self.by_words:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
         if NOT_LATIN.search(text):
             parts = map(self.other_word, text.encode("utf-8").split())
         else:
