@@ -15,39 +15,51 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import id_and_text, stored
+from quarry.llm.common import id_and_text, ship_file, stored
 from quarry.llm.word_tokens import word_encoder
 
 CAPACITY, END_ID = 2048, 0
 #: Lengths tried beside each longest one, most pieces in an enumerated pattern, share of a
 #: sequence that a pattern may leave empty, and rounds of the fit.
 TRIED, MOST, WASTE, ROUNDS = 24, 4, 1 / 128, 300
-#: Ranks are counted in so many parts of each length; a length may hold most of the rows.
-PARTS = 64
+#: Beginnings of patterns that are lengthened by one more piece: so many of each number of
+#: pieces, evenly spread over all. This bounds the patterns that are tried, not the rows.
+BEGUN = 20_000
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 PIECES_ARROW = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
+CUT = PIECES + ", part int, turn bigint"
+CUT_ARROW = PIECES_ARROW.append(pa.field("part", pa.int32())).append(pa.field("turn", pa.int64()))
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The pieces of every document: its ids and an end id, cut only where longer than ``capacity``."""
+    """The pieces of every document: its ids and an end id, cut only where longer than ``capacity``.
+
+    ``part`` is the task that cut a piece and ``turn`` how many of its length the task had
+    cut before; a task that is run again cuts the same.
+    """
+
+    ship_file(docs.sparkSession, tokenizer_path)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = word_encoder(tokenizer_path), np.array([END_ID], "<u4")
+        part_id, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
         for batch in batches:
             out: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 ids = np.concatenate([encoder.encode(text.as_py()).astype("<u4"), end])
                 for k, at in enumerate(range(0, len(ids), capacity)):
                     part = ids[at : at + capacity]
-                    out.append((doc_id, k, at, len(part), zlib.crc32(part)))
-            columns = zip(*out) if out else [[]] * len(PIECES_ARROW)
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, PIECES_ARROW)], schema=PIECES_ARROW)
+                    out.append((doc_id, k, at, len(part), zlib.crc32(part), part_id, seen[len(part)]))
+                    seen[len(part)] += 1
+            columns = zip(*out) if out else [[]] * len(CUT_ARROW)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, CUT_ARROW)], schema=CUT_ARROW)
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(cut, PIECES)
+    return id_and_text(docs, id_col, text_col).mapInArrow(cut, CUT)
 
 
 def patterns(lengths: np.ndarray, capacity: int) -> np.ndarray:
@@ -64,7 +76,7 @@ def patterns(lengths: np.ndarray, capacity: int) -> np.ndarray:
         for own in grown:
             space = capacity - sum(own)
             last = int(floor[min(space, own[-1])]) if space > 0 else 0
-            while last and len(new) < 200_000:
+            while last:
                 full = (*own, last)
                 if space - last <= WASTE * capacity:
                     found.add(full)
@@ -75,7 +87,7 @@ def patterns(lengths: np.ndarray, capacity: int) -> np.ndarray:
                 for x in present[spread]:
                     if x <= min(space, own[-1]):
                         new.add((*own, int(x)))
-        grown = sorted(new)[:: max(1, len(new) // 20_000)]
+        grown = sorted(new)[:: -(-len(new) // BEGUN) or 1]
     out = np.zeros((len(found), MOST), np.int64)
     for k, own in enumerate(sorted(found)):
         out[k, : len(own)] = own
@@ -160,23 +172,23 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col:
     like any other row. An empty table gives an empty result.
     """
     cut = stored(pieces(docs, tokenizer_path, capacity, id_col, text_col), "pieces")
-    parted = cut.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(PARTS)).cast("int"))
-    # at most capacity * PARTS numbers
-    counts = np.zeros((capacity + 1, PARTS), np.int64)
-    for r in parted.groupBy("length", "part").agg(F.count("*").alias("n")).collect():
-        counts[r["length"], r["part"]] = r["n"]
-    before = np.cumsum(counts, axis=1) - counts
-    slot = places(plan(counts.sum(axis=1), capacity), capacity)
+    counts = stored(cut.groupBy("length", "part").agg(F.count("*").alias("n")), "piece-counts")
+    histogram = np.zeros(capacity + 1, np.int64)
+    for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most ``capacity`` numbers
+        histogram[r["length"]] = r["n"]
+    slot = places(plan(histogram, capacity), capacity)
     span = np.int64(1 << 44)
     keys = slot["length"] * span + slot["rank"]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            length, part, turn = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (3, 5, 6))
-            rank = before[length, part] + turn - 1
+            length, rank = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("length", "rank"))
             at = np.searchsorted(keys, length * span + rank, side="right") - 1
             found = [pa.array(slot["sequence"][at] + rank - slot["rank"][at]), pa.array(slot["offset"][at])]
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], *found], names=[*PIECES_ARROW.names, "sequence_id", "offset"])
 
-    turn = F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32"))
-    return parted.withColumn("turn", turn).mapInArrow(place, PACKED)
+    # a row for each length and task, so that even a length that most pieces have is a short window
+    before = F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")
+    starts = stored(counts.select("length", "part", before.alias("before")), "piece-starts")
+    ranks = cut.join(starts.hint("merge"), ["length", "part"]).select(*PIECES_ARROW.names, (F.col("before") + F.col("turn")).alias("rank"))
+    return ranks.mapInArrow(place, PACKED)
