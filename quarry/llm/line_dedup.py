@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.bytewise import chained, xxhash
-from quarry.llm.common import id_and_text
+from quarry.llm.common import id_and_text, stored
 
 DIVISOR = 4
 
@@ -34,7 +34,8 @@ def repeated_chunks(chunks: DataFrame, key_bits: int = 64) -> DataFrame:
     # inline_outer, as a filter that the optimizer infers for inline would compute the chunks once for each line
     each = chunks.select("doc_id", "row", F.inline_outer("chunks")).where("n_lines >= 2")
     each = each.select(xxhash(F.col("body"), key_bits).alias("key"), F.struct("doc_id", "row", "no").alias("id"), "n_lines", "body")
-    keys = each.select("key", "id").groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    # written, so that both sides of the join are dealt out for it and a key with very many chunks can be split
+    keys = stored(each.select("key", "id").groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1"), "repeated-keys")
     members = each.join(keys.hint("merge"), "key")
     return chained(members, ["n_lines"]).where(~F.col("id").eqNullSafe(F.col("keep"))).select("id.*", "n_lines")
 
@@ -47,7 +48,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     neither removes the other's chunks. Single-line chunks are never removed.
     """
     chunks = chunked(docs, id_col, text_col)
-    gone = repeated_chunks(chunks, key_bits).distinct().groupBy("doc_id", "row").agg(F.collect_list("no").alias("gone"), F.sum("n_lines").alias("removed_lines"))
+    gone = repeated_chunks(chunks, key_bits).groupBy("doc_id", "row").agg(F.collect_set(F.struct("no", "n_lines")).alias("found"))
+    gone = gone.select("doc_id", "row", F.col("found.no").alias("gone"), F.aggregate("found", F.lit(0).cast("long"), lambda a, x: a + x["n_lines"]).alias("removed_lines"))
     gone = gone.select(F.col("doc_id").alias("g_id"), F.col("row").alias("g_row"), "gone", "removed_lines")
     joined = chunks.join(gone.hint("merge"), chunks["doc_id"].eqNullSafe(gone["g_id"]) & (chunks["row"] == gone["g_row"]), "left")
     kept = F.expr("array_join(transform(array_except(sequence(0, size(chunks) - 1), coalesce(gone, array())), i -> chunks[i].body), '\n')")
