@@ -13,11 +13,16 @@ is WINDOW words deep. Only suffixes that can share such a node are put into tree
    document have to be told apart. They become suffixes, written as BLOCKS symbols, each
    the hash of WINDOW / BLOCKS words.
 3. Trees. Suffixes are dealt out by prefixes of variable length: a prefix that more than a
-   group's share of suffixes have is lengthened by a symbol. A task sorts its suffixes and
-   walks the subtrees in that order; what shares all symbols with its neighbour lies under
-   one deep internal node, whose first leaf has the smallest document. Suffixes that are
-   equal throughout and too many for a group are one node; its minimum is aggregated.
+   group's share of suffixes have is lengthened by a symbol. A task sorts its suffixes,
+   takes the lengths of the prefixes that neighbours share, and from these the internal
+   nodes of its subtrees. The nodes WINDOW words deep hold the repeats; their first leaf lies
+   in the smallest document. Suffixes that are equal throughout and too many for a group are
+   one node; its minimum is aggregated.
 4. The words under removed windows are left out of the text.
+
+Deep nodes of one document that follow each other word by word are one maximal repeat: see
+``maximal_repeats``. Words are compared by their hashes, 128 bits of a run and 160 of a suffix;
+``maximal_repeats`` returns the words.
 """
 
 from __future__ import annotations
@@ -37,6 +42,8 @@ from quarry.llm.rolling import Rolling
 WINDOW, K, BLOCKS = 50, 10, 5
 #: Most suffixes that share a prefix before it is lengthened, and the least such number.
 GROUP, LEAST_GROUP = 1_000_000, 1_000
+#: Long prefixes that are sent to every task: 24 MB at most.
+SENT = 1_000_000
 SYMBOLS = [f"s{k}" for k in range(BLOCKS)]
 
 RUNS = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("anchor", pa.int64()), ("content", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
@@ -99,23 +106,52 @@ def suffixes(texts: DataFrame, window: int = WINDOW) -> DataFrame:
     return texts.select("doc_id", "row", "text", "runs").mapInArrow(compute, SUFFIXES_DDL)
 
 
+def shared_prefixes(symbols: np.ndarray, last: np.ndarray | None = None) -> np.ndarray:
+    """How many symbols each of the sorted suffixes shares with the one before; the first with ``last``."""
+    before = np.concatenate([symbols[:1] if last is None else last[None, :], symbols[:-1]])
+    out = np.cumprod(symbols == before, axis=1).sum(axis=1)
+    if last is None and len(out):
+        out[0] = 0
+    return out
+
+
+def internal_nodes(shared: np.ndarray) -> list[tuple[int, int, int]]:
+    """(depth, first leaf, last leaf) of the internal nodes of the tree of sorted suffixes, from
+    the prefixes that neighbours share, by a stack of the nodes that are still open."""
+    nodes, open_nodes = [], [(0, 0)]
+    for k in range(1, len(shared) + 1):
+        depth, left = int(shared[k]) if k < len(shared) else 0, k - 1
+        while open_nodes[-1][0] > depth:
+            own, left = open_nodes.pop()
+            nodes.append((own, left, k - 1))
+        if open_nodes[-1][0] < depth:
+            open_nodes.append((depth, left))
+    return nodes
+
+
 def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Leaves (doc_id, row, start) under deep internal nodes that lie in a later document than
     the node's first; the suffixes come sorted by symbols, then document."""
-    last, least = None, None  # the node that the batch before ended in
+    last, least = None, None  # the leaf that the batch before ended in, and the first document of its node
     for batch in batches:
         n = len(batch)
         if not n:
             continue
         symbols = np.stack([batch.column(3 + k).to_numpy() for k in range(BLOCKS)], axis=1)
         doc = batch.column(0).to_numpy()
-        same = np.r_[last is not None and bool((symbols[0] == last).all()), (symbols[1:] == symbols[:-1]).all(axis=1)]
-        first = np.maximum.accumulate(np.where(same, 0, np.arange(n)))
-        smallest = doc[first]
-        if same[0]:
-            smallest = np.where(np.logical_and.accumulate(same), least, smallest)
-        last, least = symbols[-1], smallest[-1]
-        later = pa.array(doc > smallest)
+        shared = shared_prefixes(symbols, last)
+        first = doc.copy()
+        # only nodes as deep as the suffixes matter: where neighbours share less, the tree is cut before it is built
+        deep = np.nonzero(shared == BLOCKS)[0]
+        for part in np.split(deep, np.nonzero(np.diff(deep) > 1)[0] + 1) if len(deep) else ():
+            left = max(int(part[0]) - 1, 0)
+            for _, low, high in internal_nodes(np.r_[0, shared[left + 1 : part[-1] + 1]]):
+                first[left + low : left + high + 1] = doc[left + low]
+        going_on = int(np.argmax(shared < BLOCKS)) if (shared < BLOCKS).any() else n
+        if going_on:  # the node that the batch before ended in
+            first[:going_on] = least
+        last, least = symbols[-1], first[-1]
+        later = pa.array(doc > first)
         yield pa.RecordBatch.from_arrays([batch.column(k).filter(later) for k in range(3)], names=["doc_id", "row", "start"])
 
 
@@ -130,9 +166,11 @@ def later_leaves(leaves: DataFrame, group: int = GROUP, least_group: int = LEAST
         prefix = SYMBOLS[:k]
         # at most one in ``most`` suffixes
         long = stored(leaves.groupBy(*prefix).agg(F.count("*").alias("c")).where(F.col("c") > most).select(*prefix, F.lit(True).alias(f"long{k}")), "long-prefixes")
-        if long.isEmpty():
+        found = long.count()
+        if not found:
             break
-        flat = flat.join(F.broadcast(long), prefix, "left")
+        # sent to the tasks up to a size, as long prefixes are hot keys; beyond it they are dealt out
+        flat = flat.join(F.broadcast(long) if found <= SENT else long.hint("merge"), prefix, "left")
         depth, large = F.when(F.col(f"long{k}"), F.lit(k + 1)).otherwise(depth), k == BLOCKS
     fields = ["doc_id", "row", "start", *SYMBOLS]
     flat = flat.select(*fields, depth.alias("depth"))
@@ -141,8 +179,8 @@ def later_leaves(leaves: DataFrame, group: int = GROUP, least_group: int = LEAST
     out = trees.select(*fields).mapInArrow(walk, "doc_id bigint, row bigint, start int")
     if large:
         single = flat.where(F.col("depth") > BLOCKS)
-        least = stored(single.groupBy(*SYMBOLS).agg(F.min("doc_id").alias("least")), "large-nodes")  # as many as long prefixes
-        out = out.union(single.join(F.broadcast(least), SYMBOLS).where("doc_id > least").select("doc_id", "row", "start"))
+        least = stored(single.groupBy(*SYMBOLS).agg(F.min("doc_id").alias("least")), "large-nodes")
+        out = out.union(single.join(F.broadcast(least) if found <= SENT else least.hint("merge"), SYMBOLS).where("doc_id > least").select("doc_id", "row", "start"))
     return out
 
 
@@ -171,13 +209,8 @@ def cleaned(texts: DataFrame, window: int, digest: bool) -> DataFrame:
     return texts.select("doc_id", "text", "gone").mapInArrow(compute, "doc_id bigint, n_words bigint, n_removed bigint, text string")
 
 
-def substring_dedup(docs: DataFrame, digest: bool = False, window: int = WINDOW, k: int = K, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP, least_group: int = LEAST_GROUP) -> DataFrame:
-    """(doc_id, n_words, n_removed, text) of every row; with ``digest`` text is the SHA-256 of the text.
-
-    Null texts have no words. Rows with a null id lose no words and take none from others.
-    Rows that repeat an id count as one document: none removes another's words.
-    """
-    rows = id_and_text(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("row"), "text")
+def repeated_windows(rows: DataFrame, window: int, k: int, group: int, least_group: int) -> DataFrame:
+    """(doc_id, row, start, end): windows, by the first and the last of a run, that also start in an earlier document."""
     runs = stored(anchored(rows, window, k), "runs")
     paths = runs.groupBy("anchor", "content").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     paths = stored(paths, "paths")
@@ -187,6 +220,44 @@ def substring_dedup(docs: DataFrame, digest: bool = False, window: int = WINDOW,
     told = marked.where("branch AND NOT copy").groupBy("doc_id", "row").agg(F.collect_set(F.struct("start", "end")).alias("runs"))
     leaves = stored(suffixes(rows.join(told.hint("merge"), ["doc_id", "row"]), window), "suffixes")
     later = later_leaves(leaves, group, least_group).select("doc_id", "row", "start", F.col("start").alias("end"))
-    gone = marked.where("copy").select("doc_id", "row", "start", "end").union(later)
+    return marked.where("copy").select("doc_id", "row", "start", "end").union(later)
+
+
+def maximal_repeats(docs: DataFrame, window: int = WINDOW, k: int = K, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP, least_group: int = LEAST_GROUP) -> DataFrame:
+    """(doc_id, row, start, n_words, passage) of every maximal stretch of windows that are repeated from earlier documents.
+
+    ``start`` counts words from 0; ``passage`` is the stretch's words, one space between.
+    Longer by a word on either side, a stretch would hold a window that no earlier document
+    has. Null texts and null ids as in ``substring_dedup``.
+    """
+    rows = id_and_text(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("row"), "text")
+    gone = repeated_windows(rows, window, k, group, least_group).groupBy("doc_id", "row").agg(F.collect_set(F.struct("start", "end")).alias("gone"))
+    texts = rows.join(gone.hint("merge"), ["doc_id", "row"])
+
+    def stretch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for doc_id, row, text, gone in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist()):
+                words = text.as_py().encode("utf-8").split()
+                low = high = None
+                for start, end in [*sorted((g["start"], g["end"]) for g in gone), (len(words) + 1, 0)]:
+                    if high is not None and start > high + 1:
+                        out.append((doc_id, row, low, high - low + window, b" ".join(words[low : high + window]).decode("utf-8")))
+                        high = None
+                    low, high = (start, end) if high is None else (low, max(high, end))
+            columns = zip(*out) if out else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()))], names=["doc_id", "row", "start", "n_words", "passage"])
+
+    return texts.select("doc_id", "row", "text", "gone").mapInArrow(stretch, "doc_id bigint, row bigint, start bigint, n_words bigint, passage string")
+
+
+def substring_dedup(docs: DataFrame, digest: bool = False, window: int = WINDOW, k: int = K, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP, least_group: int = LEAST_GROUP) -> DataFrame:
+    """(doc_id, n_words, n_removed, text) of every row; with ``digest`` text is the SHA-256 of the text.
+
+    Null texts have no words. Rows with a null id lose no words and take none from others.
+    Rows that repeat an id count as one document: none removes another's words.
+    """
+    rows = id_and_text(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("row"), "text")
+    gone = repeated_windows(rows, window, k, group, least_group)
     gone = gone.groupBy("doc_id", "row").agg(F.collect_set(F.struct("start", "end")).alias("gone"))
     return cleaned(rows.join(gone.hint("merge"), ["doc_id", "row"], "left"), window, digest)
