@@ -14,7 +14,11 @@ FORMATS = (".pdf", ".docx", ".DOC", ".pptx", ".TXT", ".csv")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table. Documents in fewer files than there are cores are dealt out first, as one
+    file with one row group is one task; a large corpus has files enough and is read as it lies."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if name == "documents" and len(rows.inputFiles()) < cores else rows
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
