@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import documents, stored
 from quarry.llm.decontamination import leaks
+from quarry.llm.divergence import SQL as DIVERGENCE_SQL
+from quarry.llm.divergence import source_divergence
 from quarry.llm.exact_dedup import SQL as EXACT_DEDUP_SQL
 from quarry.llm.exact_dedup import exact_groups
 from quarry.llm.line_dedup import SQL as LINE_DEDUP_SQL
@@ -76,6 +78,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), public_tokenizers.path(WORD_BPE))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_blocks": op1_token_blocks,
     "op2_toxicity": op2_toxicity,
@@ -88,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "quoted_conversations": quoted_conversations,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_packing": op10_packing,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -95,4 +102,5 @@ ORACLE_SQL: dict[str, str] = {
     "op8_quotes": QUOTES_SQL,
     "quoted_conversations": CONVERSATIONS_SQL,
     "op9_exact_dedup": EXACT_DEDUP_SQL,
+    "op13_source_divergence": DIVERGENCE_SQL,
 }
