@@ -285,7 +285,7 @@ def block_distances(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
         a += [names[k]] * len(later)
         b += names[later].tolist()
         part += np.abs(values[later] - values[k]).sum(axis=1).tolist()
-    return pd.DataFrame({"lang": lang, "a": a, "b": b, "part": np.array(part, np.int64)})
+    return pd.DataFrame({"lang": pd.Series([lang] * len(a), dtype=object), "a": pd.Series(a, dtype=object), "b": pd.Series(b, dtype=object), "part": np.array(part, np.int64)})
 
 
 def vocabulary(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
