@@ -14,6 +14,7 @@ from quarry.llm.divergence import SQL as DIVERGENCE_SQL
 from quarry.llm.divergence import source_divergence
 from quarry.llm.exact_dedup import SQL as EXACT_DEDUP_SQL
 from quarry.llm.exact_dedup import exact_groups
+from quarry.llm.licenses import license_digest, license_scan
 from quarry.llm.line_dedup import SQL as LINE_DEDUP_SQL
 from quarry.llm.line_dedup import line_dedup
 from quarry.llm.packing import pack
@@ -78,6 +79,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), public_tokenizers.path(WORD_BPE))
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_digest(license_scan(documents(spark, sf_dir)))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(documents(spark, sf_dir))
 
@@ -94,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "quoted_conversations": quoted_conversations,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_packing": op10_packing,
+    "op11_license_scan": op11_license_scan,
     "op13_source_divergence": op13_source_divergence,
 }
 
