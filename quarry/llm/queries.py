@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.common import documents, stored
+from quarry.llm.conversation_repair import SQL as REPAIR_SQL
+from quarry.llm.conversation_repair import damaged, repair
 from quarry.llm.decontamination import leaks
 from quarry.llm.divergence import SQL as DIVERGENCE_SQL
 from quarry.llm.divergence import source_divergence
@@ -83,6 +85,11 @@ def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_digest(license_scan(documents(spark, sf_dir)))
 
 
+def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return repair(damaged(rows), rows)
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(documents(spark, sf_dir))
 
@@ -100,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_packing": op10_packing,
     "op11_license_scan": op11_license_scan,
+    "op12_structure_repair": op12_structure_repair,
     "op13_source_divergence": op13_source_divergence,
 }
 
@@ -108,5 +116,6 @@ ORACLE_SQL: dict[str, str] = {
     "op8_quotes": QUOTES_SQL,
     "quoted_conversations": CONVERSATIONS_SQL,
     "op9_exact_dedup": EXACT_DEDUP_SQL,
+    "op12_structure_repair": REPAIR_SQL,
     "op13_source_divergence": DIVERGENCE_SQL,
 }
