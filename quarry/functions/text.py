@@ -12,6 +12,7 @@ from pyspark.sql.types import ArrayType, StringType
 #: White space as browsers' regular expressions know it; Java's \s misses the Unicode part.
 WEB_SPACE = r"[\t\n\x0B\f\r    -     　﻿]+"
 NOT_PLAIN = r"[^A-Za-z0-9_ .-]"
+NOT_SPACE = f"[^{WEB_SPACE[1:-2]}]"
 CHUNK_SIZE, CHUNK_OVERLAP = 400, 20
 
 
@@ -23,6 +24,16 @@ def clean_text(text: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(F.regexp_replace(text, WEB_SPACE, " "), NOT_PLAIN, "")))
 
 
+def trimmed(text: Column) -> Column:
+    """Without the white space of any kind at both ends."""
+    return F.regexp_replace(text, rf"\A{WEB_SPACE}|{WEB_SPACE}\z", "")
+
+
+def has_text(text: Column) -> Column:
+    """Whether anything but white space is there; null counts as nothing."""
+    return F.coalesce(F.rlike(text, F.lit(NOT_SPACE)), F.lit(False))
+
+
 def base_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from quarry.functions.text import clean_text, fixed_chunks, preview
+from quarry.functions.text import clean_text, fixed_chunks, has_text, preview, trimmed
 from quarry.functions.vectors import DIMENSIONS, hashed_counts
 
 
@@ -29,13 +29,13 @@ def joined_pages(pages: DataFrame, keys: list[str], order: str, text: str = "tex
     """Pages of each file in order, one line each, trimmed."""
     in_order = F.array_sort(F.collect_list(F.struct(order, text)))
     whole = F.array_join(F.transform(in_order, lambda p: p[text]), "\n")
-    return pages.groupBy(*keys).agg(F.trim(whole).alias("content"), F.count("*").alias("pages"))
+    return pages.groupBy(*keys).agg(trimmed(whole).alias("content"), F.count("*").alias("pages"))
 
 
-def split_empty(files: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Files with text, and those without (with a preview of what there is)."""
-    empty = F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"\s", "")) == ""
-    return files.where(~empty), files.where(empty).withColumn("preview", preview(F.col(text)))
+def flag_empty(files: DataFrame, text: str = "text") -> DataFrame:
+    """Adds ``empty``, whether a file has no text, and ``preview``, what an empty one has instead."""
+    empty = ~has_text(F.col(text))
+    return files.withColumn("empty", empty).withColumn("preview", F.when(F.col("empty"), preview(F.col(text))))
 
 
 def chunk_rows(files: DataFrame, chunks: Column, keys: list[str]) -> DataFrame:
@@ -46,7 +46,7 @@ def chunk_rows(files: DataFrame, chunks: Column, keys: list[str]) -> DataFrame:
     """
     numbered = files.withColumn("chunks", chunks)
     rows = numbered.select(*keys, F.size("chunks").alias("total_chunks"), F.posexplode("chunks").alias("chunk_index", "content"))
-    return rows.where(F.trim("content") != "")
+    return rows.where(has_text(F.col("content")))
 
 
 def chunk_id(*keys: str) -> Column:
@@ -96,9 +96,14 @@ def dimension_violations(vectors: DataFrame, dimensions: int, column: str = "emb
 
 
 def gate(chunks: DataFrame, keys: list[str], ok: Column) -> DataFrame:
-    """Total and stored chunks of each file, and whether the file is complete: all or nothing."""
-    counted = chunks.groupBy(*keys).agg(F.max("total_chunks").cast("long").alias("total"), F.count_if(ok).alias("processed"))
-    return counted.withColumn("complete", F.col("total") == F.col("processed"))
+    """Total and processed chunks of each file, and whether the file is complete: all or nothing.
+
+    Blank chunks, which have no row, count as processed; a row that is not ``ok``, or of which
+    that is unknown, does not.
+    """
+    failed = F.count_if(~F.coalesce(ok, F.lit(False)))
+    counted = chunks.groupBy(*keys).agg(F.max("total_chunks").cast("long").alias("total"), failed.alias("failed"))
+    return counted.select(*keys, "total", (F.col("total") - F.col("failed")).alias("processed"), (F.col("failed") == 0).alias("complete"))
 
 
 def catalogue(files: DataFrame, gates: DataFrame, keys: list[str]) -> DataFrame:

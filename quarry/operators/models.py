@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions.text import trimmed
 from quarry.operators.context import NO_ANSWER, TOOL_PROMPT, fill
 
 Generate = Callable[[list[str]], list[str]]
@@ -35,7 +36,7 @@ def split_errors(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def extractive_answers(asked: DataFrame, hits: DataFrame, query: str = "query_id") -> DataFrame:
     """The default answer: the nearest chunk, or that nothing is known."""
-    top = hits.where("rank = 1").select(query, F.trim("content").alias("__top"))
+    top = hits.where("rank = 1").select(query, trimmed(F.col("content")).alias("__top"))
     joined = asked.join(top.hint("shuffle_hash"), query, "left")
     return joined.withColumn("answer", F.coalesce(F.nullif("__top", F.lit("")), F.lit(NO_ANSWER))).drop("__top")
 

@@ -24,12 +24,12 @@ def descriptors(tools: DataFrame) -> DataFrame:
     return tools.where("enabled").select("tool_id", "bot_id", "name", F.to_json(described).alias("descriptor"))
 
 
-def parsed_requests(raw: DataFrame, column: str = "raw") -> tuple[DataFrame, DataFrame]:
-    """Requests that parse, as (.., tool, params), and those that do not."""
+def parsed_requests(raw: DataFrame, column: str = "raw") -> DataFrame:
+    """Adds tool, params and ``broken``, whether the request does not parse; then the others are null."""
     read = raw.withColumn("request", F.from_json(F.col(column), REQUEST_DDL, {"columnNameOfCorruptRecord": "_corrupt_record"}))
     broken = F.col("request").isNull() | F.col("request._corrupt_record").isNotNull()
-    good = read.where(~broken).select(*raw.columns, F.col("request.tool").alias("tool"), F.col("request.params").alias("params"))
-    return good, read.where(broken).select(*raw.columns)
+    kept = lambda name: F.when(~broken, F.col(f"request.{name}")).alias(name)
+    return read.select(*raw.columns, kept("tool"), kept("params"), broken.alias("broken"))
 
 
 def routed(requests: DataFrame, tools: DataFrame) -> DataFrame:
@@ -44,8 +44,9 @@ def rendered(calls: DataFrame) -> DataFrame:
 
     Parameters are taken in the order of their names. A value is the call's argument or
     else the default; arguments that the tool does not define are ignored. Path values are
-    appended to the endpoint, query values follow ``?`` or ``&``. A required parameter
-    without a value makes an error and no url.
+    appended to the endpoint, less its last slash, query values follow ``?`` or ``&``; a
+    parameter that is ``in`` neither is left out. A required parameter without a value makes
+    an error and no url.
     """
     names = F.array_sort(F.map_keys("parameters"))
     given = F.transform(
@@ -53,7 +54,7 @@ def rendered(calls: DataFrame) -> DataFrame:
         lambda n: F.struct(
             F.coalesce(F.nullif(F.col("parameters")[n]["mapTo"], F.lit("")), n).alias("name"),
             F.coalesce(F.try_element_at("params", n), F.col("parameters")[n]["default"]).alias("value"),
-            F.coalesce(F.col("parameters")[n]["in"], F.lit("query")).alias("place"),
+            F.coalesce(F.col("parameters")[n]["in"], F.lit("")).alias("place"),
             F.coalesce(F.col("parameters")[n]["required"], F.lit(False)).alias("required"),
             n.alias("key"),
         ),
@@ -62,7 +63,7 @@ def rendered(calls: DataFrame) -> DataFrame:
     missing = F.transform(F.filter("__given", lambda g: g["required"] & g["value"].isNull()), lambda g: g["key"])
     path = F.array_join(F.transform(F.filter("__given", lambda g: (g["place"] == "path") & g["value"].isNotNull()), lambda g: F.concat(F.lit("/"), uri_component(g["value"]))), "")
     query = F.array_join(F.transform(F.filter("__given", lambda g: (g["place"] == "query") & g["value"].isNotNull()), lambda g: F.concat(uri_component(g["name"]), F.lit("="), uri_component(g["value"]))), "&")
-    base = F.concat(F.regexp_replace("endpoint", "/$", ""), path)
+    base = F.when(path == "", F.col("endpoint")).otherwise(F.concat(F.regexp_replace("endpoint", "/$", ""), path))
     joint = F.when(query == "", "").when(F.contains(base, F.lit("?")), "&").otherwise("?")
     error = F.when(F.col("endpoint").isNull(), "No such tool").when(F.size(missing) > 0, F.concat(F.lit("Missing required: "), F.array_join(missing, ", ")))
     return rows.withColumn("error", error).withColumn("url", F.when(F.col("error").isNull(), F.concat(base, joint, query))).drop("__given")

@@ -11,7 +11,7 @@ from quarry.operators import ingest
 from quarry.operators.models import expanded, generated, split_errors
 from quarry.operators.context import last_turns
 from quarry.plans.registry import query
-from quarry.plans.scenario import CHUNKS, FILES, KEYS, buckets, chunks, cleaned, files, questions, table
+from quarry.plans.scenario import CHUNKS, FILES, KEYS, SPACE, buckets, chunks, cleaned, files, questions, table, trimmed
 from quarry.sources.landing import SUPPORTED
 from quarry.sources.scratch import scratch_path, stored
 from quarry.sources.store import ChunkStore
@@ -33,13 +33,13 @@ def dedup_against_existing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OK = "(doc_id * 31 + chunk_index) % 97 <> 0"
 
 
-@query(f"WITH {CHUNKS} SELECT doc_id, bot_id, max(total_chunks)::BIGINT AS total, count(*) FILTER ({OK}) AS processed, max(total_chunks) = count(*) FILTER ({OK}) AS complete FROM chunks GROUP BY doc_id, bot_id")
+@query(f"WITH {CHUNKS} SELECT doc_id, bot_id, max(total_chunks)::BIGINT AS total, max(total_chunks)::BIGINT - count(*) FILTER (NOT ({OK})) AS processed, count(*) FILTER (NOT ({OK})) = 0 AS complete FROM chunks GROUP BY doc_id, bot_id")
 def completeness_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every 97th chunk, by a sum of its keys, fails to be stored."""
     return ingest.gate(chunks(spark, sf_dir), ["doc_id", "bot_id"], F.expr(OK))
 
 
-@query(f"WITH {CHUNKS}, whole AS (SELECT doc_id FROM chunks GROUP BY doc_id HAVING max(total_chunks) = count(*) FILTER ({OK})) SELECT doc_id, bot_id, file_name, file_size, file_hash, lower(split_part(file_name, '.', 2)) AS type FROM files WHERE doc_id IN (SELECT doc_id FROM whole)")
+@query(f"WITH {CHUNKS}, whole AS (SELECT doc_id FROM chunks GROUP BY doc_id HAVING count(*) FILTER (NOT ({OK})) = 0) SELECT doc_id, bot_id, file_name, file_size, file_hash, lower(split_part(file_name, '.', 2)) AS type FROM files WHERE doc_id IN (SELECT doc_id FROM whole)")
 def file_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = files(spark, sf_dir).select("doc_id", "bot_id", "file_name", "file_size", "file_hash", extension(F.col("file_name")).alias("type"))
     return ingest.catalogue(own, completeness_gate(spark, sf_dir), ["doc_id"])
@@ -49,8 +49,7 @@ def file_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reject_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles of pages without anything but letters: empty ones are rejected."""
     titles = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace(F.regexp_extract("html", "<title>([^<]*)</title>", 1), "[^A-Za-z]+", " ").alias("text"))
-    good, bad = ingest.split_empty(titles)
-    return good.select("page_id", F.lit(False).alias("empty")).union(bad.select("page_id", F.lit(True)))
+    return ingest.flag_empty(titles).select("page_id", "empty")
 
 
 @query(f"WITH {FILES} SELECT doc_id, file_name, lower(split_part(file_name, '.', 2)) AS extension, lower(split_part(file_name, '.', 2)) IN ('txt', 'pdf', 'docx', 'doc', 'pptx') AS accepted FROM files")
@@ -59,7 +58,7 @@ def route_by_extension(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files(spark, sf_dir).select("doc_id", "file_name", kind.alias("extension"), kind.isin(*SUPPORTED).alias("accepted"))
 
 
-@query("SELECT conv_id, trim(string_agg(text, chr(10) ORDER BY turn)) AS content, count(*) AS pages FROM conversations GROUP BY conv_id")
+@query(f"SELECT conv_id, {trimmed('string_agg(text, chr(10) ORDER BY turn)')} AS content, count(*) AS pages FROM conversations GROUP BY conv_id")
 def concat_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.joined_pages(table(spark, sf_dir, "conversations"), ["conv_id"], "turn")
 
@@ -133,7 +132,7 @@ def query_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"WITH {CHUNKS}, fresh AS (SELECT min(doc_id) AS doc_id FROM files WHERE lower(split_part(file_name, '.', 2)) IN ('txt', 'pdf', 'docx', 'doc', 'pptx') GROUP BY bot_id, file_hash), "
-    f"g AS (SELECT doc_id, max(total_chunks) AS total, count(*) FILTER ({OK}) AS processed FROM chunks WHERE doc_id IN (SELECT doc_id FROM fresh) GROUP BY doc_id) "
+    f"g AS (SELECT doc_id, max(total_chunks) AS total, max(total_chunks) - count(*) FILTER (NOT ({OK})) AS processed FROM chunks WHERE doc_id IN (SELECT doc_id FROM fresh) GROUP BY doc_id) "
     "SELECT bot_id, count(*) AS files, count(*) FILTER (total = processed) AS complete, coalesce(sum(total) FILTER (total = processed), 0)::BIGINT AS stored_chunks FROM g JOIN files USING (doc_id) GROUP BY bot_id"
 )
 def ingest_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,7 +147,7 @@ def ingest_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 FRESH = f"""{CHUNKS}, fresh AS (SELECT min(doc_id) AS doc_id FROM files WHERE lower(split_part(file_name, '.', 2)) IN ('txt', 'pdf', 'docx', 'doc', 'pptx') GROUP BY bot_id, file_hash),
-whole AS (SELECT doc_id FROM chunks WHERE doc_id IN (SELECT doc_id FROM fresh) GROUP BY doc_id HAVING max(total_chunks) = count(*) FILTER ({OK})),
+whole AS (SELECT doc_id FROM chunks WHERE doc_id IN (SELECT doc_id FROM fresh) GROUP BY doc_id HAVING count(*) FILTER (NOT ({OK})) = 0),
 kept AS (SELECT * FROM chunks WHERE doc_id IN (SELECT doc_id FROM whole))"""
 
 
@@ -188,8 +187,7 @@ def forget_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.join(store.catalogue().select("bot_id", "file_name").hint("merge"), ["bot_id", "file_name"], "left_semi")
 
 
-@query("SELECT doc_id, length(trim(regexp_replace(text, '\\s', '', 'g'))) = 0 AS empty FROM documents")
+@query(f"SELECT doc_id, NOT regexp_matches(text, '[^{SPACE[1:-2]}]') AS empty FROM documents")
 def reject_empty_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files without any text are rejected."""
-    good, bad = ingest.split_empty(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return good.select("doc_id", F.lit(False).alias("empty")).union(bad.select("doc_id", F.lit(True)))
+    return ingest.flag_empty(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "empty")

@@ -37,11 +37,14 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixed_chunk_rows(files(spark, sf_dir), KEYS)
 
 
+SPACE = r"[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+"
 CHUNKS = FILES + """,
 places AS (SELECT *, unnest(range(0, ((greatest(length(text) - 20, 1) - 1) // 380) + 1))::INT AS chunk_index, (((greatest(length(text) - 20, 1) - 1) // 380) + 1)::INT AS total_chunks FROM files),
-chunks AS (SELECT doc_id, bot_id, file_name, file_hash, total_chunks, chunk_index, substr(text, chunk_index * 380 + 1, 400) AS content FROM places WHERE trim(substr(text, chunk_index * 380 + 1, 400)) <> '')"""
+chunks AS (SELECT doc_id, bot_id, file_name, file_hash, total_chunks, chunk_index, substr(text, chunk_index * 380 + 1, 400) AS content FROM places WHERE regexp_matches(substr(text, chunk_index * 380 + 1, 400), '""" + f"[^{SPACE[1:-2]}]'))"
 
-SPACE = r"[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+"
+
+def trimmed(column: str) -> str:
+    return f"regexp_replace({column}, '\\A{SPACE}|{SPACE}\\z', '', 'g')"
 
 
 def cleaned(column: str) -> str:

@@ -10,7 +10,7 @@ from quarry.operators import analysis, context, search
 from quarry.operators.models import answered, extractive_answers
 from quarry.operators.tools import detected
 from quarry.plans.registry import query
-from quarry.plans.scenario import BOT_OF, HITS, cleaned, files, hits, questions, table
+from quarry.plans.scenario import BOT_OF, HITS, cleaned, files, hits, questions, table, trimmed
 from quarry.plans.tool_queries import TOOLS_SQL, tools
 
 ASKED = "asked AS (SELECT vec_id AS query_id, embedding AS asked FROM embeddings WHERE vec_id % 50 = 0)"
@@ -130,7 +130,7 @@ def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.citations(hits(spark, sf_dir))
 
 
-@query(f"WITH {HITS} SELECT item_id AS query_id, coalesce(nullif(trim(content), ''), 'I don''t know.') AS answer FROM benchmark LEFT JOIN hits ON query_id = item_id AND rank = 1")
+@query(f"WITH {HITS} SELECT item_id AS query_id, coalesce(nullif({trimmed('content')}, ''), 'I don''t know.') AS answer FROM benchmark LEFT JOIN hits ON query_id = item_id AND rank = 1")
 def answer_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extractive_answers(questions(spark, sf_dir), hits(spark, sf_dir)).select("query_id", "answer")
 
@@ -140,7 +140,7 @@ def answer_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 k AS (SELECT DISTINCT tool_id, bot_id, name, unnest(regexp_split_to_array(lower(name || ' ' || description), '[^a-z0-9]+')) AS word FROM tools WHERE enabled),
 s AS (SELECT item_id, tool_id, name, count(*) AS overlap FROM w JOIN k ON w.bot_id = k.bot_id AND w.word = k.word WHERE w.word <> '' GROUP BY ALL HAVING count(*) >= 4),
 t AS (SELECT item_id, arg_min(name, tool_id - overlap * 1000000000) AS tool FROM s GROUP BY item_id)
-SELECT item_id AS query_id, coalesce('Called ' || tool, nullif(trim(content), ''), 'I don''t know.') AS answer,
+SELECT item_id AS query_id, coalesce('Called ' || tool, nullif({trimmed('content')}, ''), 'I don''t know.') AS answer,
 CASE WHEN tool IS NOT NULL THEN 'tool' WHEN content IS NOT NULL THEN 'context' ELSE 'none' END AS answered_by, (tool IS NOT NULL OR content IS NOT NULL) AS success
 FROM benchmark LEFT JOIN hits ON query_id = item_id AND rank = 1 LEFT JOIN t USING (item_id)"""
 )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators.models import extractive_answers
 from quarry.plans.registry import query
-from quarry.plans.scenario import FILES, HITS, files, hits, questions, table
+from quarry.plans.scenario import FILES, HITS, files, hits, questions, table, trimmed
 from quarry.sources.scratch import scratch_path
 from quarry.streaming import streams
 
@@ -75,7 +75,7 @@ def stream_until_done(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(kept.schema).parquet(out).select(F.col("request").cast("long").alias("conv_id"), F.col("seq").alias("turn"), "response")
 
 
-@query(f"WITH {HITS} SELECT item_id AS query_id, coalesce(nullif(trim(content), ''), 'I don''t know.') AS answer FROM benchmark LEFT JOIN hits ON query_id = item_id AND rank = 1")
+@query(f"WITH {HITS} SELECT item_id AS query_id, coalesce(nullif({trimmed('content')}, ''), 'I don''t know.') AS answer FROM benchmark LEFT JOIN hits ON query_id = item_id AND rank = 1")
 def stream_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From retrieval to a token stream: each answer is sent in pieces as JSON lines, read as a stream and put together."""
     source, out, state = (scratch_path(spark, f"answer-{x}") for x in ("in", "out", "state"))

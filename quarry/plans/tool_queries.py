@@ -18,7 +18,8 @@ def tools(spark: SparkSession, sf_dir: str) -> DataFrame:
     field = lambda kind, text, required, place, default: F.struct(F.lit(kind).alias("type"), text.alias("description"), required.alias("required"), F.lit(place).alias("in"), F.lit(None).cast("string").alias("mapTo"), default.alias("default"))
     parameters = F.create_map(
         F.lit("size"), field("number", F.col("p_brand"), F.col("p_size") > 25, "query", F.when(F.col("p_size") < 10, F.col("p_size").cast("string"))),
-        F.lit("kind"), field("string", F.col("p_type"), F.lit(False), "path", F.concat("p_type", F.lit(" & co"))),
+        F.lit("kind"), field("string", F.col("p_type"), F.lit(False), "path", F.when(F.col("p_size") % 5 != 0, F.concat("p_type", F.lit(" & co")))),
+        F.lit("note"), field("string", F.col("p_brand"), F.lit(False), None, F.lit("nowhere")),
     )
     return part.select(
         F.col("p_partkey").alias("tool_id"), F.concat(F.lit("src"), (F.col("p_partkey") % BOTS).cast("string")).alias("bot_id"), F.replace("p_name", F.lit(" "), F.lit("_")).alias("name"),
@@ -46,7 +47,7 @@ FIRST = "firsts AS (SELECT bot_id, name AS tool, min(tool_id) AS tool_id FROM to
 
 
 @query(
-    f"""WITH {TOOLS_SQL} SELECT tool_id, bot_id, name, '{{"id":' || tool_id || ',"name":"' || name || '","description":"' || description || '","parameters":{{"type":"object","properties":[{{"name":"kind","type":"string","description":"' || p_type || '"}},{{"name":"size","type":"number","description":"' || p_brand || '"}}],"required":[' || (CASE WHEN needs THEN '"size"' ELSE '' END) || ']}}}}' AS descriptor FROM tools WHERE enabled"""
+    f"""WITH {TOOLS_SQL} SELECT tool_id, bot_id, name, '{{"id":' || tool_id || ',"name":"' || name || '","description":"' || description || '","parameters":{{"type":"object","properties":[{{"name":"kind","type":"string","description":"' || p_type || '"}},{{"name":"note","type":"string","description":"' || p_brand || '"}},{{"name":"size","type":"number","description":"' || p_brand || '"}}],"required":[' || (CASE WHEN needs THEN '"size"' ELSE '' END) || ']}}}}' AS descriptor FROM tools WHERE enabled"""
 )
 def tool_descriptor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.descriptors(tools(spark, sf_dir))
@@ -54,23 +55,22 @@ def tool_descriptor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {REQUESTS} SELECT query_id, CASE WHEN event_type <> 'error' THEN tool END AS tool, CASE WHEN event_type IN ('view', 'error') THEN NULL ELSE k::VARCHAR END AS size, event_type = 'error' AS broken FROM calls")
 def tool_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    good, bad = t.parsed_requests(requests(spark, sf_dir))
-    return good.select("query_id", "tool", F.try_element_at("params", F.lit("size")).alias("size"), F.lit(False).alias("broken")).union(bad.select("query_id", F.lit(None), F.lit(None), F.lit(True)))
+    return t.parsed_requests(requests(spark, sf_dir)).select("query_id", "tool", F.try_element_at("params", F.lit("size")).alias("size"), "broken")
 
 
 @query(f"WITH {TOOLS_SQL}, {REQUESTS}, {FIRST} SELECT query_id, calls.bot_id, tool, tool_id FROM calls LEFT JOIN firsts USING (bot_id, tool) WHERE event_type <> 'error'")
 def tool_route_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    good, _ = t.parsed_requests(requests(spark, sf_dir))
+    good = t.parsed_requests(requests(spark, sf_dir)).where("NOT broken")
     return t.routed(good, tools(spark, sf_dir)).select("query_id", "bot_id", "tool", "tool_id")
 
 
 @query(
     f"""WITH {TOOLS_SQL}, {REQUESTS}, {FIRST}, r AS (SELECT query_id, tools.*, CASE WHEN event_type <> 'view' THEN k::VARCHAR ELSE fallback END AS size FROM calls LEFT JOIN firsts ON firsts.bot_id = calls.bot_id AND firsts.tool = calls.tool LEFT JOIN tools ON tools.tool_id = firsts.tool_id WHERE event_type <> 'error'),
-b AS (SELECT *, CASE WHEN tool_id IS NULL THEN 'No such tool' WHEN needs AND size IS NULL THEN 'Missing required: size' END AS error, regexp_replace(endpoint, '/$', '') || '/' || replace(replace(p_type, ' ', '%20'), '&', '%26') || '%20%26%20co' AS base FROM r)
+b AS (SELECT *, CASE WHEN tool_id IS NULL THEN 'No such tool' WHEN needs AND size IS NULL THEN 'Missing required: size' END AS error, CASE WHEN p_size % 5 <> 0 THEN regexp_replace(endpoint, '/$', '') || '/' || replace(replace(p_type, ' ', '%20'), '&', '%26') || '%20%26%20co' ELSE endpoint END AS base FROM r)
 SELECT query_id, tool_id, error, CASE WHEN error IS NULL THEN base || (CASE WHEN size IS NULL THEN '' WHEN contains(base, '?') THEN '&' ELSE '?' END) || coalesce('size=' || size, '') END AS url FROM b"""
 )
 def tool_request_render(spark: SparkSession, sf_dir: str) -> DataFrame:
-    good, _ = t.parsed_requests(requests(spark, sf_dir))
+    good = t.parsed_requests(requests(spark, sf_dir)).where("NOT broken")
     return t.rendered(t.routed(good, tools(spark, sf_dir))).select("query_id", "tool_id", "error", "url")
 
 

@@ -38,8 +38,16 @@ def test_ingest(spark):
     assert rows(ingest.fixed_chunk_rows(blank, ["doc_id"]), "doc_id", "chunk_index", "total_chunks") == [(1, 0, 3), (1, 2, 3)]
     gates = ingest.gate(chunks, ["doc_id"], F.col("chunk_index") >= 0)
     assert rows(gates, "doc_id", "complete")[0][0] == 1
-    good, bad = ingest.split_empty(texts)
-    assert rows(good, "doc_id") == [(1,)] and rows(bad, "doc_id") == [(2,), (3,)]
+    assert rows(ingest.flag_empty(texts), "doc_id", "empty") == [(1, False), (2, True), (3, True)]
+    # a blank chunk has no row and counts as processed; one that failed, or whose fate is unknown, does not
+    gates = ingest.gate(ingest.fixed_chunk_rows(blank, ["doc_id"]), ["doc_id"], F.lit(True))
+    assert rows(gates, "total", "processed", "complete") == [(3, 3, True)]
+    gates = ingest.gate(ingest.fixed_chunk_rows(blank, ["doc_id"]), ["doc_id"], F.when(F.col("chunk_index") == 0, True))
+    assert rows(gates, "total", "processed", "complete") == [(3, 2, False)]
+    lines = spark.createDataFrame([(1, "\n\u00a0" * 150 + "x" * 200 + "\n" * 600 + "y")], "doc_id long, text string")
+    assert rows(ingest.fixed_chunk_rows(lines, ["doc_id"]), "chunk_index", "total_chunks") == [(0, 3), (1, 3), (2, 3)]
+    pages = spark.createDataFrame([(1, 1, "\n"), (1, 2, "x"), (1, 3, "\u3000\t")], "doc_id long, page int, text string")
+    assert rows(ingest.joined_pages(pages, ["doc_id"], "page"), "content", "pages") == [("x", 3)]
     vectors = spark.createDataFrame([(1, [1.0, 2.0]), (2, None), (3, [1.0]), (4, [1.0, None])], "id long, embedding array<double>")
     assert rows(ingest.dimension_violations(vectors, 2), "id") == [(2,), (3,), (4,)]
 
@@ -188,8 +196,11 @@ def test_tools(spark):
     data = [(1, "b", "weather", "current weather by city", {"city": field(True, "path"), "unit": field(default="c d", name="u")}, True, "https://x.org/w/"), (2, "b", "weather", "other", {}, True, "https://y.org?k=1"), (0, "b", "weather", "off", {}, False, "https://off.org"), (3, "b", "all", "d", {"q": field(True)}, True, "https://y.org?k=1")]
     known = spark.createDataFrame(data, f"tool_id int, bot_id string, name string, description string, parameters {tools.PARAMETERS}, enabled boolean, endpoint string")
     raw = spark.createDataFrame([(1, "b", '{"tool": "weather", "params": {"city": "São Paulo", "more": "x"}}'), (2, "b", '{"tool": "weather", "params": {}}'), (3, "b", '{"tool": "all", "params": {"q": "a&b"}}'), (4, "b", '{"tool": "none"}'), (5, "b", "{broken")], "query_id int, bot_id string, raw string")
-    good, bad = tools.parsed_requests(raw)
-    assert rows(bad, "query_id") == [(5,)]
+    parsed = tools.parsed_requests(raw)
+    good = parsed.where("NOT broken")
+    assert rows(parsed.where("broken"), "query_id", "tool", "params") == [(5, None, None)]
+    only_query = spark.createDataFrame([(1, "https://a.b/c/", {"q": field()}, {"q": "1"}), (2, "https://a.b/c/", {"q": field(place=None, default="1")}, {})], f"k int, endpoint string, parameters {tools.PARAMETERS}, params map<string,string>")
+    assert rows(tools.rendered(only_query), "k", "url") == [(1, "https://a.b/c/?q=1"), (2, "https://a.b/c/")]
     out = rows(tools.rendered(tools.routed(good, known)), "query_id", "tool_id", "url", "error")
     assert out == [(1, 1, "https://x.org/w/S%C3%A3o%20Paulo?u=c%20d", None), (2, 1, None, "Missing required: city"), (3, 3, "https://y.org?k=1&q=a%26b", None), (4, None, None, "No such tool")]
     assert tools.descriptors(known).count() == 3
