@@ -1,17 +1,18 @@
 """Batch vector search: many questions against all vectors, exact and approximate.
 
-Questions are sent to the data in blocks of bounded size, one block after the other: each
-task multiplies batches of vectors with the block's matrix and keeps its k best for each
-question, so that vectors are never shuffled and no more than k rows a task and question
-are. What a task finds for a block is written to the shared folder before the next block
-is sent. Questions may be tied to groups (a bot's own vectors, cells of an index): then
-distances are computed inside groups only.
+A block of questions, which is bounded, is sent to the data: each task multiplies batches of
+vectors with the block's matrix and keeps its k best for each question, so that vectors are
+never shuffled and no more than k rows a task and question are. More questions than fill a
+block are dealt out with the vectors, block by tile. Questions may be tied to groups (a bot's
+own vectors, cells of an index): then distances are computed inside groups only.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -21,10 +22,9 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import IntegerType, StructField, StructType
 
 from quarry.functions.vectors import cosine_distance, l2_distance
-from quarry.sources.scratch import scratch_path
+from quarry.sources.scratch import stored
 
 #: Questions in one block: a block of 2,048 of 768 dimensions is 12 MB.
 BLOCK = 2048
@@ -32,6 +32,8 @@ TOP = 10
 ROUNDED = 9
 #: Vectors that are multiplied with a block at a time: 16 MB of distances.
 ROWS = 1024
+#: Vectors of a tile: 100 MB of 768 dimensions.
+TILE = 16_384
 
 #: The groups of vectors: (rows, dimensions) -> (rows, memberships) integers.
 Groups = Callable[[np.ndarray], np.ndarray]
@@ -57,48 +59,84 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int = TOP, query: str = "quer
 
 def searched(queries: DataFrame, vectors: DataFrame, k: int, query: str, ident: str, column: str, metric: str = "cosine", by: str | None = None, groups: Groups | None = None, asked_groups: Groups | None = None) -> DataFrame:
     """Search inside the groups of column ``by``, or of the functions ``groups`` (of vectors) and
-    ``asked_groups`` (of questions); inside one group of all where there is neither."""
-    spark = vectors.sparkSession
+    ``asked_groups`` (of questions); inside one group of all where there is neither.
+
+    Questions and, where they fill more than one block, vectors are written first, so that
+    whatever makes them runs once. Rows without a vector are left out where they are searched:
+    a filter would be pushed below a function that makes vectors, and repeat it.
+    """
     group = F.col(by) if by else F.lit(0)
-    base = vectors.where(F.col(column).isNotNull()).select(F.col(ident).alias("id"), group.alias("g"), F.col(column).cast("array<double>").alias("v"))
-    asked = queries.where(F.col(column).isNotNull()).select(F.col(query).alias("q"), group.alias("g"), F.col(column).cast("array<double>").alias("v"))
-    path = scratch_path(spark, "questions")
-    blocks = max(1, -(-asked.count() // BLOCK))
-    asked.withColumn("block", F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int")).write.partitionBy("block").parquet(path)
-    written = spark.read.schema(StructType([*asked.schema.fields, StructField("block", IntegerType())])).parquet(path)
+    base = vectors.select(F.col(ident).alias("id"), group.alias("g"), F.col(column).cast("array<double>").alias("v"))
+    asked = stored(queries.select(F.col(query).alias("q"), group.alias("g"), F.col(column).cast("array<double>").alias("v")), "questions").where("v IS NOT NULL")
     types = {f.name: f.dataType for f in [*asked.select("q").schema, *base.select("id").schema]}
-    schema = pa.schema([("q", to_arrow_type(types["q"])), ("id", to_arrow_type(types["id"])), ("distance", pa.float64())])
+    search = Search(k, metric, pa.schema([("q", to_arrow_type(types["q"])), ("id", to_arrow_type(types["id"])), ("distance", pa.float64())]), groups, asked_groups)
     ddl = f"q {types['q'].simpleString()}, id {types['id'].simpleString()}, distance double"
-    found = None
-    for b in range(blocks):
-        part = written.where(F.col("block") == b).select("q", "g", "v").toPandas()  # a block at a time
-        one = block_search(base, part, k, metric, schema, ddl, groups, asked_groups)
-        if blocks > 1:
-            out = scratch_path(spark, "found")
-            one.write.parquet(out)
-            one = spark.read.schema(one.schema).parquet(out)
-        found = one if found is None else found.union(one)
+    n = asked.count()
+    found = beside(asked, base, search, ddl) if n <= BLOCK else in_tiles(asked, stored(base, "vectors"), search, ddl, -(-n // BLOCK))
     return ranked(found.withColumnsRenamed({"q": query, "id": ident}), k, query, ident)
 
 
-def block_search(base: DataFrame, part: pd.DataFrame, k: int, metric: str, schema: pa.Schema, ddl: str, groups: Groups | None, asked_groups: Groups | None) -> DataFrame:
-    names = part["q"].to_numpy()
-    matrix = np.array(part["v"].tolist(), np.float64).reshape(len(part), -1 if len(part) else 0)
-    own = asked_groups(matrix) if asked_groups and len(part) else part["g"].to_numpy()[:, None]
-    members: dict[object, list[int]] = {}
-    for j, codes in enumerate(own.tolist()):
-        for code in codes:
-            members.setdefault(code, []).append(j)
-    block = base.sparkSession.sparkContext.broadcast((names, matrix, np.sqrt((matrix * matrix).sum(axis=1)), {c: np.array(m) for c, m in members.items()}))
+def beside(asked: DataFrame, base: DataFrame, search: Search, ddl: str) -> DataFrame:
+    """One block of questions is sent to the vectors, which stay where they are."""
+    block = base.sparkSession.sparkContext.broadcast(search.asked(asked.toArrow()))
+    return base.mapInArrow(lambda batches: search.found(block.value, batches), ddl)
+
+
+def in_tiles(asked: DataFrame, base: DataFrame, search: Search, ddl: str, blocks: int) -> DataFrame:
+    """Blocks of questions and tiles of vectors are dealt out by shuffle, each block to each tile; no
+    question passes the driver, and a task holds one block and one tile."""
+    tiles = max(1, -(-base.count() // TILE))
+    number = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.select("q", "g", "v", F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int").alias("block"), number(tiles).alias("tile"))
+    right = base.select("id", "g", "v", F.pmod(F.xxhash64("id"), F.lit(tiles)).cast("int").alias("tile"), number(blocks).alias("block"))
+
+    def unit(questions: pa.Table, vectors: pa.Table) -> pa.Table:
+        return pa.Table.from_batches(search.found(search.asked(questions), vectors.to_batches()), schema=search.schema)
+
+    return left.groupBy("block", "tile").cogroup(right.groupBy("block", "tile")).applyInArrow(unit, ddl)
+
+
+def matrix_of(lists: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1) if len(lists) else np.zeros((0, 0))
 
-    def distances(rows: np.ndarray, matrix: np.ndarray, length: np.ndarray) -> np.ndarray:
+
+class Block(NamedTuple):
+    """Questions of one block: names, vectors, lengths, and the places of each group's questions."""
+
+    names: np.ndarray
+    matrix: np.ndarray
+    length: np.ndarray
+    members: dict[object, np.ndarray]
+
+
+@dataclass(frozen=True)
+class Search:
+    """The k nearest vectors of each question of a block, in batches of vectors."""
+
+    k: int
+    metric: str
+    schema: pa.Schema
+    groups: Groups | None
+    asked_groups: Groups | None
+
+    def asked(self, table: pa.Table) -> Block:
+        matrix = matrix_of(table.column("v"))
+        own = self.asked_groups(matrix).tolist() if self.asked_groups and len(matrix) else [[g] for g in table.column("g").to_pylist()]
+        members: dict[object, list[int]] = {}
+        for j, codes in enumerate(own):
+            for code in codes:
+                members.setdefault(code, []).append(j)
+        return Block(np.array(table.column("q").to_pylist(), object), matrix, np.sqrt((matrix * matrix).sum(axis=1)), {c: np.array(m) for c, m in members.items()})
+
+    def distances(self, rows: np.ndarray, matrix: np.ndarray, length: np.ndarray) -> np.ndarray:
         own = np.sqrt((rows * rows).sum(axis=1))
-        if metric == "cosine":
+        if self.metric == "cosine":
             with np.errstate(invalid="ignore", divide="ignore"):
                 return 1 - rows @ matrix.T / (own[:, None] * length[None, :])
         return np.sqrt(np.maximum((own**2)[:, None] + (length**2)[None, :] - 2 * rows @ matrix.T, 0))
 
-    def cut(q: np.ndarray, ids: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def cut(self, q: np.ndarray, ids: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The k best of each question, each vector once."""
         rough = np.nan_to_num(np.round(d, ROUNDED), nan=np.inf)
         code = pd.factorize(ids, sort=True)[0]
@@ -108,40 +146,38 @@ def block_search(base: DataFrame, part: pd.DataFrame, k: int, metric: str, schem
         q, ids, d = q[once], ids[once], d[once]
         start = np.r_[True, q[1:] != q[:-1]][: len(q)]
         turn = np.arange(len(q)) - np.maximum.accumulate(np.where(start, np.arange(len(q)), 0))
-        return q[turn < k], ids[turn < k], d[turn < k]
+        return q[turn < self.k], ids[turn < self.k], d[turn < self.k]
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, matrix, length, members = block.value
+    def found(self, block: Block, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, matrix, length, members = block
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         size = 0
         for batch in batches:
+            batch = batch.filter(batch.column("v").is_valid())
             for at in range(0, len(batch) if len(names) else 0, ROWS):
                 some = batch.slice(at, ROWS)
-                rows = some.column("v").flatten().to_numpy(zero_copy_only=False).reshape(len(some), -1)
-                ids = some.column("id").to_numpy(zero_copy_only=False)
-                codes = groups(rows) if groups else some.column("g").to_numpy(zero_copy_only=False)[:, None]
+                rows, ids = matrix_of(some.column("v")), some.column("id").to_numpy(zero_copy_only=False)
+                codes = self.groups(rows) if self.groups else some.column("g").to_numpy(zero_copy_only=False)[:, None]
                 for t in range(codes.shape[1]):
                     for code in pd.unique(codes[:, t]):
                         asked = members.get(code.item() if hasattr(code, "item") else code)
                         if asked is None:
                             continue
                         of = np.nonzero(codes[:, t] == code)[0]
-                        d = distances(rows[of], matrix[asked], length[asked])
+                        d = self.distances(rows[of], matrix[asked], length[asked])
                         rough = np.nan_to_num(np.round(d, ROUNDED), nan=np.inf)
-                        near = np.ones(d.shape, bool) if len(of) <= k else rough <= np.partition(rough, k - 1, axis=0)[k - 1]
+                        near = np.ones(d.shape, bool) if len(of) <= self.k else rough <= np.partition(rough, self.k - 1, axis=0)[self.k - 1]
                         j, i = np.nonzero(near.T)
                         held.append((asked[j], ids[of[i]], d[i, j]))
                         size += len(j)
-                if size > 8 * k * len(names) + 100_000:
-                    held = [cut(*(np.concatenate(x) for x in zip(*held)))]
+                if size > 8 * self.k * len(names) + 100_000:
+                    held = [self.cut(*(np.concatenate(x) for x in zip(*held)))]
                     size = len(held[0][0])
         if held:
-            q, ids, d = cut(*(np.concatenate(x) for x in zip(*held)))
+            q, ids, d = self.cut(*(np.concatenate(x) for x in zip(*held)))
             for at in range(0, len(q), 50_000):
                 take = slice(at, at + 50_000)
-                yield pa.RecordBatch.from_arrays([pa.array(names[q[take]], schema.field(0).type), pa.array(ids[take], schema.field(1).type), pa.array(d[take])], schema=schema)
-
-    return base.mapInArrow(search, ddl)
+                yield pa.RecordBatch.from_arrays([pa.array(names[q[take]].tolist(), self.schema.field(0).type), pa.array(ids[take], self.schema.field(1).type), pa.array(d[take])], schema=self.schema)
 
 
 def knn_expressions(queries: DataFrame, vectors: DataFrame, k: int = TOP, query: str = "query_id", ident: str = "vec_id", column: str = "embedding") -> DataFrame:

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.functions.text import fixed_chunk_at
+from quarry.functions.vectors import DIMENSIONS
 from quarry.operators.ingest import embedded, fixed_chunk_rows
 from quarry.operators.search import knn
-from quarry.sources.scratch import stored
+from quarry.sources.scratch import scratch_path, stored
+from quarry.sources.store import ChunkStore
 
 FORMATS = (".pdf", ".docx", ".DOC", ".pptx", ".TXT", ".csv")
 
@@ -78,25 +79,43 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedded(own)
 
 
+#: Snapshots of stores that this application has filled: files are taken in once, questions are asked often.
+_filled: dict[tuple[str, str], DataFrame] = {}
+
+
+def searchable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of all files as the store holds them, with ``cid``, ``doc_id`` and ``chunk_index``."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _filled:
+        store = ChunkStore(spark, scratch_path(spark, "store"), DIMENSIONS).create()
+        rows = stored(vectors(spark, sf_dir), "embedded-chunks")
+        store.append_chunks(rows, "2024-01-01T00:00:00.000Z", F.col("doc_id"))
+        _filled[key] = store.snapshot()
+    m = F.col("metadata")
+    doc = F.regexp_extract(m["fileName"], "^doc([0-9]+)", 1).cast("long")
+    place = m["chunkIndex"].alias("chunk_index")
+    return _filled[key].select((doc * CHUNKS_A_FILE + m["chunkIndex"]).alias("cid"), doc.alias("doc_id"), "bot_id", m["fileName"].alias("file_name"), m["fileHash"].alias("file_hash"), place, "content", "embedding")
+
+
 def hits(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
-    """The k nearest of its bot's chunks for every question, with their texts joined back after ranking.
+    """The k nearest of its bot's stored chunks for every question, with their texts joined back after ranking.
 
-    What was found is written first, so that it is sent to the files only where it is small;
-    a chunk's text is cut out of its file by its place.
+    What was found is written first, so that it is sent to the chunks only where it is small.
     """
     asked = embedded(questions(spark, sf_dir), "question")
-    found = knn(asked, vectors(spark, sf_dir).select("cid", "bot_id", "embedding"), k, "query_id", "cid", by="bot_id")
-    own = found.withColumn("doc_id", F.floor(F.col("cid") / CHUNKS_A_FILE)).withColumn("chunk_index", (F.col("cid") % CHUNKS_A_FILE).cast("int"))
-    both = files(spark, sf_dir).join(stored(own, "hits"), "doc_id")
-    return both.withColumn("content", fixed_chunk_at(F.col("text"), F.col("chunk_index"))).drop("text")
+    chunks = searchable(spark, sf_dir)
+    found = knn(asked, chunks.select("cid", "bot_id", "embedding"), k, "query_id", "cid", by="bot_id")
+    return chunks.drop("embedding").join(stored(found, "hits"), "cid")
 
 
 HITS = CHUNKS + f""",
 numbered AS (SELECT *, doc_id * {CHUNKS_A_FILE} + chunk_index AS cid FROM chunks),
 {buckets("c", "numbered", "cid", "content")},
 {buckets("q", "benchmark", "item_id", "text")},
-dots AS (SELECT item_id AS query_id, cid, sum(q_t.n * c_t.n) AS d FROM q_t JOIN (SELECT c_t.*, bot_id FROM c_t JOIN numbered USING (cid)) c_t ON c_t.bucket = q_t.bucket AND c_t.bot_id = {BOT_OF} GROUP BY ALL),
-near AS (SELECT query_id, cid, 1 - d / (q_n.length * c_n.length) AS distance FROM dots JOIN q_n ON q_n.item_id = query_id JOIN c_n USING (cid)),
+c_v AS (SELECT cid, bot_id, bucket, (n / length)::FLOAT::DOUBLE AS v FROM c_t JOIN c_n USING (cid) JOIN numbered USING (cid)),
+c_l AS (SELECT cid, sqrt(sum(v * v)) AS length FROM c_v GROUP BY cid),
+dots AS (SELECT item_id AS query_id, cid, sum(q_t.n * v) AS d FROM q_t JOIN c_v ON c_v.bucket = q_t.bucket AND c_v.bot_id = {BOT_OF} GROUP BY ALL),
+near AS (SELECT query_id, cid, 1 - d / (q_n.length * c_l.length) AS distance FROM dots JOIN q_n ON q_n.item_id = query_id JOIN c_l USING (cid)),
 hits AS (SELECT query_id, numbered.*, distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), cid) AS rank FROM near) JOIN numbered USING (cid) WHERE rank <= 10)"""
 
 

@@ -7,9 +7,10 @@ when read. A reader that names its bot reads that bot's folders only.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -19,8 +20,6 @@ seq bigint, bot_id string"""
 CATALOGUE = "file_name string, file_size bigint, file_hash string, type string, source string, chunks bigint, seq bigint, bot_id string"
 #: A tombstone without a file name hides everything of its bot.
 TOMBSTONES = "bot_id string, file_name string, seq bigint"
-#: Files of one bot are dealt out over so many tasks when they are written.
-SPREAD = 16
 
 
 @dataclass(frozen=True)
@@ -60,7 +59,7 @@ class ChunkStore:
             F.xxhash64("bot_id", "file_name", "file_hash", "chunk_index").alias("chunk_id"), v.cast("array<float>").alias("embedding"), F.nullif("content", F.lit("")).alias("content"),
             metadata.alias("metadata"), seq.cast("long").alias("seq"), "bot_id",
         )
-        self._write(out.repartition("bot_id", F.pmod("chunk_id", F.lit(SPREAD))), "chunks")
+        self._write(out.hint("rebalance", F.col("bot_id")), "chunks")  # a bot's files, in as many tasks as its bytes need
         return rows.where(~fits)
 
     def append_files(self, files: DataFrame) -> None:
@@ -79,17 +78,25 @@ class ChunkStore:
         gone = self._read("tombstones", TOMBSTONES)
         by_file = gone.where("file_name IS NOT NULL").groupBy(F.col("bot_id").alias("__bot"), F.col("file_name").alias("__file")).agg(F.max("seq").alias("__file_seq"))
         by_bot = gone.where("file_name IS NULL").groupBy(F.col("bot_id").alias("__owner")).agg(F.max("seq").alias("__bot_seq"))
-        out = rows.join(by_file.hint("merge"), (F.col("bot_id") == F.col("__bot")) & (name == F.col("__file")), "left").join(by_bot.hint("merge"), F.col("bot_id") == F.col("__owner"), "left")
+        # tombstones are read from files, whose size Spark knows: small ones are sent, others shuffled
+        out = rows.join(by_file, (F.col("bot_id") == F.col("__bot")) & (name == F.col("__file")), "left").join(by_bot, F.col("bot_id") == F.col("__owner"), "left")
         return out.where("seq > coalesce(greatest(__file_seq, __bot_seq), seq - 1)").select(*rows.columns)
 
     def chunks(self, bot: str | None = None) -> DataFrame:
-        """Chunks that no later tombstone hides, each once, of one bot or of all."""
+        """Chunks that no later tombstone hides, each once, of one bot or of all: one shuffle by chunk."""
         rows = self._read("chunks", CHUNKS)
         rows = rows if bot is None else rows.where(F.col("bot_id") == bot)
-        newest = rows.groupBy("chunk_id").agg(F.max("seq").alias("seq"))
-        once = rows.join(newest.hint("merge"), ["chunk_id", "seq"], "left_semi").dropDuplicates(["chunk_id"])
+        newest = Window.partitionBy("chunk_id").orderBy(F.desc("seq"))
+        once = rows.withColumn("__turn", F.row_number().over(newest)).where("__turn = 1").drop("__turn")
         return self._alive(once, F.col("metadata.fileName"))
 
+    def snapshot(self) -> DataFrame:
+        """What the store holds now, written out by bot: searches read it without a shuffle, and with a
+        filter on the bot its folders only."""
+        path = f"{self.folder}/snapshot-{uuid.uuid4().hex}"
+        self.chunks().hint("rebalance", F.col("bot_id")).write.partitionBy("bot_id").parquet(path)
+        return self.spark.read.schema(StructType.fromDDL(CHUNKS)).parquet(path)
+
     def catalogue(self, bot: str | None = None) -> DataFrame:
         rows = self._read("catalogue", CATALOGUE)
         rows = rows if bot is None else rows.where(F.col("bot_id") == bot)

@@ -241,3 +241,37 @@ def test_models(spark):
         raise RuntimeError("down")
 
     assert rows(models.generated(asked, failing), "error") == [("down",), ("down",)]
+
+
+@pytest.mark.parametrize("block", [2048, 30, 3])
+def test_each_chunk_is_embedded_once(spark, monkeypatch, tmp_path, block):
+    monkeypatch.setattr(search, "BLOCK", block)
+    monkeypatch.setattr(search, "TILE", 70)
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def embed(texts):
+        import uuid
+
+        (calls / f"{uuid.uuid4().hex}-{len(texts)}").touch()
+        return [[float(len(t)), 1.0] for t in texts]
+
+    chunks = spark.range(300).selectExpr("id AS vec_id", "CASE WHEN id % 50 = 7 THEN '##' ELSE repeat('x', cast(id % 17 + 1 as int)) END AS content")
+    asked = spark.range(30).selectExpr("id AS query_id", "array(cast(id as double), 2d) AS embedding")
+    found = search.knn(asked, ingest.embedded(chunks, embed=embed), 4)
+    got = rows(found, "query_id", "vec_id", "rank")
+    assert sum(int(p.name.split("-")[1]) for p in calls.iterdir()) == 294  # six texts are empty once cleaned
+    plain = spark.createDataFrame([(k, [float(k % 17 + 1), 1.0]) for k in range(300) if k % 50 != 7], "vec_id long, embedding array<double>")
+    assert got == rows(search.knn_expressions(asked.limit(30), plain, 4) if block == 2048 else search.knn(asked, plain, 4), "query_id", "vec_id", "rank")
+
+
+def test_snapshot_reads_without_a_shuffle(spark, tmp_path):
+    store = ChunkStore(spark, str(tmp_path / "s"), 1).create()
+    data = [("b", f"f{k % 3}", "h", k, 9, f"text {k}", [float(k)]) for k in range(9)]
+    ddl = "bot_id string, file_name string, file_hash string, chunk_index int, total_chunks int, content string, embedding array<double>"
+    for seq in (1, 2):
+        store.append_chunks(spark.createDataFrame(data, ddl), "t", F.lit(seq))
+    store.forget_files(spark.createDataFrame([("b", "f1", 5)], "bot_id string, file_name string, seq int"))
+    shot = store.snapshot()
+    assert rows(shot, "content", "seq") == [(f"text {k}", 2) for k in range(9) if k % 3 != 1]
+    assert "Exchange" not in shot.where("bot_id = 'b'")._jdf.queryExecution().executedPlan().toString()
