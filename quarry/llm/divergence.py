@@ -347,13 +347,13 @@ def divergences(groups: DataFrame, kept: DataFrame, counts: DataFrame, placed: D
     terms = kept.groupBy("lang").agg(F.count("*").alias("terms"))
     sums = counts.groupBy("lang", "source").agg(F.sum("count").alias("total"))
     sized = groups.join(terms.hint("shuffle_hash"), "lang", "left").join(sums.hint("shuffle_hash"), ["lang", "source"], "left")
-    total = stored(sized.select("lang", "source", F.coalesce("terms", F.lit(0)).alias("terms"), F.coalesce("total", F.lit(0)).alias("total")), "groups")
+    sized = stored(sized.select("lang", "source", F.coalesce("terms", F.lit(0)).alias("terms"), F.coalesce("total", F.lit(0)).alias("total")), "groups")
+    total = sized.join(sized.groupBy("lang").agg(F.sum("total").alias("whole")).hint("shuffle_hash"), "lang")
     cells = counts.join(total.hint("shuffle_hash"), ["lang", "source"])
-    cells = stored(cells.select("lang", "source", "ordinal", "count", share(F.col("count"), F.col("total"), F.col("terms")).alias("p")), "shares")
+    cells = stored(cells.select("lang", "source", "ordinal", "count", "whole", "terms", share(F.col("count"), F.col("total"), F.col("terms")).alias("p")), "shares")
 
-    whole = total.groupBy("lang").agg(F.sum("total").alias("total"), F.max("terms").alias("terms"))
-    overall = cells.groupBy("lang", "ordinal").agg(F.sum("count").alias("count")).join(whole.hint("shuffle_hash"), "lang")
-    overall = overall.select("lang", "ordinal", share(F.col("count"), F.col("total"), F.col("terms")).alias("q"))
+    overall = cells.groupBy("lang", "ordinal").agg(F.sum("count").alias("count"), F.max("whole").alias("whole"), F.max("terms").alias("terms"))
+    overall = overall.select("lang", "ordinal", share(F.col("count"), F.col("whole"), F.col("terms")).alias("q"))
     above = cells.join(overall.hint("shuffle_hash"), ["lang", "ordinal"]).where("p > q").select("lang", "source", "ordinal", (F.col("p") - F.col("q")).alias("value"))
     first = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "ordinal")
     best = stored(above.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= top), "terms-above")
