@@ -9,9 +9,11 @@ from quarry.functions.vectors import cosine_distance, l2_normalize
 from quarry.operators import analysis, context, search
 from quarry.operators.models import answered, extractive_answers
 from quarry.operators.tools import detected
+from quarry.operators.vector_index import VectorIndex
 from quarry.plans.registry import query
 from quarry.plans.scenario import BOT_OF, HITS, cleaned, files, hits, questions, table, trimmed
 from quarry.plans.tool_queries import TOOLS_SQL, tools
+from quarry.sources.scratch import scratch_path
 
 ASKED = "asked AS (SELECT vec_id AS query_id, embedding AS asked FROM embeddings WHERE vec_id % 50 = 0)"
 COSINE = "1 - list_dot_product(asked::DOUBLE[], embedding::DOUBLE[]) / sqrt(list_dot_product(asked::DOUBLE[], asked::DOUBLE[]) * list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))"
@@ -82,6 +84,36 @@ def ann_ivf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(search.knn_ivf(asked(spark, sf_dir), table(spark, sf_dir, "embeddings")))
 
 
+def stored_index(spark: SparkSession, sf_dir: str) -> VectorIndex:
+    return VectorIndex(spark, scratch_path(spark, "vector-index")).build(table(spark, sf_dir, "embeddings"))
+
+
+#: Of the given vectors, which hardly form clusters, three quarters of the cells are looked into by code.
+GIVEN_SHARE, GIVEN_REFINE = 0.75, 50
+
+
+def given_probes(index: VectorIndex) -> int:
+    return max(1, round(GIVEN_SHARE * len(index.quantiser().centres)))
+
+
+@query()
+def ann_ivfpq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search of the stored index: codes first, whole vectors for the best of them."""
+    index = stored_index(spark, sf_dir)
+    return rounded(index.search(asked(spark, sf_dir), probes=given_probes(index), refine=GIVEN_REFINE))
+
+
+@query("SELECT count(*) FILTER (vec_id % 50 = 0) AS questions, count(*) AS vectors, TRUE AS found_enough, TRUE AS compared_few, TRUE AS read_little FROM embeddings")
+def ann_ivfpq_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the index finds nine in ten of the exact neighbours, while less than a quarter of the pairs
+    are compared by vector and less than a quarter of the vectors' bytes go into distances."""
+    index, questions_ = stored_index(spark, sf_dir), asked(spark, sf_dir)
+    probes = given_probes(index)
+    found = index.search(questions_, probes=probes, refine=GIVEN_REFINE)
+    recall = search.recall(found, search.knn(questions_, table(spark, sf_dir, "embeddings"))).agg((F.avg("recall") >= 0.9).alias("found_enough"))
+    return index.visited(questions_, probes, GIVEN_REFINE).join(F.broadcast(recall)).select("questions", "vectors", "found_enough", (F.col("compared_share") < 0.25).alias("compared_few"), (F.col("byte_share") < 0.25).alias("read_little"))
+
+
 @query()
 def ann_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(search.knn_lsh(asked(spark, sf_dir), table(spark, sf_dir, "embeddings")))
