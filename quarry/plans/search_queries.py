@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quarry.functions.vectors import cosine_distance, l2_normalize
 from quarry.operators import analysis, context, search
 from quarry.operators.models import answered, extractive_answers
+from quarry.operators.sparse_index import SparseIndex
 from quarry.operators.tools import detected
 from quarry.operators.vector_index import VectorIndex
 from quarry.plans.registry import query
@@ -221,6 +222,35 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sparse(spark, sf_dir).select("query_id", "doc_id", "rank", F.round("score", 4).alias("score"))
 
 
+SHORT = "array_join(slice(split(question, '[ \\n]+'), 1, 3), ' ')"
+
+
+def short_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first three words of each question."""
+    return questions(spark, sf_dir).withColumn("question", F.expr(SHORT))
+
+
+def sparse_index(spark: SparkSession, sf_dir: str) -> SparseIndex:
+    return SparseIndex.build(table(spark, sf_dir, "documents").select("doc_id", "text"), scratch_path(spark, "sparse-index"))
+
+
+SHORT_SQL = "WITH benchmark AS (SELECT item_id, array_to_string(regexp_split_to_array(text, '[ \n]+')[1:3], ' ') AS text FROM benchmark), "
+
+
+@query(f"{SHORT_SQL}{BM25} SELECT query_id, doc_id, rank, round(score, 4) AS score FROM bm")
+def bm25_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Short questions, answered from the stored index: ranges of documents that cannot reach the top are not read."""
+    found = sparse_index(spark, sf_dir).search(short_questions(spark, sf_dir))
+    return found.select("query_id", "doc_id", "rank", F.round("score", 4).alias("score"))
+
+
+@query(f"{SHORT_SQL}{BM25}, p AS (SELECT query_id, count(*) AS postings FROM qw JOIN tf USING (g, t) GROUP BY query_id) SELECT query_id, postings, TRUE AS bounded FROM p")
+def bm25_reading(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The postings of each question's words, and whether no more than those were read of the index."""
+    reading = sparse_index(spark, sf_dir).reading(short_questions(spark, sf_dir))
+    return reading.select("query_id", "postings", (F.col("read") <= F.col("postings")).alias("bounded"))
+
+
 FUSED = f"""{HITS}, {bm25_sql("source", BOT_OF)},
 dense AS (SELECT query_id, doc_id, min(rank) AS rank FROM hits GROUP BY ALL),
 f AS (SELECT query_id, doc_id, coalesce(1.0::DOUBLE / (60 + dense.rank), 0) + coalesce(1.0::DOUBLE / (60 + bm.rank), 0) AS score FROM dense FULL JOIN bm USING (query_id, doc_id)),
