@@ -41,23 +41,22 @@ def stream_assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {FILES} SELECT DISTINCT bot_id, file_hash FROM files")
 def stream_ingest_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files arrive in four batches; each content is stored once a bot, whenever it comes."""
+    """Files arrive in two batches; each content is stored once a bot, whenever it comes."""
     source, out, state = (scratch_path(spark, f"ingest-{x}") for x in ("in", "out", "state"))
     rows = files(spark, sf_dir).select("doc_id", "bot_id", "file_hash")
     rows.repartition(4).write.parquet(source)
     schema = "doc_id long, bot_id string, file_hash string"
-    streams.ingest_stream(spark, source, schema, out, state, "doc_id").awaitTermination()
+    streams.ingest_stream(spark, source, schema, out, state, "doc_id", files_a_batch=2).awaitTermination()
     return spark.read.schema(schema).parquet(out).select("bot_id", "file_hash")
 
 
-@query("SELECT count(*) FILTER (event_type NOT IN ('error', 'click')) AS good, count(*) FILTER (event_type = 'error') AS rejected FROM events")
+@query("""SELECT '{"id": ' || event_id || ', "response": "' || event_type || '", "done": false' AS line, 'Not JSON' AS error FROM events WHERE event_type = 'error'""")
 def ndjson_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines that do not parse go to a table of rejects with the reason."""
+    """Lines that do not parse go to a table of rejects with the reason, the others to their own."""
     source, good, bad, state = (scratch_path(spark, f"rejects-{x}") for x in ("in", "good", "bad", "state"))
     ndjson_lines(spark, sf_dir).repartition(4).write.text(source)
     streams.split_stream(streams.token_lines(spark, source), good, bad, state).awaitTermination()
-    kept = spark.read.schema("line string, response string, done boolean").parquet(good).agg(F.count("*").alias("good"))
-    return kept.join(spark.read.schema("line string, error string").parquet(bad).where("error IS NOT NULL").agg(F.count("*").alias("rejected")))
+    return spark.read.schema("line string, error string").parquet(bad).select("line", "error")
 
 
 STOPPED = "e AS (SELECT conv_id, min(turn) FILTER (turn >= 3 AND role = 'assistant') AS stop FROM conversations GROUP BY conv_id)"
@@ -65,12 +64,15 @@ STOPPED = "e AS (SELECT conv_id, min(turn) FILTER (turn >= 3 AND role = 'assista
 
 @query(f"WITH {STOPPED} SELECT conv_id, turn, coalesce(text, '') AS response FROM conversations JOIN e USING (conv_id) WHERE stop IS NULL OR turn <= stop")
 def stream_until_done(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Responses as a stream in batches, each conversation's turns in one file: what follows an end is dropped."""
+    """Responses as a stream in three batches, the turns of a conversation in any of them and in any order,
+    some twice: they come out in order, and what follows an end is dropped."""
     source, out, state = (scratch_path(spark, f"done-{x}") for x in ("in", "out", "state"))
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("response"), ((F.col("turn") >= 3) & (F.col("role") == "assistant")).alias("done"))
-    rows.repartition(3, "conv_id").write.parquet(source)
-    pieces = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    kept = streams.until_done(pieces, "conv_id", "turn")
+    rows = rows.withColumn("at", F.timestamp_seconds(F.col("turn") + 1_700_000_000))
+    rows.union(rows.where("(conv_id + turn) % 3 = 0")).repartition(3, "turn", "response").write.parquet(source)
+    streams.with_state_store(spark)
+    pieces = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source).withWatermark("at", "1 hour")
+    kept = streams.in_order(pieces, "conv_id", "turn", at="at")
     kept.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(kept.schema).parquet(out).select(F.col("request").cast("long").alias("conv_id"), F.col("seq").alias("turn"), "response")
 
@@ -82,11 +84,13 @@ def stream_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = extractive_answers(questions(spark, sf_dir), hits(spark, sf_dir))
     size = 40
     pieces = said.select("query_id", F.posexplode(F.expr(f"transform(sequence(0, (length(answer) - 1) div {size}), i -> substring(answer, i * {size} + 1, {size}))")).alias("seq", "response"), F.expr(f"(length(answer) - 1) div {size}").alias("last"))
-    line = F.to_json(F.struct("query_id", "seq", "response", (F.col("seq") == F.col("last")).alias("done")))
+    line = F.to_json(F.struct("query_id", "seq", "response", (F.col("seq") == F.col("last")).alias("done"), F.lit("2024-01-01T00:00:00Z").alias("at")))
     pieces.select("query_id", line.alias("value")).repartition(4, "query_id").select("value").write.text(source)
     lines = streams.token_lines(spark, source)
     read = streams.good_tokens(streams.parsed_tokens(lines)).withColumn("query_id", F.get_json_object("line", "$.query_id")).withColumn("seq", F.get_json_object("line", "$.seq").cast("long"))
-    kept = streams.until_done(read, "query_id", "seq")
+    streams.with_state_store(spark)
+    read = read.withColumn("at", F.get_json_object("line", "$.at").cast("timestamp")).withWatermark("at", "1 hour")
+    kept = streams.in_order(read, "query_id", "seq")
     kept.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
     whole = streams.assembled(spark.read.schema(kept.schema).parquet(out), "request", "seq")
     return whole.select(F.col("request").cast("long").alias("query_id"), F.col("response").alias("answer"))

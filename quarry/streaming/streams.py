@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from quarry.operators.ingest import first_of_each, new_files
 
@@ -42,24 +42,86 @@ def assembled(tokens: DataFrame, request: str = "request_id", seq: str = "seq")
     return one.select(request, F.array_join(F.transform(kept, lambda p: p["response"]), "").alias("response"), F.size(F.filter(kept, lambda p: p["response"] != "")).cast("long").alias("tokens"), F.col("end").isNotNull().alias("ended"))
 
 
-def until_done(tokens: DataFrame, request: str = "request_id", seq: str = "seq") -> DataFrame:
-    """The pieces of each response of a stream up to the first that ends it; later ones are dropped.
+ORDERED = "request string, seq bigint, response string, done boolean, error string"
+#: How long a request may be silent before it is given up, and how long one that has ended is remembered.
+SILENCE_MS = 600_000
 
-    (request, seq, response, done) in the order of ``seq`` within a batch. Whether a response
-    has ended is its state: a flag a request.
+
+class InOrder(StatefulProcessor):
+    """Hands on the pieces of one response in order, each once, up to the first that ends it.
+
+    State of a request: the next place and whether it has ended, and the pieces that came
+    before their turn. A timer, moved on by each batch that brings a piece, clears it.
+    """
+
+    def __init__(self, first: int, silence_ms: int):
+        self.first, self.silence_ms = first, silence_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.place = handle.getValueState("place", "next bigint, ended boolean, latest bigint")
+        self.early = handle.getMapState("early", "seq bigint", "response string, done boolean")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        place, ended, latest = self.place.get() if self.place.exists() else (self.first, False, 0)
+        out: list[tuple] = []
+        held = {k[0]: (v[0], v[1]) for k, v in self.early.iterator()}
+        new: dict[int, tuple[str, bool]] = {}
+        for frame in rows:
+            latest = max(latest, int(frame["at"].max()))
+            for seq, response, done in zip(frame["seq"].tolist(), frame["response"].tolist(), frame["done"].tolist()):
+                if not ended and seq >= place and seq not in held:  # else it came before
+                    new.setdefault(seq, (response, bool(done)))
+        while not ended and (piece := held.get(place) or new.get(place)):
+            response, ended = piece
+            if place in held:
+                self.early.removeKey((place,))
+            new.pop(place, None)
+            out.append((key[0], place, response, ended, None))
+            place += 1
+        if ended:
+            self.early.clear()
+        else:
+            for seq, piece in new.items():
+                self.early.updateValue((seq,), piece)
+        self.place.update((place, ended, latest))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(latest + self.silence_ms)
+        yield frame_of(out)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        place, ended, _ = self.place.get()
+        held = sum(1 for _ in self.early.keys())
+        self.place.clear()
+        self.early.clear()
+        yield frame_of([] if ended else [(key[0], place, None, True, f"No end after {place - self.first} pieces, {held} out of turn")])
+
+    def close(self) -> None:
+        pass
+
+
+def frame_of(rows: list[tuple]) -> pd.DataFrame:
+    names = [x.split(" ")[0] for x in ORDERED.split(", ")]
+    out = pd.DataFrame(rows, columns=names).astype({"request": object, "response": object, "error": object})
+    return out.astype({"seq": "int64", "done": "bool"})
+
+
+def in_order(tokens: DataFrame, request: str = "request_id", seq: str = "seq", at: str = "at", first: int = 0, silence_ms: int = SILENCE_MS) -> DataFrame:
+    """(request, seq, response, done, error): the pieces of a stream's responses in order, each once.
+
+    Pieces may come in any order, over any number of batches, and more than once: a piece waits
+    until all before it have come. What follows the first ``done`` is dropped. A request that is
+    silent for ``silence_ms`` ends with an error row; its state goes then, as does that of one
+    that has ended. ``at`` names an event-time column with a watermark, of which the silence is
+    measured. Sessions need the RocksDB state store (``with_state_store``).
     """
-    own = tokens.select(F.col(request).cast("string").alias("request"), F.col(seq).cast("long").alias("seq"), F.coalesce("response", F.lit("")).alias("response"), F.coalesce("done", F.lit(False)).alias("done"))
+    own = tokens.select(F.col(request).cast("string").alias("request"), F.col(seq).cast("long").alias("seq"), F.coalesce("response", F.lit("")).alias("response"), F.coalesce("done", F.lit(False)).alias("done"), F.unix_millis(F.col(at)).alias("at"), F.col(at).alias("time"))
+    return own.groupBy("request").transformWithStateInPandas(InOrder(first, silence_ms), ORDERED, "Append", "EventTime")
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ended = state.exists and state.get[0]
-        rows = pd.concat(list(frames)).sort_values("seq", kind="stable")
-        done = rows["done"].to_numpy()
-        state.update((bool(ended or done.any()),))
-        if not ended:
-            yield rows.iloc[: done.argmax() + 1] if done.any() else rows
 
-    schema = "request string, seq long, response string, done boolean"
-    return own.groupBy("request").applyInPandasWithState(step, schema, "ended boolean", "append", GroupStateTimeout.NoTimeout)
+def with_state_store(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def split_stream(lines: DataFrame, good: str, rejected: str, checkpoint: str) -> StreamingQuery:
@@ -77,12 +139,13 @@ def split_stream(lines: DataFrame, good: str, rejected: str, checkpoint: str) ->
     return lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def ingest_stream(spark: SparkSession, source: str, schema: str, table: str, checkpoint: str, order: str) -> StreamingQuery:
+def ingest_stream(spark: SparkSession, source: str, schema: str, table: str, checkpoint: str, order: str, files_a_batch: int | None = None) -> StreamingQuery:
     """Appends files that land in ``source`` to the Parquet ``table``, each content once a bot.
 
     What was stored before is found in the table itself, so no state grows with time; a
     batch that is replayed after a failure finds its own rows stored and adds nothing. The
-    table has a folder for each bot, and a batch reads those of its own bots only.
+    table has a folder for each bot, and a batch reads those of its own bots only. A batch
+    takes all files that wait, or ``files_a_batch`` at most.
     """
 
     def append(batch: DataFrame, _: int) -> None:
@@ -94,5 +157,6 @@ def ingest_stream(spark: SparkSession, source: str, schema: str, table: str, che
         new_files(fresh, stored).select(*batch.columns).write.mode("append").partitionBy("bot_id").parquet(table)
 
     spark.createDataFrame([], schema).write.mode("ignore").partitionBy("bot_id").parquet(table)
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    waiting = spark.readStream.schema(schema)
+    stream = (waiting.option("maxFilesPerTrigger", files_a_batch) if files_a_batch else waiting).parquet(source)
     return stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

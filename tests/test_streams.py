@@ -1,5 +1,7 @@
 import json
 
+from pyspark.sql import functions as F
+
 from quarry.streaming import streams
 
 
@@ -29,13 +31,28 @@ def test_ingest_is_idempotent(spark, tmp_path):
     assert sorted(r["doc_id"] for r in spark.read.parquet(table).collect()) == [1, 3, 5]
 
 
-def test_until_done(spark, tmp_path):
-    schema = "request_id long, seq long, response string, done boolean"
-    for k, rows in enumerate([[(1, 2, "b", False), (1, 1, "a", False), (2, 1, "x", True)], [(1, 3, "c", True), (1, 4, "late", False), (2, 2, "late", False), (3, 1, None, False)]]):
+def test_in_order(spark, tmp_path):
+    """Pieces out of order over batches, some twice; a request that never ends expires, and no state is left."""
+    streams.with_state_store(spark)
+    schema = "request_id long, seq long, response string, done boolean, minute long"
+    batches = [
+        [(1, 1, "b", False, 0), (1, 3, "late", False, 0), (2, 0, "x", True, 0), (3, 2, "z", False, 1), (4, 1, "held", False, 1)],
+        [(1, 0, "a", False, 1), (1, 1, "again", False, 1), (2, 0, "twice", True, 1), (2, 1, "late", False, 1), (3, 0, None, False, 2)],
+        [(1, 2, "c", True, 2), (3, 1, "y", False, 2), (3, 1, "y", False, 2), (1, 3, "late", False, 2)],
+        [(9, 0, "last", True, 300)],
+        [(8, 0, "end", True, 900)],
+    ]
+    for rows in batches:
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        kept = streams.until_done(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
-        kept.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
-    assert sorted((r["request"], r["response"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [("1", "a"), ("1", "b"), ("1", "c"), ("2", "x"), ("3", "")]
+        pieces = spark.readStream.schema(schema).parquet(str(tmp_path / "in")).withColumn("at", F.timestamp_seconds((F.col("minute") + 1000) * 60)).withWatermark("at", "10 minutes")
+        query = streams.in_order(pieces).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        assert query.awaitTermination(120)
+    got = sorted(map(tuple, spark.read.schema(streams.ORDERED).parquet(str(tmp_path / "out")).collect()))
+    good = [("1", 0, "a"), ("1", 1, "b"), ("1", 2, "c"), ("2", 0, "x"), ("3", 0, ""), ("3", 1, "y"), ("3", 2, "z"), ("8", 0, "end"), ("9", 0, "last")]
+    assert [r[:3] for r in got if r[4] is None] == good
+    assert [(r[0], r[1], r[3], r[4]) for r in got if r[4]] == [("3", 3, True, "No end after 3 pieces, 0 out of turn"), ("4", 0, True, "No end after 0 pieces, 1 out of turn")]
+    left = spark.read.format("statestore").option("path", str(tmp_path / "state")).option("stateVarName", "place").load()
+    assert {r["key"]["request"] for r in left.collect()} == {"8"}
 
 
 def test_rejects(spark, tmp_path):
