@@ -18,10 +18,11 @@ which leaves out texts and pairs that cannot be similar enough. Buckets do not b
    the links found so far make differ;
 3. in small buckets members outside the largest component are checked against all others;
    in large ones some of them lead in turn, round after round, until a round finds nothing
-   new or all have led.
-
-A pair of a large bucket can go unchecked if round 3 ends before, so that two components
-stay apart: the README says how many do.
+   new or all have led;
+4. what the rounds leave of large buckets is checked in blocks: every member outside the
+   bucket's largest component against every member of it that is not in its own component.
+   Tasks compare a block with a block and hand on a link for each text and component, so
+   that no pairs are made and none is left out.
 """
 
 from __future__ import annotations
@@ -44,6 +45,8 @@ SIZE, SIMILARITY, SEED = 5, 0.8, 42
 POSITIONS, RADIUS, SKETCHES = 16, 3, 3
 #: Members of a bucket that are checked with each other, and leaders a round in larger buckets.
 SMALL, LEADERS = 32, 4
+#: Shingles of a block of members in the last step.
+BLOCK = 400_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -157,6 +160,59 @@ def members_of(nodes: DataFrame, sets: DataFrame, keys: DataFrame, similarity: f
     return stored(keys.join(able.hint("merge"), "node").select("key", "node", "n", "core"), "bucket-members")
 
 
+def links_of_blocks(now: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): of each member outside its bucket's largest component, a link to every other component it has
+    one with. ``now``: (key, node, n, core, c) of the members of split buckets.
+
+    Buckets of the same members are taken once. A bucket of any size is many blocks of some
+    ``BLOCK`` shingles (a longer text is one of its own).
+    """
+    marks = now.groupBy("key").agg(F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("mark"), F.count("*").alias("m")).groupBy("mark", "m").agg(F.min("key").alias("key"))
+    one = now.join(stored(marks.select("key"), "different-buckets").hint("merge"), "key")
+    main = one.groupBy("key", "c").agg(F.count("*").alias("k")).groupBy("key").agg(F.max(F.struct("k", "c")).alias("main"))
+    placed = stored(one.join(stored(main, "main-components").hint("merge"), "key").select("key", "node", "n", "core", "c", (F.col("c") != F.col("main.c")).alias("outside")), "placed-members")
+    member = F.struct("node", "n", "core", "c", "hashes").alias("member")
+
+    def blocks(members: DataFrame, name: str) -> DataFrame:
+        sizes = stored(members.groupBy("key").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks")), f"{name}-sizes")
+        dealt = members.join(sizes.hint("merge"), "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+        whole = dealt.join(sets.hint("merge"), "node").select("key", "block", member)
+        return stored(whole.groupBy("key", "block").agg(F.collect_list("member").alias(name)), f"{name}-blocks").drop("block")
+
+    both = blocks(placed.where("outside"), "outer").join(blocks(placed, "inner").hint("merge"), "key")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for outer, inner in zip(batch.column("outer"), batch.column("inner")):
+                found = linked(outer.values, inner.values, similarity)
+                yield pa.RecordBatch.from_arrays([pa.array([min(x) for x in found], pa.int64()), pa.array([max(x) for x in found], pa.int64())], names=["a", "b"])
+
+    return stored(both.select("outer", "inner").mapInArrow(compare, "a bigint, b bigint").distinct(), "links-of-blocks")
+
+
+def linked(outer: pa.StructArray, inner: pa.StructArray, similarity: float) -> list[tuple[int, int]]:
+    """Pairs of an outer and an inner member that are similar, one for each outer member and component."""
+    node, n, core, c = (inner.field(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("node", "n", "core", "c"))
+    lists = inner.field("hashes")
+    flat = lists.flatten().to_numpy()
+    owner = np.repeat(np.arange(len(node)), lists.value_lengths().to_numpy(zero_copy_only=False))
+    known, place = np.unique(flat, return_inverse=True)
+    out: list[tuple[int, int]] = []
+    for x in range(len(outer)):
+        own, size, able, group = (outer.field(f)[x].as_py() for f in ("node", "n", "core", "c"))
+        hashes = outer.field("hashes")[x].values.to_numpy()
+        at = np.searchsorted(known, hashes)
+        at = at[(at < len(known)) & (known[np.minimum(at, len(known) - 1)] == hashes)] if len(known) else at[:0]
+        held = np.zeros(len(known), bool)
+        held[at] = True
+        shared = np.bincount(owner[held[place]], minlength=len(node))
+        most = np.minimum(core, able)
+        near = (c != group) & (most >= similarity * (n + size - most)) & (shared >= similarity * (n + size - shared))
+        _, first = np.unique(c[near], return_index=True)
+        out += [(own, int(y)) for y in node[near][first]]
+    return out
+
+
 def node_components(rows: DataFrame, nodes: DataFrame, size: int, similarity: float, repeated: bool) -> DataFrame:
     """(node, c) of the nodes that share buckets with others: the component of each.
 
@@ -203,8 +259,8 @@ def node_components(rows: DataFrame, nodes: DataFrame, size: int, similarity: fl
         pairs = met.where(able).select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b"))
         links, tried = checked(pairs, sets, similarity, tried)
         after = merged(comp, links)
-        if after is None and turn >= 2:
-            return comp
+        if after is None and turn >= 2:  # what the rounds have not met
+            return merged(comp, links_of_blocks(now.where(F.col("m") > SMALL).drop("m"), sets, similarity)) or comp
         comp = comp if after is None else after
         turn += 1
 
@@ -215,9 +271,13 @@ def near_copies(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARIT
     Texts link where the sets of their shingles of ``size`` words, A-Z lower-cased, have a
     Jaccard similarity of ``similarity`` or more. Texts without words link with each other
     only; null texts are empty. component_id is the smallest id reachable, null where all
-    ids are. One row of a component is kept: that of the smallest id, of equal ids that of
+    are. One row of a component is kept: that of the smallest id, of equal ids that of
     the least text hash; a null id is larger than any other. Rows that repeat an id and a
-    text are reported each and share their decision.
+    text are reported each and share their decision. An empty table gives no rows; other
+    columns are not read. A text is held whole with its words and shingles, one at a time.
+
+    All candidates, texts that share a bucket, are linked exactly as checking each pair of
+    them would.
     """
     rows = id_and_text(docs, id_col, text_col).withColumn("row", row_hash(F.col("text")))
     seen = stored(sketched(rows, size), "sketches")

@@ -110,3 +110,37 @@ def test_recall_on_given_documents(spark):
     found = sum(component[a] == component[b] for a, b in want)
     assert want and found >= 0.9 * len(want), (found, len(want))
     assert all(component[i] <= i for i in texts)
+
+
+def test_members_of_a_large_group_meet_in_blocks(spark, monkeypatch):
+    """A group of 2,000 edited copies: components as by checking every pair, whatever the rounds find."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(500)]
+    base = [rng.choice(words) for _ in range(100)]
+    texts = []
+    for _ in range(2000):
+        own = list(base)
+        for _ in range(rng.randrange(0, 9)):
+            own[rng.randrange(100)] = rng.choice(words)
+        texts.append(" ".join(own))
+    sets = list(dict.fromkeys(n.shingles(t, 5).tobytes() for t in texts))
+    own = [n.np.frombuffer(s, n.np.uint64) for s in sets]
+    known = {h: k for k, h in enumerate(sorted({h for s in own for h in s.tolist()}))}
+    grid = n.np.zeros((len(own), len(known)), n.np.float32)
+    for k, s in enumerate(own):
+        grid[k, [known[h] for h in s.tolist()]] = 1
+    shared, size = grid @ grid.T, grid.sum(axis=1)
+    near = shared >= 0.8 * (size[:, None] + size[None, :] - shared)
+    group = brute_components(range(len(own)), lambda a, b: bool(near[a, b]))
+    # all members in one bucket, no rounds before: every link has to come from the blocks
+    node = {s: n.node_of(own[k]) for k, s in enumerate(sets)}
+    held = spark.createDataFrame([(node[s], own[k].view(n.np.int64).tolist()) for k, s in enumerate(sets)], "node long, hashes array<long>")
+    now = spark.createDataFrame([(1, node[s], len(own[k]), len(own[k]), node[s]) for k, s in enumerate(sets)], "key long, node long, n int, core long, c long")
+    now = now.union(now.selectExpr("key + 1", "node", "n", "core", "c"))
+    monkeypatch.setattr(n, "BLOCK", 30_000)
+    links = n.links_of_blocks(now, held, 0.8)
+    comp = {r["node"]: r["c"] for r in n.merged(now.select("node", "c").distinct(), links).collect()}
+    label = {}
+    for k, s in enumerate(sets):
+        assert label.setdefault(group[k], comp[node[s]]) == comp[node[s]]
+    assert len(set(label.values())) == len(label) < len(sets)
