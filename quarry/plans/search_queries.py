@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.vectors import cosine_distance, l2_normalize
 from quarry.operators import analysis, context, search
+from quarry.operators import neighbour_graph as graphs
 from quarry.operators.models import answered, extractive_answers
 from quarry.operators.sparse_index import SparseIndex
 from quarry.operators.tools import detected
@@ -14,7 +15,7 @@ from quarry.operators.vector_index import VectorIndex
 from quarry.plans.registry import query
 from quarry.plans.scenario import BOT_OF, HITS, cleaned, files, hits, questions, table, trimmed
 from quarry.plans.tool_queries import TOOLS_SQL, tools
-from quarry.sources.scratch import scratch_path
+from quarry.sources.scratch import scratch_path, stored
 
 ASKED = "asked AS (SELECT vec_id AS query_id, embedding AS asked FROM embeddings WHERE vec_id % 50 = 0)"
 COSINE = "1 - list_dot_product(asked::DOUBLE[], embedding::DOUBLE[]) / sqrt(list_dot_product(asked::DOUBLE[], asked::DOUBLE[]) * list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))"
@@ -129,6 +130,24 @@ def multi_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.multi_hop(asked(spark, sf_dir), table(spark, sf_dir, "embeddings"))
 
 
+@query("SELECT count(*) AS vectors, count(*) * 10 AS edges, TRUE AS enough FROM embeddings")
+def neighbour_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size of the graph of ten neighbours, and whether it has nine in ten of the exact ones of every 50th vector."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    graph = stored(graphs.neighbour_graph(rows), "neighbour-graph")
+    exact = search.knn(asked(spark, sf_dir), rows, 11).where("query_id <> vec_id AND rank <= 11")
+    edges = graph.select(F.col("a").alias("query_id"), F.col("b").alias("vec_id"), F.lit(1).alias("hit"))
+    share = exact.join(edges.hint("merge"), ["query_id", "vec_id"], "left").agg((F.count("hit") >= 0.9 * F.count("*")).alias("enough"))
+    return rows.agg(F.count("*").alias("vectors")).join(F.broadcast(graph.agg(F.count("*").alias("edges")))).join(F.broadcast(share))
+
+
+@query()
+def multi_hop_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hops over the graph of neighbours: only the first reads vectors."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return graphs.walked(asked(spark, sf_dir), rows, graphs.neighbour_graph(rows))
+
+
 @query("WITH e AS (SELECT event_id, json_extract_string(props, '$.k') AS k FROM events) SELECT event_id, k FROM e WHERE k = '7'")
 def json_key_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k")).where("k = '7'")

@@ -136,7 +136,10 @@ def test_embed_hook(spark):
 def test_containing(spark):
     docs = spark.createDataFrame([(1, "the quick brown fox jumps over a dog"), (2, "he quick brown fox jumps ove"), (3, "quick brown  fox jumps"), (4, None), (5, ""), (6, "fox fox fox")], "doc_id long, text string")
     asked = spark.createDataFrame([(1, "he quick brown fox jumps ove"), (2, "quick brown fox"), (3, "brown  fox jumps"), (4, "x fo"), (5, ""), (6, None), (7, "x fox f")], "query_id long, question string")
-    assert rows(analysis.containing(docs, asked)) == [(1, 1), (1, 2), (2, 1), (2, 2), (3, 3), (7, 6)]
+    assert rows(analysis.containing(docs, asked)) == [(1, 1), (1, 2), (2, 1), (2, 2), (3, 3), (4, 6), (7, 6)]
+    short = spark.createDataFrame([(1, "alpha w1"), (2, "alpha"), (3, "alpha w1 w1 w1"), (4, "a w"), (5, " ")], "query_id long, question string")
+    texts = spark.createDataFrame([("x", "alpha w1 w1 w1"), ("y", "an alpha w12"), ("z", None)], "doc_id string, text string")
+    assert rows(analysis.containing(texts, short)) == [(1, "x"), (1, "y"), (2, "x"), (2, "y"), (3, "x"), (4, "x"), (4, "y")]
     assert analysis.containing(docs, asked.limit(0)).count() == 0
 
 
