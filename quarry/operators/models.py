@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import trimmed
 from quarry.operators.context import NO_ANSWER, TOOL_PROMPT, fill
+from quarry.operators.tools import detected, rendered, routed
 
 Generate = Callable[[list[str]], list[str]]
 
@@ -65,3 +66,26 @@ def answered_from_tools(calls: DataFrame, generate: Generate) -> DataFrame:
     """
     prompt = fill(TOOL_PROMPT, system_prompt=F.col("system_prompt"), question=F.col("question"), result=F.to_json("result"))
     return generated(calls.withColumn("prompt", prompt), generate).drop("prompt")
+
+
+def tool_answers(asked: DataFrame, tools: DataFrame, generate: Generate, call: Generate, least: int = 2, query: str = "query_id") -> DataFrame:
+    """(query, tool, url, answer, error) of the questions for which a tool is chosen: detected, routed,
+    rendered, called and answered from what it returned.
+
+    ``call`` takes a batch of urls and gives what each returned; tools have ``system_prompt``. A
+    request that cannot be rendered, a call or an answer that fails has an error and no answer.
+    """
+    chosen = detected(asked, tools, least).withColumn("params", F.create_map().cast("map<string,string>"))
+    calls = rendered(routed(chosen, tools)).select(query, "tool", "url", "system_prompt", F.col("error").alias("__no_request"))
+    known = calls.join(asked.select(query, "question").hint("shuffle_hash"), query)
+    returned = generated(known, lambda urls: answers_of(urls, call), "url", "body").withColumnRenamed("error", "__no_result")
+    said = answered_from_tools(returned.withColumn("result", F.struct("body")), lambda prompts: prompts and generate(prompts))
+    error = F.coalesce("__no_request", "__no_result", "error")
+    return said.select(query, "tool", "url", F.when(error.isNull(), F.col("answer")).alias("answer"), error.alias("error"))
+
+
+def answers_of(asked: list[str | None], call: Generate) -> list[str | None]:
+    """Calls for what is given, and nothing for what is not."""
+    own = [a for a in asked if a is not None]
+    given = iter(call(own) if own else [])
+    return [None if a is None else next(given) for a in asked]

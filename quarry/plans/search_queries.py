@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 from quarry.functions.vectors import cosine_distance, l2_normalize
 from quarry.operators import analysis, context, search
 from quarry.operators import neighbour_graph as graphs
-from quarry.operators.models import answered, extractive_answers
+from quarry.operators.models import answered, extractive_answers, tool_answers
 from quarry.operators.sparse_index import SparseIndex
-from quarry.operators.tools import detected
 from quarry.operators.vector_index import VectorIndex
 from quarry.plans.registry import query
 from quarry.plans.scenario import BOT_OF, HITS, cleaned, files, hits, questions, table, trimmed
@@ -187,19 +186,32 @@ def answer_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extractive_answers(questions(spark, sf_dir), hits(spark, sf_dir)).select("query_id", "answer")
 
 
+def tool_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions that name a part, which stands for a tool, where one has their number."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("query_id"), F.concat_ws(" ", "p_name", "p_type").alias("named"))
+    both = questions(spark, sf_dir).join(part.hint("merge"), "query_id", "left")
+    return both.withColumn("question", F.concat_ws(" ", "question", "named")).drop("named")
+
+
 @query(
-    f"""WITH {HITS}, {TOOLS_SQL}, w AS (SELECT DISTINCT item_id, {BOT_OF} AS bot_id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS word FROM benchmark),
+    f"""WITH {HITS}, {TOOLS_SQL}, said AS (SELECT item_id, text || coalesce(' ' || p_name || ' ' || p_type, '') AS text FROM benchmark LEFT JOIN part ON p_partkey = item_id),
+w AS (SELECT DISTINCT item_id, {BOT_OF} AS bot_id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS word FROM said),
 k AS (SELECT DISTINCT tool_id, bot_id, name, unnest(regexp_split_to_array(lower(name || ' ' || description), '[^a-z0-9]+')) AS word FROM tools WHERE enabled),
-s AS (SELECT item_id, tool_id, name, count(*) AS overlap FROM w JOIN k ON w.bot_id = k.bot_id AND w.word = k.word WHERE w.word <> '' GROUP BY ALL HAVING count(*) >= 4),
-t AS (SELECT item_id, arg_min(name, tool_id - overlap * 1000000000) AS tool FROM s GROUP BY item_id)
-SELECT item_id AS query_id, coalesce('Called ' || tool, nullif({trimmed('content')}, ''), 'I don''t know.') AS answer,
+s AS (SELECT item_id, tool_id, name, count(*) AS overlap FROM w JOIN k ON w.bot_id = k.bot_id AND w.word = k.word WHERE w.word <> '' GROUP BY ALL HAVING count(*) >= 2),
+d AS (SELECT item_id, arg_min(name, tool_id - overlap * 1000000000) AS tool FROM s GROUP BY item_id),
+c AS (SELECT item_id, arg_min(tools, tool_id) AS x FROM (SELECT d.item_id, tools, tools.tool_id FROM d JOIN benchmark USING (item_id) JOIN tools ON tools.bot_id = {BOT_OF} AND tools.name = d.tool WHERE enabled) GROUP BY item_id),
+u AS (SELECT item_id, x.fallback AS size, x.bot_id AS bot, CASE WHEN x.p_size % 5 <> 0 THEN regexp_replace(x.endpoint, '/$', '') || '/' || replace(replace(x.p_type, ' ', '%20'), '&', '%26') || '%20%26%20co' ELSE x.endpoint END AS base FROM c WHERE NOT x.needs OR x.fallback IS NOT NULL),
+t AS (SELECT item_id, 'You speak for ' || bot || '.' || chr(10) || chr(10) || 'The user asked: ' || text || chr(10) || 'The tool returned: {{"body":"' || base || (CASE WHEN size IS NULL THEN '' WHEN contains(base, '?') THEN '&' ELSE '?' END) || coalesce('size=' || size, '') || '"}}' || chr(10) || chr(10) || 'Answer the user from what the tool returned.' AS tool FROM u JOIN said USING (item_id))
+SELECT item_id AS query_id, coalesce(tool, nullif({trimmed('content')}, ''), 'I don''t know.') AS answer,
 CASE WHEN tool IS NOT NULL THEN 'tool' WHEN content IS NOT NULL THEN 'context' ELSE 'none' END AS answered_by, (tool IS NOT NULL OR content IS NOT NULL) AS success
 FROM benchmark LEFT JOIN hits ON query_id = item_id AND rank = 1 LEFT JOIN t USING (item_id)"""
 )
 def ask_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A tool's answer where the question's bot has one that fits, else one from the bot's chunks."""
+    """A tool's answer where the question's bot has one that fits and can be called, else one from the bot's
+    chunks. The stand-in for a call returns the url, that for a model what it is shown."""
     asked_all = questions(spark, sf_dir)
-    called = detected(asked_all, tools(spark, sf_dir), least=4).select("query_id", F.concat(F.lit("Called "), "tool").alias("answer"))
+    own = tools(spark, sf_dir).withColumn("system_prompt", F.concat(F.lit("You speak for "), "bot_id", F.lit(".")))
+    called = tool_answers(tool_questions(spark, sf_dir), own, lambda prompts: prompts, lambda urls: urls).where("error IS NULL")
     return answered(asked_all, hits(spark, sf_dir), called).select("query_id", "answer", "answered_by", "success")
 
 

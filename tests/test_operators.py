@@ -213,6 +213,22 @@ def test_tools(spark):
     assert rows(tools.detected(asked, known)) == [(1, "b", "weather", 2)]
 
 
+def test_tool_answers(spark):
+    field = lambda required, default: ("string", "d", required, "query", None, default)
+    data = [(1, "b", "weather", "weather by city", {"city": field(True, "Rome")}, True, "https://x.org/", "Be kind."), (2, "b", "trains", "trains by city", {"from": field(True, None)}, True, "https://y.org", "Be brief."), (3, "b", "ships", "ships by city", {}, True, "https://down.org", "")]
+    known = spark.createDataFrame(data, f"tool_id int, bot_id string, name string, description string, parameters {tools.PARAMETERS}, enabled boolean, endpoint string, system_prompt string")
+    asked = spark.createDataFrame([(1, "b", "The weather in this city?"), (2, "b", "What trains leave the city?"), (3, "b", "Which ships leave the city?"), (4, "b", "Hello")], "query_id long, bot_id string, question string")
+
+    def call(urls):
+        assert None not in urls
+        return [None if "down" in u else f"sunny at {u}" for u in urls]
+
+    got = {r["query_id"]: r for r in models.tool_answers(asked, known, lambda p: p, call).collect()}
+    assert set(got) == {1, 2, 3} and got[1]["url"] == "https://x.org/?city=Rome" and got[1]["error"] is None
+    assert got[1]["answer"].startswith("Be kind.") and '{"body":"sunny at https://x.org/?city=Rome"}' in got[1]["answer"]
+    assert got[2]["error"] == "Missing required: from" and got[2]["answer"] is None and got[3]["error"] == "No response from the model"
+
+
 def test_analysis(spark):
     docs = spark.createDataFrame([(1, "red fox"), (2, "red red hen"), (3, "blue")], "doc_id long, text string")
     asked = spark.createDataFrame([(1, "fox red")], "query_id long, question string")
