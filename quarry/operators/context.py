@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.functions.text import has_text
+
 #: The layouts of contexts, and the answer where there is none.
 PLAIN, MARKDOWN = "[Context {i}]: {content}", "### Context Source {i}\n{content}"
 NO_ANSWER = "I don't know."
@@ -57,6 +59,23 @@ def prompts(asked: DataFrame, context: DataFrame, query: str = "query_id", templ
     return both.withColumn("prompt", fill(template, question=F.col("question"), context=F.col("context"), no_answer=NO_ANSWER))
 
 
+#: Fixed value: what a caller is told when nothing was found.
+NOTHING_FOUND = "No relevant information found"
+CHAT_PROMPT = "Write the answer in Markdown: bold key terms, code for technical names, lists for steps, tables for comparisons.\n\nContext:\n{context}\n\nQuestion:\n{prompt}\n\nAnswer in Markdown:"
+
+
+def chat_prompts(asked: DataFrame, context: DataFrame, query: str = "query_id", template: str = CHAT_PROMPT) -> DataFrame:
+    """Adds ``sent``, ``said`` and ``error`` to questions that come with a ``prompt`` of their own.
+
+    Chunks are found by the question, but the prompt is what the model is sent. A blank prompt is an
+    error; where nothing was found the model is not asked and ``said`` is a fixed message.
+    """
+    both = asked.join(context.hint("shuffle_hash"), query, "left")
+    bad, none = ~has_text(F.col("prompt")), F.col("context").isNull()
+    sent = F.when(~bad & ~none, fill(template, context=F.col("context"), prompt=F.col("prompt")))
+    return both.select(*asked.columns, sent.alias("sent"), F.when(~bad & none, NOTHING_FOUND).alias("said"), F.when(bad, "Prompt is required").alias("error"))
+
+
 def last_turns(messages: DataFrame, n: int, conversation: str = "conv_id", turn: str = "turn") -> DataFrame:
     """The last n turns of each conversation as one text, oldest first."""
     recent = Window.partitionBy(conversation).orderBy(F.desc(turn))

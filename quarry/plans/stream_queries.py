@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.operators.models import extractive_answers
+from quarry.operators import context
+from quarry.operators.models import extractive_answers, generated
 from quarry.plans.registry import query
 from quarry.plans.scenario import FILES, HITS, files, hits, questions, table, trimmed
-from quarry.sources.scratch import scratch_path
+from quarry.sources.scratch import scratch_path, stored
 from quarry.streaming import streams
 
 
@@ -77,20 +78,45 @@ def stream_until_done(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(kept.schema).parquet(out).select(F.col("request").cast("long").alias("conv_id"), F.col("seq").alias("turn"), "response")
 
 
-@query(f"WITH {HITS} SELECT item_id AS query_id, coalesce(nullif({trimmed('content')}, ''), 'I don''t know.') AS answer FROM benchmark LEFT JOIN hits ON query_id = item_id AND rank = 1")
-def stream_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From retrieval to a token stream: each answer is sent in pieces as JSON lines, read as a stream and put together."""
+def streamed(spark: SparkSession, said: DataFrame, size: int = 40) -> DataFrame:
+    """(query_id, answer): answers sent in pieces as JSON lines over files, read as a stream and put together."""
     source, out, state = (scratch_path(spark, f"answer-{x}") for x in ("in", "out", "state"))
-    said = extractive_answers(questions(spark, sf_dir), hits(spark, sf_dir))
-    size = 40
-    pieces = said.select("query_id", F.posexplode(F.expr(f"transform(sequence(0, (length(answer) - 1) div {size}), i -> substring(answer, i * {size} + 1, {size}))")).alias("seq", "response"), F.expr(f"(length(answer) - 1) div {size}").alias("last"))
+    last = F.expr(f"greatest(length(answer) - 1, 0) div {size}")
+    pieces = said.select("query_id", F.posexplode(F.expr(f"transform(sequence(0, greatest(length(answer) - 1, 0) div {size}), i -> substring(answer, i * {size} + 1, {size}))")).alias("seq", "response"), last.alias("last"))
     line = F.to_json(F.struct("query_id", "seq", "response", (F.col("seq") == F.col("last")).alias("done"), F.lit("2024-01-01T00:00:00Z").alias("at")))
     pieces.select("query_id", line.alias("value")).repartition(4, "query_id").select("value").write.text(source)
-    lines = streams.token_lines(spark, source)
-    read = streams.good_tokens(streams.parsed_tokens(lines)).withColumn("query_id", F.get_json_object("line", "$.query_id")).withColumn("seq", F.get_json_object("line", "$.seq").cast("long"))
-    streams.with_state_store(spark)
+    read = streams.good_tokens(streams.parsed_tokens(streams.token_lines(spark, source))).withColumn("query_id", F.get_json_object("line", "$.query_id")).withColumn("seq", F.get_json_object("line", "$.seq").cast("long"))
     read = read.withColumn("at", F.get_json_object("line", "$.at").cast("timestamp")).withWatermark("at", "1 hour")
+    streams.with_state_store(spark)
     kept = streams.in_order(read, "query_id", "seq")
     kept.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
     whole = streams.assembled(spark.read.schema(kept.schema).parquet(out), "request", "seq")
     return whole.select(F.col("request").cast("long").alias("query_id"), F.col("response").alias("answer"))
+
+
+CHAT = (
+    "'Write the answer in Markdown: bold key terms, code for technical names, lists for steps, tables for comparisons.' || chr(10) || chr(10) || 'Context:' || chr(10) || context || chr(10) || chr(10) || 'Question:' || chr(10) || prompt || chr(10) || chr(10) || 'Answer in Markdown:'"
+)
+
+
+@query(
+    f"""WITH {HITS}, c AS (SELECT query_id, string_agg('### Context Source ' || rank || chr(10) || content, chr(10) || chr(10) ORDER BY rank) AS context FROM hits GROUP BY query_id),
+p AS (SELECT item_id AS query_id, CASE WHEN item_id % 7 = 0 THEN ' ' ELSE 'Explain item ' || item_id END AS prompt FROM benchmark)
+SELECT query_id, CASE WHEN trim(prompt) = '' THEN NULL WHEN context IS NULL THEN 'No relevant information found' ELSE {CHAT} END AS answer, CASE WHEN trim(prompt) = '' THEN 'Prompt is required' END AS error FROM p LEFT JOIN c USING (query_id)"""
+)
+def stream_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks found by the question, Markdown context, the caller's own prompt, and the answer as a token stream.
+    The stand-in model says what it is sent; every seventh prompt is blank."""
+    own = F.when(F.col("query_id") % 7 == 0, " ").otherwise(F.concat(F.lit("Explain item "), "query_id"))
+    asked = questions(spark, sf_dir).withColumn("prompt", own)
+    chats = stored(context.chat_prompts(asked, context.contexts(hits(spark, sf_dir), layout=context.MARKDOWN)), "chats")
+    said = generated(chats.where("sent IS NOT NULL").select("query_id", "sent"), lambda prompts: prompts, "sent").select("query_id", "answer")
+    told = said.union(chats.where("said IS NOT NULL").select("query_id", "said"))
+    return chats.select("query_id", "error").join(streamed(spark, told).hint("merge"), "query_id", "left").select("query_id", "answer", "error")
+
+
+@query(f"WITH {HITS} SELECT item_id AS query_id, coalesce(nullif({trimmed('content')}, ''), 'I don''t know.') AS answer FROM benchmark LEFT JOIN hits ON query_id = item_id AND rank = 1")
+def stream_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From retrieval to a token stream: each answer is sent in pieces as JSON lines, read as a stream and put together."""
+    said = extractive_answers(questions(spark, sf_dir), hits(spark, sf_dir))
+    return streamed(spark, said.select("query_id", "answer"))

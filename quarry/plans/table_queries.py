@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators import tables
+from quarry.operators.bots import created_bots
 from quarry.plans.registry import query
 from quarry.plans.scenario import CUSTOMERS, FILES, customers, files, questions, table
 
@@ -136,6 +137,24 @@ def normalize_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.normalised(events, ["kind"], {"value": 0.0}).select("event_id", key.alias("bot_key"), "kind", "value")
 
 
+@query(
+    """WITH RECURSIVE u AS (SELECT 'user' || c_custkey || '@example.com' AS email, c_name FROM customer), r AS (SELECT event_id, epoch_us(ts) // 1000 AS n, CASE WHEN event_id % 11 = 0 THEN ' ' ELSE event_type || ' ' || event_id END AS name, 'user' || user_id || '@example.com' AS owner FROM events),
+e AS (SELECT event_id, n, '' AS s FROM r UNION ALL SELECT event_id, n // 36, substr('0123456789abcdefghijklmnopqrstuvwxyz', (n % 36)::INT + 1, 1) || s FROM e WHERE n > 0),
+m AS (SELECT r.event_id, name, owner, c_name, 'bot_' || s || '_' || upper(substr(sha256(r.event_id::VARCHAR), 1, 6)) AS key FROM r JOIN e ON e.event_id = r.event_id AND e.n = 0 LEFT JOIN u ON u.email = r.owner),
+f AS (SELECT *, CASE WHEN c_name IS NULL THEN 'Owner not found' WHEN trim(name) = '' THEN 'bot_name is required' WHEN right(key, 1) = '7' THEN 'Failed to create bot: full' END AS error FROM m)
+SELECT event_id AS request_id, error, c_name AS owner_name, CASE WHEN error IS NULL THEN key END AS bot_id, CASE WHEN error IS NULL THEN name END AS bot_name, CASE WHEN error IS NULL THEN 'vector_table_' || key END AS vector_table, CASE WHEN error IS NULL THEN owner END AS member, CASE WHEN error IS NULL THEN 'semantic' END AS kb_search_method FROM f"""
+)
+def create_bots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events ask for bots of customers; tables whose names end in 7 cannot be opened."""
+    events, customer = table(spark, sf_dir, "events"), table(spark, sf_dir, "customer")
+    mail = lambda c: F.concat(F.lit("user"), F.col(c).cast("string"), F.lit("@example.com"))
+    users = customer.select(mail("c_custkey").alias("email"), "c_name")
+    name = F.when(F.col("event_id") % 11 == 0, " ").otherwise(F.concat_ws(" ", "event_type", F.col("event_id").cast("string")))
+    asked = events.select(F.col("event_id").alias("request_id"), name.alias("bot_name"), F.lit(None).cast("string").alias("bot_desc"), mail("user_id").alias("owner"), "ts")
+    made = created_bots(asked, users, F.unix_millis(F.col("ts").cast("timestamp")), lambda names: ["full" if n.endswith("7") else None for n in names])
+    return made.select("request_id", "error", F.col("owner.c_name").alias("owner_name"), "bot_id", "bot_name", "vector_table", F.col("bot_users.users")[0].alias("member"), "kb_search_method")
+
+
 @query(f"WITH {CUSTOMERS} SELECT 'all' AS kind, count(*) AS customers FROM customers UNION ALL SELECT 'one', count(*) FROM customers WHERE list_contains(users, '3-MEDIUM')")
 def optional_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Without a value the filter leaves all rows, with one those that hold it."""

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators import analysis, context, ingest, models, search, tables, tools
+from quarry.operators import analysis, bots, context, ingest, models, search, tables, tools
 from quarry.sources.store import CATALOGUE, ChunkStore
 from quarry.sources.landing import extracted_text, landed_files, split_by_support
 
@@ -229,6 +229,25 @@ def test_tool_answers(spark):
     assert got[2]["error"] == "Missing required: from" and got[2]["answer"] is None and got[3]["error"] == "No response from the model"
 
 
+def test_created_bots(spark):
+    users = spark.createDataFrame([("a@x.org", "Ann"), ("b@x.org", "Bo"), ("b@x.org", "Bob")], "email string, name string")
+    asked = spark.createDataFrame([(1, " One ", None, "a@x.org"), (2, "Two", "d", "z@x.org"), (3, "\u3000", None, "b@x.org"), (4, "Four", None, "b@x.org"), (5, "Five", None, None)], "request_id long, bot_name string, bot_desc string, owner string")
+    got = {r["request_id"]: r for r in bots.created_bots(asked, users, F.lit(36).cast("long")).collect()}
+    assert [got[k]["error"] for k in range(1, 6)] == [None, bots.NO_OWNER, bots.NO_NAME, None, bots.NO_OWNER]
+    assert got[1]["bot_name"] == "One" and got[1]["bot_id"].startswith("bot_10_") and got[1]["vector_table"] == "vector_table_" + got[1]["bot_id"] and got[1]["bot_users"]["users"] == ["a@x.org"]
+    assert got[4]["owner"]["name"] == "Bo" and got[2]["bot_id"] is None and got[1]["is_active"] is True
+
+    def down(names):
+        raise RuntimeError("down")
+
+    failed = bots.created_bots(asked, users, F.lit(36).cast("long"), down)
+    assert rows(failed.where("bot_id IS NOT NULL")) == [] and failed.where(F.col("error").startswith(bots.FAILED)).count() == 2
+    chats = spark.createDataFrame([(1, "q", "say"), (2, "q", " "), (3, "q", None), (4, "q", "tell")], "query_id long, question string, prompt string")
+    found = spark.createDataFrame([(1, "ctx"), (2, "ctx")], "query_id long, context string")
+    made = {r["query_id"]: r for r in context.chat_prompts(chats, found).collect()}
+    assert "ctx" in made[1]["sent"] and "say" in made[1]["sent"] and made[2]["error"] == made[3]["error"] == "Prompt is required" and made[4]["said"] == context.NOTHING_FOUND
+
+
 def test_analysis(spark):
     docs = spark.createDataFrame([(1, "red fox"), (2, "red red hen"), (3, "blue")], "doc_id long, text string")
     asked = spark.createDataFrame([(1, "fox red")], "query_id long, question string")
