@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import clean_text, extension, fixed_chunks, recursive_chunks
 from quarry.functions.vectors import DIMENSIONS, hashing_counts
-from quarry.operators import ingest
+from quarry.operators import ingest, versions
 from quarry.operators.models import expanded, generated, split_errors
 from quarry.operators.context import last_turns
 from quarry.plans.registry import query
@@ -187,6 +187,37 @@ def forget_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.join(store.catalogue().select("bot_id", "file_name").hint("merge"), ["bot_id", "file_name"], "left_semi")
 
 
+WORD_SQL = r"[^ \t\r\n]+[ \t\r\n]*|^[ \t\r\n]+"
+
+
+def versions_sql(name: str, text: str) -> str:
+    """CTE of the content-defined chunks of a text."""
+    return f"""{name}_w AS (SELECT doc_id, regexp_extract_all({text}, '{WORD_SQL}') AS w FROM documents),
+{name}_e AS (SELECT doc_id, w, list_filter(range(1, len(w) + 1), lambda i: i = len(w) OR ('0x' || substr(md5(array_to_string(w[greatest(i - 2, 1):i], '')), 1, 8))::BIGINT % 48 = 0) AS e FROM {name}_w),
+{name}_s AS (SELECT doc_id, w, unnest(list_zip(list_prepend(0, e[1:len(e) - 1]), e)) AS s FROM {name}_e WHERE len(w) > 0),
+{name}_p AS (SELECT doc_id, w, s[2] AS b, unnest(range(s[1], s[2], 256)) AS a FROM {name}_s),
+{name} AS (SELECT doc_id, hash, row_number() OVER (PARTITION BY doc_id, hash) AS turn FROM (SELECT doc_id, sha256(array_to_string(w[a + 1:least(a + 256, b)], '')) AS hash FROM {name}_p))"""
+
+
+#: The second version of every third file: something put in after 200 characters; of every seventh, its end cut off.
+CHANGED_SQL = "CASE WHEN doc_id % 3 = 0 THEN substr(text, 1, 200) || ' a few words put in ' || substr(text, 201) WHEN doc_id % 7 = 0 THEN substr(text, 1, greatest(length(text) - 300, 0)) ELSE text END"
+
+
+@query(
+    f"WITH {versions_sql('o', 'text')}, {versions_sql('n', CHANGED_SQL)} SELECT doc_id, count(*) FILTER (o.turn IS NOT NULL AND n.turn IS NOT NULL) AS kept, count(*) FILTER (o.turn IS NULL) AS new, count(*) FILTER (n.turn IS NULL) AS gone FROM o FULL JOIN n USING (doc_id, hash, turn) GROUP BY doc_id"
+)
+def file_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks that a second version of each file keeps, adds and loses."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    text = F.col("text")
+    put_in = F.concat(F.substring(text, 1, 200), F.lit(" a few words put in "), F.expr("substring(text, 201)"))
+    cut = F.expr("substring(text, 1, greatest(length(text) - 300, 0))")
+    later = docs.withColumn("text", F.when(F.col("doc_id") % 3 == 0, put_in).when(F.col("doc_id") % 7 == 0, cut).otherwise(text))
+    both = versions.aligned(versions.version_chunks(docs, ["doc_id"]), versions.version_chunks(later, ["doc_id"]), ["doc_id"])
+    count = lambda status: F.count_if(F.col("status") == status).alias(status)
+    return both.groupBy("doc_id").agg(count("kept"), count("new"), count("gone"))
+
+
 @query(f"SELECT doc_id, NOT regexp_matches(text, '[^{SPACE[1:-2]}]') AS empty FROM documents")
 def reject_empty_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files without any text are rejected."""

@@ -70,6 +70,11 @@ class ChunkStore:
         """Hides what the bots stored under these names: (bot_id, file_name, seq)."""
         self._write(files.select("bot_id", "file_name", F.col("seq").cast("long").alias("seq")), "tombstones")
 
+    def replace_files(self, rows: DataFrame, timestamp: str, seq: int) -> DataFrame:
+        """Appends chunks as ``append_chunks`` does, in place of all that the bots stored under these names before ``seq``."""
+        self.forget_files(rows.select("bot_id", "file_name").distinct().withColumn("seq", F.lit(seq - 1)))
+        return self.append_chunks(rows, timestamp, F.lit(seq))
+
     def drop_bots(self, bots: DataFrame) -> None:
         """Hides all that these bots stored: (bot_id, seq)."""
         self._write(bots.select("bot_id", F.lit(None).cast("string").alias("file_name"), F.col("seq").cast("long").alias("seq")), "tombstones")
