@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.vectors import cosine_distance, l2_normalize
-from quarry.operators import analysis, context, search
+from quarry.operators import analysis, context, rollups, search
 from quarry.operators import neighbour_graph as graphs
 from quarry.operators.models import answered, extractive_answers, tool_answers
 from quarry.operators.sparse_index import SparseIndex
@@ -315,6 +315,18 @@ def usage_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analysis.usage(table(spark, sf_dir, "events"))
 
 
+@query("SELECT event_type AS kind, count(*) AS calls, round(avg(value), 4) AS mean, round(max(value), 4) AS most, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 2) AS seconds, TRUE AS users_near, TRUE AS median_near FROM events GROUP BY event_type")
+def usage_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Usage from hourly sketches, merged to days and then to all time, and whether the estimates are near:
+    distinct users within a twentieth, the median within three hundredths of the ranks."""
+    events = table(spark, sf_dir, "events")
+    read = stored(rollups.read_off(rollups.merged(rollups.merged(rollups.rollup(events), "1 day"))), "usage")
+    own = events.select(F.col("event_type").alias("kind"), "user_id", "value")
+    exact = own.join(read.select("kind", "quantile").hint("merge"), "kind").groupBy("kind").agg(F.count_distinct("user_id").alias("exact"), F.avg((F.col("value") <= F.col("quantile")).cast("int")).alias("below"))
+    both = read.join(exact.hint("merge"), "kind")
+    return both.select("kind", "calls", F.round("mean", 4).alias("mean"), F.round("most", 4).alias("most"), "seconds", (F.abs(F.col("users") - F.col("exact")) <= 0.05 * F.col("exact")).alias("users_near"), F.col("below").between(0.47, 0.53).alias("median_near"))
+
+
 def page_sql() -> str:
     out = "regexp_replace(html, '(?is)<!--.*?-->', '', 'g')"
     for tag in ("script", "style", "nav", "head"):

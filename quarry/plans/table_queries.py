@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from quarry.operators import tables
 from quarry.operators.bots import created_bots
+from quarry.operators.pages import PageIndex
 from quarry.plans.registry import query
 from quarry.plans.scenario import CUSTOMERS, FILES, customers, files, questions, table
+from quarry.sources.scratch import scratch_path
 
 
 @query("SELECT o_custkey, arg_min(o_orderkey, o_orderkey) AS o_orderkey, arg_min(o_orderstatus, o_orderkey) AS o_orderstatus, arg_min(o_totalprice, o_orderkey) AS o_totalprice FROM orders GROUP BY o_custkey")
@@ -52,6 +54,13 @@ def referential_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.select("event_id", "user_id", F.col("owner.c_name").alias("owner_name"), F.lit(True).alias("valid")).union(bad.select("event_id", "user_id", F.lit(None), F.lit(False)))
 
 
+@query("SELECT o_orderkey, o_custkey, o_orderstatus FROM orders ORDER BY o_orderkey LIMIT 7 OFFSET 693")
+def paginate_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hundredth page of seven orders, from the part of the index that it lies in."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    return PageIndex.build(rows, scratch_path(spark, "page-index"), ["o_orderkey"], part=200).page(100, 7)
+
+
 @query("SELECT o_orderkey, o_custkey, o_orderstatus FROM orders ORDER BY o_orderkey LIMIT 50 OFFSET 100")
 def paginate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The third page of 50 orders."""
