@@ -45,7 +45,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     The first of equal chunks, by doc_id and then by place, stays; a null id comes first.
     A null text is one empty line. Rows that repeat an id and a text are treated alike:
-    neither removes the other's chunks. Single-line chunks are never removed.
+    neither removes the other's chunks. Single-line chunks are never removed. An empty table
+    gives no rows; other columns are not read. A text is held whole as an array of its lines.
     """
     chunks = chunked(docs, id_col, text_col)
     gone = repeated_chunks(chunks, key_bits).groupBy("doc_id", "row").agg(F.collect_set(F.struct("no", "n_lines")).alias("found"))

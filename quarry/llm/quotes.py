@@ -92,7 +92,8 @@ def reply_ordered(messages: DataFrame, **columns: str) -> DataFrame:
     conv_id, thread, turn the messages stand in reply order, as a reply's turn is larger
     than what it replies to. A message without a linked quote begins a thread. A null text
     is empty; a message with a null conv_id or turn begins a thread of its own. Messages
-    that repeat a conv_id and turn are reported each and share their links.
+    that repeat a conv_id and turn are reported each and share their links. An empty table
+    gives no rows; a text is held whole as an array of its lines.
     """
     said = parsed(messages, **columns)
     links = linked(said)

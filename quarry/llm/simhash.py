@@ -135,7 +135,8 @@ def near_duplicates(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text
     Fingerprints link at two or fewer differing bits; a component's id is its smallest
     doc_id. A null text is empty; a text without words has fingerprint zero. A row with
     a null id gets its component, but never names one unless all ids of it are null.
-    Rows of equal ids are reported each.
+    Rows of equal ids are reported each. An empty table gives no rows; other columns are not
+    read. A text is held whole with its words, one at a time.
     """
     prints = stored(fingerprints(docs, size, id_col, text_col), "fingerprints")
     distinct = stored(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")

@@ -255,7 +255,8 @@ def substring_dedup(docs: DataFrame, digest: bool = False, window: int = WINDOW,
     """(doc_id, n_words, n_removed, text) of every row; with ``digest`` text is the SHA-256 of the text.
 
     Null texts have no words. Rows with a null id lose no words and take none from others.
-    Rows that repeat an id count as one document: none removes another's words.
+    Rows that repeat an id count as one document: none removes another's words. An empty table
+    gives no rows; other columns are not read.
     """
     rows = id_and_text(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("row"), "text")
     gone = repeated_windows(rows, window, k, group, least_group)

@@ -120,7 +120,8 @@ COUNTED_ARROW = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_
 def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Bytes and tokens of every whole text; one row per row of ``docs``, nothing is shuffled.
 
-    A null text is empty: no bytes, no tokens. Null ids and repeated rows pass through.
+    A null text is empty: no bytes, no tokens. Null ids and repeated rows pass through. An empty
+    table gives no rows; other columns are not read. A text is held whole with its pieces.
     """
 
     ship_file(docs.sparkSession, tokenizer_path)

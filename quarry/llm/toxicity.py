@@ -230,7 +230,7 @@ def remainder() -> F.Column:
 
 
 def scores(rows: DataFrame, model: ToxicityModel, carried: list[str]) -> DataFrame:
-    """(score, *carried) of (text, *carried); nothing is shuffled."""
+    """(score, *carried) of (text, *carried); nothing is shuffled, an empty table gives no rows, a text is held whole."""
     if model.trees is None:
         return rows.select(F.lit(float(model.prior)).alias("score"), *carried)
     ready = featured(rows, [model.weights], carried).withColumn("vector", array_to_vector("features"))

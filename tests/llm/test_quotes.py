@@ -1,6 +1,6 @@
 import duckdb
 
-from quarry.llm.quotes import SQL, conversations, parsed, reply_ordered
+from quarry.llm.quotes import SQL, conversations, parsed, reply_ordered, with_quotes
 
 ROWS = [
     (1, 0, "user", "Hello there\nHow are you?"),
@@ -55,3 +55,8 @@ def test_levels(spark):
     one = parsed(spark.createDataFrame([(1, 1, "user", "a\n> > b\n>c\n >d\ne")], "conv_id long, turn long, role string, text string")).first()
     assert one["body"] == "a\ne"
     assert [(p["level"], p["text"]) for p in one["passages"]] == [(2, "b"), (1, "c\nd")]
+
+
+def test_threads_of_an_empty_table(spark):
+    none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert with_quotes(none).count() == 0 == conversations(reply_ordered(with_quotes(none))).count()
