@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.vectors import cosine_distance, l2_normalize
-from quarry.operators import analysis, context, rollups, search
+from quarry.operators import analysis, context, rollups, search, webpages
 from quarry.operators import neighbour_graph as graphs
 from quarry.operators.models import answered, extractive_answers, tool_answers
 from quarry.operators.sparse_index import SparseIndex
 from quarry.operators.vector_index import VectorIndex
 from quarry.plans.registry import query
-from quarry.plans.scenario import BOT_OF, HITS, cleaned, files, hits, questions, table, trimmed
+from quarry.plans.scenario import BOT_OF, HITS, SPACE, cleaned, files, hits, questions, table, trimmed
 from quarry.plans.tool_queries import TOOLS_SQL, tools
 from quarry.sources.scratch import scratch_path, stored
 
@@ -343,6 +343,30 @@ def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", analysis.page_text(F.col("html")).alias("text"))
 
 
+def entities_sql(column: str) -> str:
+    for entity, character in analysis.ENTITIES:
+        quoted = character.replace("'", "''")
+        column = f"replace({column}, '{entity}', '{quoted}')"
+    return column
+
+
+TITLE_SQL = entities_sql(r"regexp_replace(regexp_extract(html, '(?is)<title\b[^>]*>(.*?)</title\s*>', 1), '<[^>]*>', '', 'g')")
+
+
+@query(
+    rf"SELECT page_id, nullif(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(?:www\.)?([^/?#:]+)', 1), '') AS host, nullif({trimmed(f"regexp_replace({TITLE_SQL}, '{SPACE}', ' ', 'g')")}, '') AS title, "
+    rf"""lower(nullif(regexp_extract(html, '(?is)<html\b[^>]*?\blang\s*=\s*["'']([^"'']*)["'']', 1), '')) AS language FROM pages"""
+)
+def page_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webpages.metadata(table(spark, sf_dir, "pages")).select("page_id", "host", "title", "language")
+
+
+@query()
+def page_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of the pages, without navigation, short lines and blocks that pages of a host share."""
+    return webpages.main_text(table(spark, sf_dir, "pages"))
+
+
 def redact_sql() -> str:
     out, counts = "text", []
     for kind, pattern in analysis.PERSONAL:
