@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.text import uri_component
+from quarry.sources.scratch import stored
 
 PARAMETERS = "map<string,struct<type:string,description:string,required:boolean,in:string,mapTo:string,default:string>>"
 REQUEST_DDL = "id STRING, tool STRING, params MAP<STRING, STRING>, _corrupt_record STRING"
@@ -73,15 +74,25 @@ def detected(questions: DataFrame, tools: DataFrame, least: int = 2) -> DataFram
     """(query_id, bot_id, tool, overlap): the tool whose name and description share most words with a question.
 
     The default stand-in for a model: at least ``least`` words must be shared; ties go to
-    the smaller tool_id. Few tools belong to a bot, so questions meet only their bot's tools'
-    words, by equality.
+    the smaller tool_id. Questions meet only their bot's tools' words, by equality. Tools of
+    a bot with the same words are compared as one, that of the smallest tool_id, and so are
+    questions of which its tools know the same words: what is compared grows with the
+    different sets of words, not with the rows.
     """
-    words = lambda text: F.array_distinct(F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != ""))
-    known = tools.where("enabled").select("bot_id", "tool_id", "name", F.explode(words(F.concat_ws(" ", "name", "description"))).alias("word"))
-    asked = questions.select("query_id", "bot_id", F.explode(words(F.col("question"))).alias("word"))
-    shared = asked.join(known.hint("shuffle_hash"), ["bot_id", "word"]).groupBy("query_id", "bot_id", "tool_id", "name").agg(F.count("*").alias("overlap"))
-    best = shared.where(F.col("overlap") >= least).groupBy("query_id", "bot_id").agg(F.min(F.struct((-F.col("overlap")).alias("less"), "tool_id", "name")).alias("b"))
-    return best.select("query_id", "bot_id", F.col("b.name").alias("tool"), (-F.col("b.less")).alias("overlap"))
+    words = lambda text: F.array_sort(F.array_distinct(F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")))
+    said = tools.where("enabled").select("bot_id", F.struct("tool_id", "name").alias("tool"), words(F.concat_ws(" ", "name", "description")).alias("words"))
+    kinds = stored(said.groupBy("bot_id", "words").agg(F.min("tool").alias("tool")), "tools-by-words")
+    known = kinds.select("bot_id", "tool", F.explode("words").alias("word"))
+    asked = questions.select("query_id", "bot_id", words(F.col("question")).alias("words"))
+    each = stored(asked.select("bot_id", "words").distinct(), "questions-by-words")
+    # both are read from files, whose size Spark knows: small ones are sent, others shuffled
+    held = each.select("bot_id", "words", F.explode("words").alias("word")).join(stored(known.select("bot_id", "word").distinct(), "words-of-tools"), ["bot_id", "word"])
+    held = stored(held.groupBy("bot_id", "words").agg(F.array_sort(F.collect_list("word")).alias("held")).where(F.size("held") >= least), "words-held")
+    some = held.select("bot_id", "held").distinct().withColumn("word", F.explode("held"))
+    shared = some.join(known.hint("shuffle_hash"), ["bot_id", "word"]).groupBy("bot_id", "held", "tool").agg(F.count("*").alias("overlap"))
+    best = shared.where(F.col("overlap") >= least).groupBy("bot_id", "held").agg(F.min(F.struct((-F.col("overlap")).alias("less"), "tool")).alias("b"))
+    found = stored(held.join(best.hint("merge"), ["bot_id", "held"]).select("bot_id", "words", "b"), "tools-found")
+    return asked.join(found, ["bot_id", "words"]).select("query_id", "bot_id", F.col("b.tool.name").alias("tool"), (-F.col("b.less")).alias("overlap"))
 
 
 #: Words in the names of headers that hold secrets.
