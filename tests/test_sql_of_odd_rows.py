@@ -34,3 +34,8 @@ def test_chunk_store_of_chunks_without_plain_text(spark, tables):
     """Chunks that are empty once cleaned have no vector and are not stored."""
     got = sorted((tuple(r) for r in ingest_queries.chunk_store(spark, str(tables)).collect()), key=str)
     assert got == by_sql(tables, "chunk_store") and any(r[1] == 0 and "é" in r[5] for r in got)
+
+
+def test_forget_file_of_chunks_without_plain_text(spark, tables):
+    got = sorted((tuple(r) for r in ingest_queries.forget_file(spark, str(tables)).collect()), key=str)
+    assert got == by_sql(tables, "forget_file") and ("src0", "doc3.pptx") in {r[:2] for r in got}
