@@ -39,3 +39,9 @@ def test_chunk_store_of_chunks_without_plain_text(spark, tables):
 def test_forget_file_of_chunks_without_plain_text(spark, tables):
     got = sorted((tuple(r) for r in ingest_queries.forget_file(spark, str(tables)).collect()), key=str)
     assert got == by_sql(tables, "forget_file") and ("src0", "doc3.pptx") in {r[:2] for r in got}
+
+
+def test_l2_normalize_keeps_the_sign_of_zero(spark, tables):
+    bits = lambda rows: [(k, [struct.pack("d", x) for x in unit]) for k, unit in rows]
+    got = sorted((r["vec_id"], r["unit"]) for r in search_queries.unit_vectors(spark, str(tables)).collect())
+    assert bits(got) == bits(by_sql(tables, "l2_normalize"))
