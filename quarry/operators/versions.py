@@ -7,8 +7,13 @@ version holds keeps its vector, wherever in the file it stands now.
 
 from __future__ import annotations
 
+import re
+from hashlib import md5
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from quarry.functions.text import has_text
 from quarry.operators.ingest import Embed, embedded
@@ -18,25 +23,31 @@ from quarry.sources.scratch import stored
 EVERY, SEEN, MOST = 48, 3, 256
 #: Words with the white space that follows them: joined they are the text.
 WORD = r"[^ \t\r\n]+[ \t\r\n]*|^[ \t\r\n]+"
+WORDS = re.compile(WORD)
+
+
+def cut_text(text: str) -> list[str]:
+    words = WORDS.findall(text)
+    ends = (i for i in range(1, len(words) + 1) if i == len(words) or int(md5("".join(words[max(i - SEEN, 0) : i]).encode("utf-8")).hexdigest()[:8], 16) % EVERY == 0)
+    out, start = [], 0
+    for end in ends:
+        out += ["".join(words[i : min(i + MOST, end)]) for i in range(start, end, MOST)]
+        start = end
+    return out
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def cut_texts(text: pd.Series) -> pd.Series:
+    return text.map(cut_text)
 
 
 def content_chunks(text: Column) -> Column:
     """The text cut after words whose last three hash to a multiple of 48, and after 256 words at most.
 
-    The chunks joined are the text; a null or empty text has none.
+    The chunks joined are the text; a null or empty text has none. One pass over the words:
+    as a column expression each slice would copy all words of the text.
     """
-    words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({WORD})"), 1)
-    return F.get(F.transform(F.array(words), cut_words), 0)  # the words are made once and bound to a name
-
-
-def cut_words(words: Column) -> Column:
-    last = lambda i: F.conv(F.substring(F.md5(F.array_join(F.slice(words, F.greatest(i - SEEN + 1, F.lit(1)), F.least(i, F.lit(SEEN))), "").cast("binary")), 1, 8), 16, 10).cast("long")
-    places = F.when(F.size(words) > 0, F.sequence(F.lit(1), F.size(words))).otherwise(F.array().cast("array<int>"))
-    edges = F.filter(places, lambda i: (i == F.size(words)) | (F.pmod(last(i), F.lit(EVERY)) == 0))
-    starts = F.concat(F.array(F.lit(0)), edges)
-    spans = F.zip_with(F.slice(starts, 1, F.size(edges)), edges, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    parts = F.transform(spans, lambda s: F.transform(F.sequence(s["a"], s["b"] - 1, F.lit(MOST)), lambda i: F.array_join(F.slice(words, i + 1, F.least(F.lit(MOST), s["b"] - i)), "")))
-    return F.flatten(parts)
+    return cut_texts(F.coalesce(text, F.lit("")))
 
 
 def version_chunks(files: DataFrame, keys: list[str], text: str = "text") -> DataFrame:

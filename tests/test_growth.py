@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import functions as F
 
-from quarry.operators import tools
+from quarry.operators import tools, versions
 
 
 def shuffled_rows(spark, run):
@@ -30,3 +32,12 @@ def test_detected_copies(spark):
     work, rows = shuffled_rows(spark, lambda: tools.detected(asked, known))
     assert {(r["tool"], r["overlap"]) for r in rows if r["query_id"] < 2} == {("blue_ring", 2)} and {(r["tool"], r["overlap"]) for r in rows if r["query_id"] > 1} == {("red_bolt", 3)}
     assert len(rows) == n and work < 10 * n
+
+
+def test_long_texts_are_cut_in_one_pass(spark):
+    """Slices of all words for each word would take minutes."""
+    text = " ".join(f"w{i * 7919 % 10007}" for i in range(150_000))
+    began = time.time()
+    chunks = spark.createDataFrame([(1, text), (2, None)], "doc_id int, text string").select(versions.content_chunks(F.col("text")).alias("c")).orderBy(F.size("c")).collect()
+    assert chunks[0]["c"] == [] and "".join(chunks[1]["c"]) == text and len(chunks[1]["c"]) > 2000
+    assert time.time() - began < 40
