@@ -21,13 +21,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from quarry.functions.vectors import cosine_distance, l2_normalize
-from quarry.operators.search import TOP, ivf_cells, matrix_of, planned_cells, ranked
+from quarry.operators.search import ROUNDED, TOP, ivf_cells, matrix_of, planned_cells, ranked
 from quarry.sources.scratch import stored
 
 #: Vectors that centres and codebooks are fitted on at most, words of a codebook, and dimensions of a subspace.
 SAMPLE, WORDS, WIDTH = 20_000, 256, 4
 #: Vectors of a packed row of codes, and questions of a packed row of probes.
 PACKED, ASKED = 4096, 128
+#: Candidates that a task holds before it leaves out those that are no longer among the best.
+HELD = 2_000_000
 CODES = "slice bigint, ids binary, codes binary, n int, cell int"
 VECTORS = "id bigint, embedding array<float>, cell int"
 CENTRES = "cell int, centre array<double>"
@@ -234,8 +236,20 @@ def exact(asked: str, column: str) -> Column:
     return cosine_distance(F.col(asked), F.col(column))
 
 
+def best_of(q: np.ndarray, ids: np.ndarray, cells: np.ndarray, far: np.ndarray, refine: int) -> tuple[np.ndarray, ...]:
+    """The rows of the ``refine`` nearest of each question, ties by id."""
+    order = np.lexsort((ids, np.round(far, ROUNDED), q))
+    q = q[order]
+    start = np.r_[True, q[1:] != q[:-1]][: len(q)]
+    turn = np.arange(len(q)) - np.maximum.accumulate(np.where(start, np.arange(len(q)), 0))
+    order = order[turn < refine]
+    return q[turn < refine], ids[order], cells[order], far[order]
+
+
 def scored(batches: Iterator[pa.RecordBatch], quantiser: Quantiser, refine: int) -> Iterator[pa.RecordBatch]:
-    """The best by table of each unit, at most ``refine`` a question."""
+    """The best by table of all units of a task, at most ``refine`` a question."""
+    held: list[tuple[np.ndarray, ...]] = []
+    size, most = 0, HELD
     for batch in batches:
         for cell, ids, codes, asked in zip(*(batch.column(n).to_pylist() for n in ("cell", "ids", "codes", "asked"))):
             names = np.array([a["q"] for a in asked], np.int64)
@@ -250,4 +264,13 @@ def scored(batches: Iterator[pa.RecordBatch], quantiser: Quantiser, refine: int)
                 far, own = np.take_along_axis(far, at, axis=1), ids[at]
             else:
                 own = np.broadcast_to(ids, far.shape)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, far.shape[1])), pa.array(own.ravel()), pa.array(np.full(far.size, cell), pa.int32()), pa.array(far.ravel())], names=["q", "id", "cell", "distance"])
+            held.append((np.repeat(names, far.shape[1]), own.ravel(), np.full(far.size, cell, np.int32), far.ravel()))
+            size += far.size
+            if size > most:
+                held = [best_of(*(np.concatenate(x) for x in zip(*held)), refine)]
+                size = len(held[0][0])
+                most = max(HELD, 2 * size)
+    if held:
+        q, ids, cells, far = best_of(*(np.concatenate(x) for x in zip(*held)), refine)
+        for at in range(0, len(q), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 50_000]) for x in (q, ids, cells, far)], names=["q", "id", "cell", "distance"])
