@@ -42,3 +42,26 @@ def test_few_vectors(spark):
     assert g.neighbour_graph(spark.createDataFrame([(1, [1.0, 0.0]), (2, None)], ddl)).count() == 0
     odd = spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, [1.0, 0.0])], ddl)
     assert sorted((r["a"], r["b"], r["rank"]) for r in g.neighbour_graph(odd, k=1).collect()) == [(1, 3, 1), (2, 1, 1), (3, 1, 1)]
+
+
+def test_exact_graph(spark):
+    """Unclustered vectors, of which descent finds too few, and many copies: every edge is the exact one, whatever the tiles."""
+    rng = np.random.default_rng(5)
+    rows = rng.normal(size=(1500, 48)).astype(np.float32)
+    rows[100:160] = rows[100]
+    rows[7] = 0
+    unit = rows.astype(np.float64) / np.maximum(np.linalg.norm(rows.astype(np.float64), axis=1, keepdims=True), 1e-30)
+    far = np.round(1 - unit @ unit.T, 9)
+    np.fill_diagonal(far, np.inf)
+    want = {(a, int(b), rank) for a in range(1500) for rank, b in enumerate(np.lexsort((np.arange(1500), far[a]))[:10], 1)}
+    base = spark.createDataFrame([(k, rows[k].tolist()) for k in range(1500)], "vec_id long, embedding array<double>")
+    for tile in (None, 400):
+        assert {(r["a"], r["b"], r["rank"]) for r in g.exact_graph(base, tile=tile).collect()} == want
+
+
+def test_exact_graph_of_few(spark):
+    ddl = "vec_id long, embedding array<double>"
+    assert g.exact_graph(spark.createDataFrame([], ddl)).count() == 0
+    assert g.exact_graph(spark.createDataFrame([(1, [1.0, 0.0]), (2, None)], ddl)).count() == 0
+    odd = spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, [1.0, 0.0])], ddl)
+    assert sorted((r["a"], r["b"], r["rank"]) for r in g.exact_graph(odd, k=1).collect()) == [(1, 3, 1), (2, 1, 1), (3, 1, 1)]
