@@ -6,7 +6,8 @@ import time
 
 from pyspark.sql import functions as F
 
-from quarry.operators import tools, versions
+from quarry.functions.text import WEB_SPACE, clean_text
+from quarry.operators import analysis, tools, versions
 
 
 def shuffled_rows(spark, run):
@@ -41,3 +42,29 @@ def test_long_texts_are_cut_in_one_pass(spark):
     chunks = spark.createDataFrame([(1, text), (2, None)], "doc_id int, text string").select(versions.content_chunks(F.col("text")).alias("c")).orderBy(F.size("c")).collect()
     assert chunks[0]["c"] == [] and "".join(chunks[1]["c"]) == text and len(chunks[1]["c"]) > 2000
     assert time.time() - began < 40
+
+
+def test_passages_in_long_texts(spark):
+    """Runs of words made anew for each word would take minutes."""
+    text = " ".join(f"w{i * 7919 % 10007}" for i in range(100_000))
+    docs = spark.createDataFrame([(1, text), (2, None)], "doc_id int, text string")
+    asked = spark.createDataFrame([(1, text[5000:5300]), (2, text[70_000:70_020] + " not there"), (3, text[-40:])], "query_id int, question string")
+    began = time.time()
+    assert sorted(map(tuple, analysis.containing(docs, asked).collect())) == [(1, 1), (3, 1)]
+    assert time.time() - began < 20
+
+
+def test_cleaning_takes_few_times_what_white_space_takes(spark):
+    """Ranges in the class of what is removed took more than ten times as long as white space."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text").limit(4000).repartition(4).cache()
+    docs.count()
+
+    def seconds(column):
+        took = []
+        for _ in range(2):
+            began = time.time()
+            docs.select(F.sum(F.length(column))).collect()
+            took.append(time.time() - began)
+        return min(took)
+
+    assert seconds(clean_text(F.col("text"))) < 5 * seconds(F.regexp_replace("text", WEB_SPACE, " ")) + 0.5
