@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import time
+import tracemalloc
 
 from pyspark.sql import functions as F
 
+from quarry.functions import vectors
 from quarry.functions.text import NOT_PLAIN
 from quarry.operators import analysis, tools, versions
+from quarry.plans import ingest_queries
 
 
 def shuffled_rows(spark, run):
@@ -60,3 +63,21 @@ def test_cleaning_looks_characters_up(spark):
     text = "".join(map(chr, range(0x250))) + "\u2028\ufeff\U0001f600"
     frame = spark.createDataFrame([(text,)], "text string")
     assert frame.select(F.regexp_replace("text", NOT_PLAIN, "") == F.regexp_replace("text", "[^A-Za-z0-9_ .-]", "")).first()[0]
+
+
+def test_hashing_holds_few_words_at_a_time():
+    texts = ["some words of a text that is repeated " * 100] * 4000 + [None, ""]
+    vectors.hashed_counts(texts[:1])
+    tracemalloc.start()
+    counts = vectors.hashed_counts(texts)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert counts.sum() == 4000 * 800 and (counts[0] == counts[3999]).all() and not counts[4000:].any()
+    assert vectors.hashed_counts([]).shape == (0, 64)
+    assert most < 40_000_000
+
+
+def test_texts_are_hashed_once(spark):
+    """A filter on the counts was pushed below the function that makes them."""
+    plan = ingest_queries.embed_hashing(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
