@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-#: Rows of a part, about.
-PART = 1_000_000
+#: Rows of a part, about, and parts that a table has at most before they grow to that size.
+PART, PARTS = 1_000_000, 64
 
 
 @dataclass(frozen=True)
@@ -24,8 +24,13 @@ class PageIndex:
 
     @classmethod
     def build(cls, rows: DataFrame, folder: str, key: Sequence[str], part: int = PART) -> PageIndex:
-        """Sorts ``rows`` by ``key`` once. A key that tells all rows apart makes pages that never overlap; a null comes first."""
-        parts = max(1, -(-rows.count() // part))
+        """Sorts ``rows`` by ``key`` once. A key that tells all rows apart makes pages that never overlap; a null comes first.
+
+        Parts smaller than PART have ``part`` rows while they are PARTS at most; then they grow before
+        they multiply, as each is a task and a folder.
+        """
+        n = rows.count()
+        parts = max(1, min(-(-n // part), max(PARTS, -(-n // PART))))
         ranged = rows.repartitionByRange(parts, *key).sortWithinPartitions(*key).withColumn("__part", F.spark_partition_id())
         ranged.write.partitionBy("__part").parquet(f"{folder}/rows")
         written = rows.sparkSession.read.schema(ranged.schema).parquet(f"{folder}/rows")

@@ -22,6 +22,13 @@ def test_pages(spark, tmp_path):
     assert none.page(1, 10).count() == 0
 
 
+def test_parts_grow_before_they_multiply(spark, tmp_path):
+    """Each part is a task and a folder."""
+    index = PageIndex.build(spark.range(5000).withColumnRenamed("id", "k"), str(tmp_path / "index"), ["k"], part=5)
+    assert spark.read.parquet(f"{index.folder}/counts").count() <= 64
+    assert [r["k"] for r in index.page(100, 7).collect()] == list(range(693, 700))
+
+
 def test_rollups_merge(spark):
     rng = random.Random(5)
     start = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
