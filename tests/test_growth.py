@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from quarry.functions import vectors
 from quarry.functions.text import NOT_PLAIN
 from quarry.operators import analysis, tools, versions
-from quarry.plans import ingest_queries
+from quarry.plans import ingest_queries, scenario
+from quarry.sources.scratch import stored
 
 
 def shuffled_rows(spark, run):
@@ -81,3 +82,11 @@ def test_texts_are_hashed_once(spark):
     """A filter on the counts was pushed below the function that makes them."""
     plan = ingest_queries.embed_hashing(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
+
+
+def test_chunks_are_written_to_the_store_alone(spark, monkeypatch):
+    """Chunks with their vectors were written once more before they were stored."""
+    written = []
+    monkeypatch.setattr(scenario, "stored", lambda rows, name: written.append(name) or stored(rows, name))
+    monkeypatch.setattr(scenario, "_filled", {})
+    assert scenario.searchable(spark, "/root/testdata/sf0.001").count() > 0 and not written
