@@ -16,13 +16,10 @@ which leaves out texts and pairs that cannot be similar enough. Buckets do not b
    most with others;
 2. members are checked against the leaders of all their buckets, where the components that
    the links found so far make differ;
-3. in small buckets members outside the largest component are checked against all others;
-   in large ones some of them lead in turn, round after round, until a round finds nothing
-   new or all have led;
-4. what the rounds leave of large buckets is checked in blocks: every member outside the
-   bucket's largest component against every member of it that is not in its own component.
-   Tasks compare a block with a block and hand on a link for each text and component, so
-   that no pairs are made and none is left out.
+3. what then is left of buckets of several components is checked in blocks: every member
+   outside the bucket's largest component against every member of it that is not in its own
+   component. Tasks compare a block with a block and hand on a link for each text and
+   component, so that no pairs are made and none is left out.
 """
 
 from __future__ import annotations
@@ -43,8 +40,6 @@ from quarry.llm.simhash import bits_of, masks, signed
 SIZE, SIMILARITY, SEED = 5, 0.8, 42
 #: Positions of a sketch, differing positions that the masks cover, and sketches.
 POSITIONS, RADIUS, SKETCHES = 16, 3, 3
-#: Members of a bucket that are checked with each other, and leaders a round in larger buckets.
-SMALL, LEADERS = 32, 4
 #: Shingles of a block of members in the last step.
 BLOCK = 400_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -231,38 +226,24 @@ def node_components(rows: DataFrame, nodes: DataFrame, size: int, similarity: fl
     most = F.least("core", "lead.core")  # that the two can share
     able = (F.col("c") != F.col("lead.c")) & (most >= similarity * (F.col("n") + F.col("lead.n") - most))
     own = F.struct("core", "n", "node", "c").alias("own")
-    led = tried = None
-    turn = 0
-    while True:
+    tried = None
+    for turn in range(3):
         now = stored(members.join(comp.hint("merge"), "node").select("key", "node", "n", "core", "c"), "members-by-component")
         stats = now.groupBy("key").agg(F.count("*").alias("m"), F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key", "m")
         now = stored(now.join(stored(stats, "split-buckets").hint("merge"), "key"), "split-members")
-        if turn < 2:
-            leaders = now.select("key", "m", own).groupBy("key").agg(F.max("own").alias("lead"), F.max("m").alias("size"))
+        if turn == 2:
+            links = links_of_blocks(now.drop("m"), sets, similarity)
         else:
-            main = now.groupBy("key", "c").agg(F.count("*").alias("k")).groupBy("key").agg(F.max(F.struct("k", "c")).alias("main"))
-            outside = now.join(stored(main, "main-components").hint("merge"), "key").where("c <> main.c").select("key", "m", own)
-            few, many = outside.where(F.col("m") <= SMALL), outside.where(F.col("m") > SMALL)
-            if led is not None:
-                few, many = few.limit(0), many.join(led.hint("merge"), (many["key"] == led["k"]) & (many["own.node"] == led["l"]), "left_anti")
-            many = many.groupBy("key", F.pmod(F.xxhash64("own.node", F.lit(turn)), F.lit(LEADERS)).alias("part")).agg(F.max("own").alias("own"))
-            leaders = few.select("key", F.col("own").alias("lead")).union(many.select("key", F.col("own").alias("lead"))).withColumn("size", F.lit(0))
-        leaders = stored(leaders, "leaders")
-        if leaders.isEmpty():
-            return comp
-        if turn >= 2:
-            newly = leaders.select(F.col("key").alias("k"), F.col("lead.node").alias("l"))
-            led = newly if led is None else led.union(newly)
-        met = now.join(leaders.hint("merge"), "key")
-        if turn == 0:  # the leader of each text's largest bucket
-            met = met.groupBy("node", "n", "core", "c").agg(F.max(F.struct("size", "lead")).alias("best")).select("node", "n", "core", "c", "best.lead")
-        pairs = met.where(able).select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b"))
-        links, tried = checked(pairs, sets, similarity, tried)
-        after = merged(comp, links)
-        if after is None and turn >= 2:  # what the rounds have not met
-            return merged(comp, links_of_blocks(now.where(F.col("m") > SMALL).drop("m"), sets, similarity)) or comp
-        comp = comp if after is None else after
-        turn += 1
+            leaders = stored(now.select("key", "m", own).groupBy("key").agg(F.max("own").alias("lead"), F.max("m").alias("size")), "leaders")
+            if leaders.isEmpty():
+                return comp
+            met = now.join(leaders.hint("merge"), "key")
+            if turn == 0:  # the leader of each text's largest bucket
+                met = met.groupBy("node", "n", "core", "c").agg(F.max(F.struct("size", "lead")).alias("best")).select("node", "n", "core", "c", "best.lead")
+            pairs = met.where(able).select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b"))
+            links, tried = checked(pairs, sets, similarity, tried)
+        comp = merged(comp, links) or comp
+    return comp
 
 
 def near_copies(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

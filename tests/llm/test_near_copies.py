@@ -144,3 +144,23 @@ def test_members_of_a_large_group_meet_in_blocks(spark, monkeypatch):
     for k, s in enumerate(sets):
         assert label.setdefault(group[k], comp[node[s]]) == comp[node[s]]
     assert len(set(label.values())) == len(label) < len(sets)
+
+
+def test_a_large_group_forms_no_pairs(spark, monkeypatch):
+    """Pairs that are checked one by one are those with the leaders of two rounds, however many members stay apart."""
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(300)]
+    base = [rng.choice(words) for _ in range(60)]
+    texts = []
+    for _ in range(120):
+        own = list(base)
+        for _ in range(rng.randrange(1, 5)):
+            own[rng.randrange(60)] = rng.choice(words)
+        texts.append(" ".join(own))
+    asked = []
+    checked = n.checked
+    monkeypatch.setattr(n, "checked", lambda pairs, *rest: asked.append(pairs.count()) or checked(pairs, *rest))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert n.near_copies(docs).count() == len(texts)
+    keys = sum(len(n.bucket_keys(n.shingles(t, 5))) for t in texts)
+    assert len(asked) <= 2 and sum(asked) <= len(texts) + keys, (asked, keys)
