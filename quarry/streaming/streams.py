@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,8 +51,10 @@ SILENCE_MS = 600_000
 class InOrder(StatefulProcessor):
     """Hands on the pieces of one response in order, each once, up to the first that ends it.
 
-    State of a request: the next place and whether it has ended, and the pieces that came
-    before their turn. A timer, moved on by each batch that brings a piece, clears it.
+    State of a request: the next place, whether it has ended, the latest time and how many
+    pieces came before their turn, and these pieces. A timer, moved on by each batch that
+    brings a later piece, clears it. Every call of the state is a round trip to the JVM, so
+    only what is there is read and only what has changed is written.
     """
 
     def __init__(self, first: int, silence_ms: int):
@@ -59,42 +62,44 @@ class InOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.place = handle.getValueState("place", "next bigint, ended boolean, latest bigint")
-        self.early = handle.getMapState("early", "seq bigint", "response string, done boolean")
+        self.place = handle.getValueState("place", "next bigint, ended boolean, latest bigint, waiting int")
+        self.early = handle.getListState("early", "seq bigint, response string, done boolean")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        place, ended, latest = self.place.get() if self.place.exists() else (self.first, False, 0)
+        known = self.place.get()
+        place, ended, latest, waiting = known or (self.first, False, 0, 0)
+        before = latest
         out: list[tuple] = []
-        held = {k[0]: (v[0], v[1]) for k, v in self.early.iterator()}
-        new: dict[int, tuple[str, bool]] = {}
+        held = {seq: (response, done) for seq, response, done in self.early.get()} if waiting else {}
+        kept = set(held)
         for frame in rows:
-            latest = max(latest, int(frame["at"].max()))
+            latest = max(latest, *map(int, frame["at"].tolist()))
             for seq, response, done in zip(frame["seq"].tolist(), frame["response"].tolist(), frame["done"].tolist()):
-                if not ended and seq >= place and seq not in held:  # else it came before
-                    new.setdefault(seq, (response, bool(done)))
-        while not ended and (piece := held.get(place) or new.get(place)):
+                if not ended and seq >= place:  # else it came before
+                    held.setdefault(seq, (response, bool(done)))
+        while not ended and (piece := held.pop(place, None)):
             response, ended = piece
-            if place in held:
-                self.early.removeKey((place,))
-            new.pop(place, None)
             out.append((key[0], place, response, ended, None))
             place += 1
         if ended:
+            held.clear()
+        if held and held.keys() != kept:
+            self.early.put([(seq, *piece) for seq, piece in held.items()])
+        elif kept and not held:
             self.early.clear()
-        else:
-            for seq, piece in new.items():
-                self.early.updateValue((seq,), piece)
-        self.place.update((place, ended, latest))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(latest + self.silence_ms)
+        if known is None or (place, ended, latest, len(held)) != tuple(known):
+            self.place.update((place, ended, latest, len(held)))
+        if known is None or latest != before:
+            if known is not None:
+                self.handle.deleteTimer(before + self.silence_ms)
+            self.handle.registerTimer(latest + self.silence_ms)
         yield frame_of(out)
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        place, ended, _ = self.place.get()
-        held = sum(1 for _ in self.early.keys())
+        place, ended, _, held = self.place.get()
         self.place.clear()
-        self.early.clear()
+        if held:
+            self.early.clear()
         yield frame_of([] if ended else [(key[0], place, None, True, f"No end after {place - self.first} pieces, {held} out of turn")])
 
     def close(self) -> None:
@@ -102,9 +107,9 @@ class InOrder(StatefulProcessor):
 
 
 def frame_of(rows: list[tuple]) -> pd.DataFrame:
-    names = [x.split(" ")[0] for x in ORDERED.split(", ")]
-    out = pd.DataFrame(rows, columns=names).astype({"request": object, "response": object, "error": object})
-    return out.astype({"seq": "int64", "done": "bool"})
+    """The rows of one request; made at once, as there is a frame for each request and batch."""
+    request, seq, response, done, error = zip(*rows) if rows else ((),) * 5
+    return pd.DataFrame({"request": np.array(request, object), "seq": np.array(seq, np.int64), "response": np.array(response, object), "done": np.array(done, bool), "error": np.array(error, object)})
 
 
 def in_order(tokens: DataFrame, request: str = "request_id", seq: str = "seq", at: str = "at", first: int = 0, silence_ms: int = SILENCE_MS) -> DataFrame:

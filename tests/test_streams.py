@@ -62,3 +62,60 @@ def test_rejects(spark, tmp_path):
     streams.split_stream(streams.token_lines(spark, str(tmp_path / "in")), good, bad, str(tmp_path / "state")).awaitTermination()
     assert sorted(str(r["response"]) for r in spark.read.parquet(good).collect()) == ["", "a"]
     assert [(r["line"], r["error"]) for r in spark.read.parquet(bad).collect()] == [("{broken", "Not JSON")]
+
+
+class Counted:
+    """State of one request, and the calls it takes; each is a round trip to the JVM."""
+
+    def __init__(self):
+        self.calls, self.own, self.timers = [], {}, set()
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls.append(name)
+            if name in ("getValueState", "getListState", "getMapState"):
+                return State(self, args[0])
+            if name == "registerTimer":
+                self.timers.add(args[0])
+            elif name == "deleteTimer":
+                self.timers.remove(args[0])
+            return list(self.timers)
+
+        return call
+
+
+class State:
+    def __init__(self, handle, name):
+        self.handle, self.name = handle, name
+
+    def __getattr__(self, call):
+        def run(*args):
+            self.handle.calls.append(f"{self.name}.{call}")
+            own = self.handle.own
+            if call in ("put", "update"):
+                own[self.name] = args[0]
+            elif call == "clear":
+                own.pop(self.name, None)
+            elif call == "updateValue":
+                own.setdefault(self.name, {})[args[0]] = args[1]
+            elif call == "exists":
+                return self.name in own
+            elif call == "iterator":
+                return iter(own.get(self.name, {}).items())
+            return own.get(self.name)
+
+        return run
+
+
+def test_few_calls_of_the_state():
+    """A batch of a request takes six calls at most, whatever waits; one that brings nothing new, two."""
+    handle, order = Counted(), streams.InOrder(0, 1000)
+    order.init(handle)
+    batch = lambda *seqs: [streams.pd.DataFrame({"seq": seqs, "response": ["x"] * len(seqs), "done": [s == 9 for s in seqs], "at": [s * 10 for s in seqs]})]
+    said = []
+    for seqs, most in (((2, 5, 3, 7, 8), 6), ((2, 3), 2), ((0, 9, 1), 6), ((4, 6), 6), ((9,), 2)):
+        handle.calls.clear()
+        said += [s for f in order.handleInputRows(("a",), iter(batch(*seqs)), None) for s in f["seq"].tolist()]
+        assert len(handle.calls) <= most, handle.calls
+        assert len(handle.timers) == 1
+    assert said == list(range(10)) and "early" not in handle.own
