@@ -3,7 +3,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators import analysis
+from quarry.functions.text import clean_text
+from quarry.operators import analysis, sparse_index
 from quarry.operators.sparse_index import SparseIndex
 
 
@@ -47,3 +48,21 @@ def test_string_keys_and_empty_tables(spark, tmp_path):
     assert index.search(asked.limit(0)).count() == 0
     none = SparseIndex.build(docs.limit(0), str(tmp_path / "none"))
     assert none.search(asked).count() == 0
+
+
+def test_words_are_those_of_clean_text(spark):
+    odd = ["", "a#b # c\u00a0D\u2003e\u200bf\ufeffg\u3000h", "\u00e9t\u00e9 caf\u00c9 \x00x\x1fy\u0085z", "\t\n\x0b\f\r", "\u2028a\u2029b_.-\u1680C", *(f"p{chr(c)}q" for c in [*range(0x80, 0x100), *range(0x1FF0, 0x2070)])]
+    rows = spark.createDataFrame(list(enumerate(odd)), "k int, text string").select("text", clean_text(F.col("text")).alias("cleaned"))
+    assert all(sparse_index.plain(r["text"].encode()).decode().split() == r["cleaned"].split() for r in rows.collect())
+
+
+def test_a_word_of_a_block_is_one_row(spark, tmp_path):
+    """Not one for each range of 32 documents; only rows of words that are asked are handed on."""
+    docs = spark.createDataFrame([(k, "same words w%d" % (k % 5)) for k in range(640)], "doc_id long, text string").coalesce(1)
+    index = SparseIndex.build(docs, str(tmp_path / "index"))
+    rows = index.read("postings").where("token = 'same'").selectExpr("size(ranges) AS ranges", "size(keys) AS n").collect()
+    parts = index.read("postings").selectExpr("ranges[0] >> 32 AS part").distinct().count()
+    assert len(rows) == parts and sum(r["n"] for r in rows) == 640 and sum(r["ranges"] for r in rows) >= 20
+    asked = spark.createDataFrame([(1, "w3 w9")], "query_id long, question string")
+    wanted, own = index.wanted(asked, "query_id", "question", None)
+    assert {r["token"] for r in own.select("token").collect()} == {"w3"} and wanted.count() == 1
