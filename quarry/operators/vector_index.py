@@ -3,8 +3,9 @@
 Every vector lies in the cell of its nearest centre. What it differs from the centre by is
 cut into subspaces and each part replaced by the number of the nearest word of that
 subspace's codebook, so that a vector is one byte a subspace. Codes and vectors lie in a
-folder for each cell: a search reads the folders that its questions probe, adds up distances
-from tables, and only the best of those are compared by their own vectors.
+folder for each cell: a search reads the folders that its questions probe, multiplies blocks
+of questions with what the codes stand for, and only the best of those are compared by their
+own vectors.
 
 Centres and codebooks are fitted on a bounded sample; every vector is indexed.
 """
@@ -16,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -26,10 +28,14 @@ from quarry.sources.scratch import stored
 
 #: Vectors that centres and codebooks are fitted on at most, words of a codebook, and dimensions of a subspace.
 SAMPLE, WORDS, WIDTH = 20_000, 256, 4
-#: Vectors of a packed row of codes, and questions of a packed row of probes.
+#: Vectors of a packed row of codes, and questions of a block.
 PACKED, ASKED = 4096, 128
-#: Candidates that a task holds before it leaves out those that are no longer among the best.
-HELD = 2_000_000
+#: Codes of a tile, which a task meets a block of questions with (24 MB of 64 dimensions), and those it multiplies at a time.
+TILE, HELD = 1 << 20, 1 << 16
+#: Questions whose cells are found at a time.
+ROWS = 1024
+#: Squared distance of what is at no distance: beyond all others, as unit vectors are not far apart.
+BEYOND = 1e6
 CODES = "slice bigint, ids binary, codes binary, n int, cell int"
 VECTORS = "id bigint, embedding array<float>, cell int"
 CENTRES = "cell int, centre array<double>"
@@ -44,6 +50,8 @@ def unit(rows: np.ndarray) -> np.ndarray:
 def nearest_of(rows: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray:
     """The n nearest centres of each row, nearest first."""
     far = (centres * centres).sum(axis=1)[None, :] / 2 - rows @ centres.T
+    if n == 1:
+        return far.argmin(axis=1)[:, None]
     return np.argsort(far, axis=1, kind="stable")[:, :n]
 
 
@@ -77,9 +85,9 @@ class Quantiser:
     def codes(self, residuals: np.ndarray) -> np.ndarray:
         return np.stack([nearest_of(part, book, 1)[:, 0] for part, book in zip(self.cut(residuals), self.books)], axis=1).astype(np.uint8)
 
-    def tables(self, residuals: np.ndarray) -> list[np.ndarray]:
-        """Squared distances of each row's parts to all words of their codebooks."""
-        return [((part[:, None, :] - book[None, :, :]) ** 2).sum(axis=2) for part, book in zip(self.cut(residuals), self.books)]
+    def decoded(self, cell: int, codes: np.ndarray) -> np.ndarray:
+        """The vectors that codes of a cell stand for."""
+        return self.centres[cell] + np.concatenate([book[codes[:, part]] for part, book in enumerate(self.books)], axis=1)
 
 
 @dataclass(frozen=True)
@@ -172,27 +180,27 @@ class VectorIndex:
         return Quantiser(centres, books)
 
     def probed(self, queries: DataFrame, probes: int, query: str = "query_id", column: str = "embedding") -> DataFrame:
-        """(q, v, cell, near): the cells each question looks into, those with the nearest centres."""
+        """(q, v, cells): the cells each question looks into, those with the nearest centres."""
         quantiser = self.quantiser()
 
         def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 batch = batch.filter(batch.column("v").is_valid())
-                rows = matrix_of(batch.column("v"))
-                if len(rows) and len(quantiser.centres):
-                    cells = nearest_of(unit(rows), quantiser.centres, probes)
-                    at = np.repeat(np.arange(len(rows)), cells.shape[1])
-                    yield pa.RecordBatch.from_arrays([batch.column("q").take(pa.array(at)), batch.column("v").take(pa.array(at)), pa.array(cells.ravel(), pa.int32())], names=["q", "v", "cell"])
+                for at in range(0, len(batch) if len(quantiser.centres) else 0, ROWS):
+                    some = batch.slice(at, ROWS)
+                    cells = nearest_of(unit(matrix_of(some.column("v"))), quantiser.centres, probes)
+                    ends = pa.array(np.arange(len(some) + 1) * cells.shape[1], pa.int32())
+                    yield pa.RecordBatch.from_arrays([some.column("q"), some.column("v"), pa.ListArray.from_arrays(ends, pa.array(cells.ravel(), pa.int32()))], names=["q", "v", "cells"])
 
         asked = queries.select(F.col(query).cast("long").alias("q"), F.col(column).cast("array<double>").alias("v"))
-        return stored(asked.mapInArrow(near, "q bigint, v array<double>, cell int"), "probes")
+        return stored(asked.mapInArrow(near, "q bigint, v array<double>, cells array<int>"), "probes")
 
     def search(self, queries: DataFrame, k: int = TOP, probes: int | None = None, refine: int | None = None, query: str = "query_id", ident: str = "vec_id", column: str = "embedding") -> DataFrame:
         """(query, id, distance, rank): the k nearest among the ``refine`` best of the probed cells.
 
-        ``probes`` is a tenth of the cells unless given, ``refine`` ten times k. Questions of a cell
-        are packed in rows of at most 128, so that a unit of work is 128 questions by 4,096
-        codes whatever the cell; candidates meet their vectors by id within their cell.
+        ``probes`` is a tenth of the cells unless given, ``refine`` ten times k. A unit of work is a
+        block of some 128 questions by a tile of codes, and hands on ``refine`` candidates a
+        question at most; candidates meet their vectors by id within their cell.
         """
         found = self.candidates(queries, probes, refine or 10 * k, query, column)
         cells = [r["cell"] for r in found.select("cell").distinct().collect()]  # one number a cell at most
@@ -205,14 +213,24 @@ class VectorIndex:
         """(q, id, cell): the ``refine`` vectors of each question whose codes are nearest."""
         quantiser = self.quantiser()
         probed = self.probed(queries, probes or max(1, len(quantiser.centres) // 10), query, column)
-        cells = [r["cell"] for r in probed.select("cell").distinct().collect()]
-        groups = probed.groupBy("cell").agg(F.count("*").alias("__size"))
-        turn = F.pmod(F.xxhash64("q"), F.greatest(F.ceil(F.col("__size") / (ASKED // 2)), F.lit(1)))
-        packed = probed.join(groups.hint("shuffle_hash"), "cell").groupBy("cell", turn.alias("turn")).agg(F.collect_list(F.struct("q", "v")).alias("asked"))
+        near, tiles = self.near(probed, quantiser, refine)
+        return stored((near if tiles == 1 else ranked(near, refine, "q", "id")).select("q", "id", "cell"), "candidates")
+
+    def near(self, probed: DataFrame, quantiser: Quantiser, refine: int) -> tuple[DataFrame, int]:
+        """(q, id, cell, distance) by code, at most ``refine`` a question and tile, and the number of tiles.
+
+        Each block of questions is dealt to each tile: a question's cells meet in one task, however many
+        cells and tasks there are.
+        """
+        cells = [r["cell"] for r in probed.select(F.explode("cells").alias("cell")).distinct().collect()]
         codes = self._read("codes", CODES).where(F.col("cell").isin(cells))
-        units = codes.join(packed.hint("merge"), "cell").select("cell", "ids", "codes", "asked")
-        near = units.mapInArrow(lambda batches: scored(batches, quantiser, refine), "q bigint, id bigint, cell int, distance double")
-        return stored(ranked(near, refine, "q", "id").select("q", "id", "cell"), "candidates")
+        blocks = max(1, -(-probed.count() // ASKED))
+        tiles = max(1, -(-(codes.agg(F.sum("n")).first()[0] or 0) // TILE))
+        number = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        left = probed.select("q", "v", "cells", F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int").alias("block"), number(tiles).alias("tile"))
+        right = codes.select("cell", "ids", "codes", F.pmod(F.xxhash64("cell", "slice"), F.lit(tiles)).cast("int").alias("tile"), number(blocks).alias("block"))
+        found = left.groupBy("block", "tile").cogroup(right.groupBy("block", "tile")).applyInArrow(lambda asked, own: nearest_codes(asked, own, quantiser, refine), "q bigint, id bigint, cell int, distance double")
+        return found, tiles
 
     def visited(self, queries: DataFrame, probes: int | None = None, refine: int = 10 * TOP, query: str = "query_id", column: str = "embedding") -> DataFrame:
         """One row: questions, vectors, and the shares of all pairs that are looked at by code and by
@@ -220,7 +238,7 @@ class VectorIndex:
         quantiser = self.quantiser()
         probed = self.probed(queries, probes or max(1, len(quantiser.centres) // 10), query, column)
         sizes = self._read("codes", CODES).groupBy("cell").agg(F.sum("n").alias("n"))
-        of = probed.join(sizes.hint("shuffle_hash"), "cell").groupBy("q").agg(F.sum("n").alias("coded"))
+        of = probed.select("q", F.explode("cells").alias("cell")).join(sizes.hint("shuffle_hash"), "cell").groupBy("q").agg(F.sum("n").alias("coded"))
         whole = sizes.agg(F.sum("n").alias("vectors"))
         wide = 4.0 * quantiser.centres.shape[1]
         pairs = F.col("questions") * F.col("vectors")
@@ -246,31 +264,52 @@ def best_of(q: np.ndarray, ids: np.ndarray, cells: np.ndarray, far: np.ndarray,
     return q[turn < refine], ids[order], cells[order], far[order]
 
 
-def scored(batches: Iterator[pa.RecordBatch], quantiser: Quantiser, refine: int) -> Iterator[pa.RecordBatch]:
-    """The best by table of all units of a task, at most ``refine`` a question."""
-    held: list[tuple[np.ndarray, ...]] = []
-    size, most = 0, HELD
-    for batch in batches:
-        for cell, ids, codes, asked in zip(*(batch.column(n).to_pylist() for n in ("cell", "ids", "codes", "asked"))):
-            names = np.array([a["q"] for a in asked], np.int64)
-            rest = unit(np.array([a["v"] for a in asked])) - quantiser.centres[cell]
-            ids = np.frombuffer(ids, np.int64)
-            codes = np.frombuffer(codes, np.uint8).reshape(len(ids), -1)
-            far = np.zeros((len(names), len(ids)))
-            for part, table in enumerate(quantiser.tables(rest)):
-                far += table[:, codes[:, part]]
-            if len(ids) > refine:
-                at = np.argpartition(far, refine - 1, axis=1)[:, :refine]
-                far, own = np.take_along_axis(far, at, axis=1), ids[at]
-            else:
-                own = np.broadcast_to(ids, far.shape)
-            held.append((np.repeat(names, far.shape[1]), own.ravel(), np.full(far.size, cell, np.int32), far.ravel()))
-            size += far.size
-            if size > most:
-                held = [best_of(*(np.concatenate(x) for x in zip(*held)), refine)]
-                size = len(held[0][0])
-                most = max(HELD, 2 * size)
-    if held:
-        q, ids, cells, far = best_of(*(np.concatenate(x) for x in zip(*held)), refine)
-        for at in range(0, len(q), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 50_000]) for x in (q, ids, cells, far)], names=["q", "id", "cell", "distance"])
+def nearest_codes(asked: pa.Table, own: pa.Table, quantiser: Quantiser, refine: int) -> pa.Table:
+    """The ``refine`` nearest codes of each question of a block among those of a tile whose cells it
+    looks into, ties by id. Distances are those to what the codes stand for."""
+    names, n = asked.column("q").to_numpy(), len(asked)
+    rows = unit(matrix_of(asked.column("v"))) if n else np.zeros((0, quantiser.centres.shape[-1]))
+    lengths = (rows * rows).sum(axis=1)
+    looks = np.zeros((n, len(quantiser.centres)), bool)
+    lists = asked.column("cells").combine_chunks()
+    looks[pc.list_parent_indices(lists).to_numpy(zero_copy_only=False), lists.flatten().to_numpy(zero_copy_only=False)] = True
+    held = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int32, np.float64))
+    limit = np.full(n, np.inf)  # of each question, its farthest that is held, where it holds ``refine``
+    units: list[tuple[np.ndarray, np.ndarray, int, np.ndarray]] = []
+
+    def cut() -> None:
+        nonlocal held
+        sizes = [len(ids) for _, ids, _, _ in units]
+        far = np.full((n, sum(sizes)), np.inf)
+        for at, (who, ids, _, d) in zip(np.cumsum([0, *sizes]), units):
+            far[who, at : at + len(ids)] = d
+        bound = limit
+        if far.shape[1] > refine:
+            bound = np.minimum(limit, np.partition(far, refine - 1, axis=1)[:, refine - 1])
+        # all ties of the last are kept until they are cut by id
+        q, at = np.nonzero((far <= bound[:, None] + 10.0**-ROUNDED) & (far < np.inf))
+        ids, cells = np.concatenate([u[1] for u in units]), np.repeat(np.array([u[2] for u in units], np.int32), sizes)
+        held = best_of(*(np.concatenate(x) for x in zip(held, (q, ids[at], cells[at], far[q, at]))), refine)
+        full = np.bincount(held[0], minlength=n) >= refine
+        last = np.full(n, -np.inf)
+        np.maximum.at(last, held[0], held[3])
+        limit[full] = last[full]
+        units.clear()
+
+    size = 0
+    for cell, ids, codes in zip(*(own.column(c).to_pylist() for c in ("cell", "ids", "codes"))):
+        who = np.nonzero(looks[:, cell])[0]
+        if not len(who):
+            continue
+        ids = np.frombuffer(ids, np.int64)
+        points = quantiser.decoded(cell, np.frombuffer(codes, np.uint8).reshape(len(ids), -1))
+        d = lengths[who, None] + (points * points).sum(axis=1)[None, :] - 2 * rows[who] @ points.T
+        units.append((who, ids, cell, np.nan_to_num(d, nan=BEYOND)))
+        size += len(ids)
+        if size >= HELD:
+            cut()
+            size = 0
+    if units:
+        cut()
+    q, ids, cells, far = held
+    return pa.table({"q": names[q], "id": ids, "cell": cells, "distance": far})

@@ -56,3 +56,34 @@ def test_codebook():
     far = ((rows[:, None, :] - book[None]) ** 2).sum(axis=2).min(axis=1).mean()
     assert len(book) == 64 and far < 0.25 * (rows**2).sum(axis=1).mean()
     assert len(fitted_words(np.ones((9, 4)), 64)) == 1
+
+
+def test_a_question_meets_its_cells_in_one_task(spark, tmp_path, monkeypatch):
+    """Each question is one row whatever it probes, and no more than ``refine`` candidates of it leave a tile; ties go by id."""
+    monkeypatch.setattr(vector_index, "ASKED", 7)
+    monkeypatch.setattr(vector_index, "PACKED", 16)
+    monkeypatch.setattr(vector_index, "HELD", 50)
+    base = clustered(spark, 600, 6, 3).union(spark.createDataFrame([(k, [1.0, 2.0, 3.0, 0.0, 0.0, 1.0]) for k in range(1000, 1200)], "vec_id long, embedding array<double>"))
+    asked = base.where("vec_id % 50 = 0 AND vec_id <> 600").withColumnRenamed("vec_id", "query_id")
+    index = VectorIndex(spark, str(tmp_path / "index")).build(base, cells=12)
+    quantiser = index.quantiser()
+    probed = index.probed(asked, 9)
+    assert probed.count() == asked.count() == 16
+    found = []
+    for tile in (1 << 20, 100):
+        monkeypatch.setattr(vector_index, "TILE", tile)
+        near, tiles = index.near(probed, quantiser, 30)
+        assert near.groupBy("q").count().agg(F.max("count")).first()[0] <= 30 * tiles
+        found.append(sorted((r["q"], r["id"]) for r in index.candidates(asked, 9, 30).collect()))
+    assert found[0] == found[1] and len(found[0]) == 16 * 30
+    same = [i for q, i in found[0] if q == 1000 and i >= 1000]
+    assert same == list(range(1000, 1030))
+    assert {r[0] for r in probed.select(F.size("cells")).collect()} == {9}
+
+
+def test_distances_by_code_are_those_of_tables():
+    rng = np.random.default_rng(2)
+    quantiser = vector_index.Quantiser(rng.normal(size=(3, 5)), [rng.normal(size=(7, 4)), rng.normal(size=(7, 1))])
+    codes = rng.integers(0, 7, size=(9, 2)).astype(np.uint8)
+    parts = np.concatenate([quantiser.books[0][codes[:, 0]], quantiser.books[1][codes[:, 1]]], axis=1)
+    assert np.allclose(quantiser.decoded(2, codes), quantiser.centres[2] + parts)
