@@ -41,6 +41,17 @@ def test_forget_file_of_chunks_without_plain_text(spark, tables):
     assert got == by_sql(tables, "forget_file") and ("src0", "doc3.pptx") in {r[:2] for r in got}
 
 
+def test_forget_file_of_ids_of_any_size(spark, tmp_path):
+    """Forgotten files stay so where ids are beyond 2 ** 40; ids below zero have the last format."""
+    ids = [-7, -6, -2, 3, 1 << 40, (1 << 40) + 3, (1 << 50) + 1, (1 << 50) + 4]
+    docs = spark.createDataFrame([(k, f"plain text of {k} " * 50, "en", f"src{n % 2 * 3}") for n, k in enumerate(ids)], "doc_id long, text string, lang string, source string")
+    docs.union(spark.createDataFrame([((1 << 41) + n, f"more text of {n} ", "en", "src1") for n in range(12)], docs.schema)).write.parquet(str(tmp_path / "documents.parquet"))
+    labels = [((1 << 41) + n, n % 2, 0) for n in range(12)] + [(3, 0, 0)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = sorted((tuple(r) for r in ingest_queries.forget_file(spark, str(tmp_path)).collect()), key=str)
+    assert got and got == by_sql(tmp_path, "forget_file")
+
+
 def test_l2_normalize_keeps_the_sign_of_zero(spark, tables):
     bits = lambda rows: [(k, [struct.pack("d", x) for x in unit]) for k, unit in rows]
     got = sorted((r["vec_id"], r["unit"]) for r in search_queries.unit_vectors(spark, str(tables)).collect())
