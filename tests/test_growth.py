@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 import tracemalloc
 
+import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions import vectors
@@ -90,3 +91,27 @@ def test_chunks_are_written_to_the_store_alone(spark, monkeypatch):
     monkeypatch.setattr(scenario, "stored", lambda rows, name: written.append(name) or stored(rows, name))
     monkeypatch.setattr(scenario, "_filled", {})
     assert scenario.searchable(spark, "/root/testdata/sf0.001").count() > 0 and not written
+
+
+def test_scores_stay_where_documents_lie(spark):
+    """Words that all documents and questions hold made a row for each word of a document and each question."""
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("the same words of"), F.col("id") % 700).alias("text"))
+    asked = spark.range(300).select(F.col("id").alias("query_id"), F.concat_ws(" ", F.lit("the same words of"), "id").alias("question"))
+    work, rows = shuffled_rows(spark, lambda: analysis.bm25(asked, docs, k=3))
+    assert len(rows) == 900 and {r["doc_id"] for r in rows if r["query_id"] == 7} == {7, 707, 1407}
+    assert work < 20_000
+
+
+@pytest.mark.parametrize("by", [None, "bot"])
+def test_scores_in_rounds_and_pieces(spark, monkeypatch, by):
+    """Questions of several rounds, and documents scored in small pieces, have the same scores; equal ones go by id."""
+    docs = spark.range(400).select(F.concat(F.lit("d"), "id").alias("doc_id"), F.concat(F.lit("b"), F.col("id") % 3).alias("bot"), F.concat_ws(" ", F.lit("some words"), F.col("id") % 7, F.col("id") % 11, F.lit("W7!")).alias("text"))
+    asked = spark.range(12).select(F.col("id").alias("query_id"), F.concat(F.lit("b"), F.col("id") % 4).alias("bot"), F.concat_ws(" ", F.lit("words"), F.col("id") % 7, F.col("id")).alias("question"))
+    asked = asked.union(spark.createDataFrame([(50, "b1", "##"), (51, "b1", None), (52, None, "words"), (53, "b1", "none of them"), (3, "b1", "words words")], "query_id long, bot string, question string"))
+    whole = sorted(map(tuple, analysis.bm25(asked, docs, k=4, by=by).collect()))
+    for name, size in (("QUESTIONS", 3), ("CELLS", 40), ("TEXTS", 5)):
+        monkeypatch.setattr(analysis, name, size)
+    pieces = sorted(map(tuple, analysis.bm25(asked, docs, k=4, by=by).collect()))
+    assert [(*r[:2], round(r[2], 9), r[3]) for r in pieces] == [(*r[:2], round(r[2], 9), r[3]) for r in whole]
+    assert len({r[0] for r in whole}) == (10 if by else 13) and all([r[1] for r in whole if r[0] == q and round(r[2], 6) == x] == sorted(r[1] for r in whole if r[0] == q and round(r[2], 6) == x) for q in range(12) for x in {round(r[2], 6) for r in whole if r[0] == q})
+    assert analysis.bm25(asked.limit(0), docs, by=by).count() == 0 == analysis.bm25(asked, docs.limit(0), by=by).count()

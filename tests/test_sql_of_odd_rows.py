@@ -56,3 +56,12 @@ def test_l2_normalize_keeps_the_sign_of_zero(spark, tables):
     bits = lambda rows: [(k, [struct.pack("d", x) for x in unit]) for k, unit in rows]
     got = sorted((r["vec_id"], r["unit"]) for r in search_queries.unit_vectors(spark, str(tables)).collect())
     assert bits(got) == bits(by_sql(tables, "l2_normalize"))
+
+
+def test_bm25_topk_of_repeated_and_missing_ids(spark, tmp_path):
+    """Rows of one id are one document with the length of each row; without an id they count, and are not found."""
+    data = [(1, "red fox runs"), (1, "red fox runs"), (2, "red hen"), (2, "a red fox and a red hen"), (3, "blue"), (4, ""), (None, "red"), (None, "fox fox"), (5, "fox"), (6, "fox"), (7, "the hen runs")]
+    spark.createDataFrame([(k, t, "en", "src0") for k, t in data], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "fox red"), (2, "hen, hen"), (3, "##"), (4, "the blue runs")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = sorted((tuple(r) for r in search_queries.bm25_topk(spark, str(tmp_path)).collect()), key=str)
+    assert got == by_sql(tmp_path, "bm25_topk") and [r[1] for r in got if r[0] == 4]
