@@ -72,11 +72,12 @@ def aligned(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 def replaced(old: DataFrame, new: DataFrame, keys: list[str], embed: Embed | None = None) -> DataFrame:
     """Chunks of the new version with their vectors: old ones where the old version holds the chunk.
 
-    ``old`` has chunk_hash and embedding besides; what is new, and has text, is embedded.
+    ``old`` has chunk_hash and embedding besides; what is new, and has text, is embedded, and has
+    an ``error`` where that failed.
     """
     known = old.where("embedding IS NOT NULL").groupBy(*keys, "chunk_hash").agg(F.min(F.col("embedding").cast("array<double>")).alias("__vector"))
     both = stored(new.join(known.hint("merge"), [*keys, "chunk_hash"], "left"), "versions")
     fresh = both.where("__vector IS NULL").drop("__vector").where(has_text(F.col("content")))
     made = embedded(fresh, embed=embed).drop("empty_text").withColumn("reused", F.lit(False))
-    rest = both.where(F.col("__vector").isNotNull() | ~has_text(F.col("content"))).withColumnRenamed("__vector", "embedding").withColumn("reused", F.col("embedding").isNotNull())
+    rest = both.where(F.col("__vector").isNotNull() | ~has_text(F.col("content"))).withColumnRenamed("__vector", "embedding").withColumns({"reused": F.col("embedding").isNotNull(), "error": F.lit(None).cast("string")})
     return made.unionByName(rest)

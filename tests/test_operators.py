@@ -2,7 +2,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quarry.functions.text import clean_text
 from quarry.operators import analysis, bots, context, ingest, models, search, tables, tools
+from quarry.plans import scenario, search_queries  # noqa: F401
+from quarry.plans.registry import QUERIES
 from quarry.sources.store import CATALOGUE, ChunkStore
 from quarry.sources.landing import extracted_text, landed_files, split_by_support
 
@@ -133,6 +136,43 @@ def test_embed_hook(spark):
     assert rows(ingest.embedded(texts, embed=failing), "embedding") == [(None,)] * 5
 
 
+def test_failed_embedding_is_an_error(spark):
+    """Not a row like that of an empty text; fewer vectors than texts are a failure of them all."""
+    texts = spark.createDataFrame([(1, "a b"), (2, "###"), (3, "nan"), (4, "c")], "k long, content string").coalesce(1)
+
+    def failing(batch):
+        raise RuntimeError("down")
+
+    made = ingest.embedded(texts, embed=failing)
+    assert rows(made, "k", "error") == [(1, "Not embedded: down"), (2, None), (3, "Not embedded: down"), (4, "Not embedded: down")]
+    assert rows(ingest.embedded(texts, embed=lambda batch: [[1.0, 0.0]]).where("embedding IS NULL AND error IS NOT NULL"), "k") == [(1,), (3,), (4,)]
+    some = ingest.embedded(texts, embed=lambda batch: [[float(t), 1.0] if t == "nan" else [3.0, 4.0] for t in batch])
+    assert rows(some.where("error IS NOT NULL"), "k", "embedding") == [(3, None)]
+    whole = ingest.all_embedded(some.where("k <> 3"), 2)
+    assert rows(whole, "k", "embedding") == [(1, [0.6, 0.8]), (2, None), (4, [0.6, 0.8])] and "error" not in whole.columns
+    for rest, dimensions, why in ((made, 2, "down"), (some, 2, "not finite"), (some.where("k <> 3"), 64, "has numbers: 2")):
+        with pytest.raises(Exception, match=why):
+            ingest.all_embedded(rest, dimensions).collect()
+
+
+@pytest.mark.parametrize("name", ["hybrid_rrf"])
+@pytest.mark.parametrize("at", ["chunks", "questions"])
+def test_search_fails_where_vectors_are_not_made(spark, monkeypatch, name, at):
+    """Chunks or questions without vectors were left out, and the result looked whole."""
+    counts = ingest.hashed_counts
+    asked = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").select(clean_text(F.col("text"))).first()[0]
+
+    def failing(texts, dimensions):
+        if at == "chunks" or asked in texts:
+            raise RuntimeError("hashing is down")
+        return counts(texts, dimensions)
+
+    monkeypatch.setattr(ingest, "hashed_counts", failing)
+    monkeypatch.setattr(scenario, "_filled", {})
+    with pytest.raises(Exception, match="hashing is down"):
+        QUERIES[name](spark, "/root/testdata/sf0.001").collect()
+
+
 def test_containing(spark):
     docs = spark.createDataFrame([(1, "the quick brown fox jumps over a dog"), (2, "he quick brown fox jumps ove"), (3, "quick brown  fox jumps"), (4, None), (5, ""), (6, "fox fox fox")], "doc_id long, text string")
     asked = spark.createDataFrame([(1, "he quick brown fox jumps ove"), (2, "quick brown fox"), (3, "brown  fox jumps"), (4, "x fo"), (5, ""), (6, None), (7, "x fox f")], "query_id long, question string")
