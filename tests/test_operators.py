@@ -155,7 +155,7 @@ def test_failed_embedding_is_an_error(spark):
             ingest.all_embedded(rest, dimensions).collect()
 
 
-@pytest.mark.parametrize("name", ["hybrid_rrf"])
+@pytest.mark.parametrize("name", ["hybrid_rrf", "prompt_render"])
 @pytest.mark.parametrize("at", ["chunks", "questions"])
 def test_search_fails_where_vectors_are_not_made(spark, monkeypatch, name, at):
     """Chunks or questions without vectors were left out, and the result looked whole."""
